@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, functions as F
 
 from talkmill.functions import lexicons as X, patterns as P
+from talkmill.functions.binding import let
 from talkmill.functions.text import strip
 
 
@@ -60,7 +61,7 @@ def _indic_label(c: Column) -> Column:
         alone = (F.size(hits) == 1) & ~latin
         return F.when(alone, hits[0]["name"]).otherwise(mixed_label(hits, latin))
 
-    return F.element_at(F.transform(F.array(_script_hits(c)), label), 1)
+    return let(_script_hits(c), label)
 
 
 def detect_language(c: Column) -> Column:
@@ -110,4 +111,4 @@ def detect_script_code(c: Column) -> Column:
         enough = F.greatest(F.lit(2.0), F.length(s) * F.lit(0.2))
         return F.when(-ranked[0]["rank"] >= enough, ranked[0]["code"])
 
-    return F.element_at(F.transform(F.array(sample), pick), 1)
+    return let(sample, pick)

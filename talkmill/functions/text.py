@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, functions as F
 
 from talkmill.functions import patterns as P
+from talkmill.functions.binding import let
 from talkmill.functions.lexicons import WATCH_URL
 from talkmill.functions.unicode_repair import repair_and_normalize
 
@@ -95,8 +96,7 @@ def bigram_jaccard(a: Column, b: Column) -> Column:
         total = F.size(g.x) + F.size(g.y) - common
         return F.when(total == 0, F.lit(1.0)).otherwise(common / total)
 
-    # transform over a one-element array binds the two gram sets once.
-    scored = F.element_at(F.transform(F.array(grams), ratio), 1)
+    scored = let(grams, ratio)
     return (
         F.when((left == "") & (right == ""), F.lit(1.0))
         .when((left == "") | (right == ""), F.lit(0.0))
