@@ -55,7 +55,7 @@ def is_emoji_only(c: Column) -> Column:
 
 
 def has_repeated_chars(c: Column) -> Column:
-    return c.rlike(P.REPEATED_CHARACTER)
+    return F.lower(c).rlike(P.REPEATED_CHARACTER)
 
 
 def is_spam(c: Column) -> Column:

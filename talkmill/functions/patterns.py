@@ -21,7 +21,9 @@ URL = rf"(?i)https?://[^{WS}]+|(?<![{WORD}])www\.[^{WS}]+"
 TAG = "<[^>]+>"
 REPEATED_PUNCTUATION = r"([!?.;,])\1+"
 # (?d): only \n ends a line, so '.' matches what it does elsewhere in this package.
-REPEATED_CHARACTER = r"(?iud)(.)\1{5,}"
+# Applied to lower-cased text: case-insensitive back-references of the JDK fail on
+# characters beyond U+FFFF.
+REPEATED_CHARACTER = r"(?d)(.)\1{5,}"
 HTTP_URL = "(?i)^https?://"
 
 # Control, format, private-use and surrogate characters plus U+FFFD, except whitespace.
