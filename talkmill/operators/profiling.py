@@ -35,7 +35,7 @@ def describe(df: DataFrame, value: Column) -> DataFrame:
         (v.cast("decimal(19,0)") * v.cast("decimal(19,0)") * F.col("n").cast("decimal(19,0)")).cast("decimal(38,0)")
     ).cast("double")
     hist = value_histogram(df, value)
-    q = F.percentile("value", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)), "n")
+    q = F.percentile("value", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)), F.col("n"))
     return hist.agg(
         F.coalesce(F.sum("n"), F.lit(0)).alias("count"), (total / n).alias("mean"),
         F.when(n > 1, F.sqrt((squares - total * total / n) / (n - 1))).alias("std"),
@@ -49,7 +49,7 @@ def text_length_summary(df: DataFrame, column: str) -> DataFrame:
     v = F.col("value")
     return value_histogram(df, F.length(column)).agg(
         F.coalesce(F.sum("n"), F.lit(0)).alias("count"), _mean(v).alias("mean_length"),
-        F.percentile("value", F.lit(0.5), "n").alias("median_length"),
+        F.percentile("value", F.lit(0.5), F.col("n")).alias("median_length"),
     )
 
 
@@ -102,7 +102,7 @@ def profile_comments(df: DataFrame, text: str = S.TEXT, digits: int | None = 2)
         df.select("video_id").dropna().distinct().agg(F.count("*")).scalar()
         if "video_id" in df.columns else F.lit(0)
     )
-    mean, median = _mean(F.col("value")), F.percentile("value", F.lit(0.5), "n")
+    mean, median = _mean(F.col("value")), F.percentile("value", F.lit(0.5), F.col("n"))
     if digits is not None:
         mean, median = F.round(mean, digits), F.round(median, digits)
     return value_histogram(df, length).agg(
@@ -119,7 +119,7 @@ def comments_per_video(df: DataFrame, video: str = "video_id") -> DataFrame:
 def comments_per_video_summary(df: DataFrame, video: str = "video_id", digits: int | None = 2) -> DataFrame:
     """Videos with comments and min, max, mean and median of their counts."""
     sizes = value_histogram(comments_per_video(df, video), F.col("n"))
-    mean, median = _mean(F.col("value")), F.percentile("value", F.lit(0.5), "n")
+    mean, median = _mean(F.col("value")), F.percentile("value", F.lit(0.5), F.col("n"))
     if digits is not None:
         mean, median = F.round(mean, digits), F.round(median, digits)
     return sizes.agg(

@@ -83,7 +83,9 @@ def write_csv(df: DataFrame, path: str, mode: str = "overwrite") -> None:
     """CSV with header; every part file starts with the UTF-8 byte order mark."""
     first = df.columns[0]
     marked = df.withColumnRenamed(first, BOM + first)
-    marked.write.mode(mode).option("header", True).option("escape", '"').option("encoding", "UTF-8").csv(path)
+    writer = marked.write.mode(mode).option("header", True).option("escape", '"').option("encoding", "UTF-8")
+    # The writer would trim every value by default.
+    writer.option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path)
 
 
 def write_report_json(report: DataFrame, path: str, mode: str = "overwrite") -> None:
