@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from talkmill.functions.flags import is_short, is_single_word, is_spam
 from talkmill.functions.lexicons import ASPECT_LABELS
 from talkmill.session import tune
+from talkmill.sources.files import spread_if_narrow
 
 # (replace the text?, remark)
 REMARKS: list[tuple[bool, str | None]] = [
@@ -46,6 +47,7 @@ REPLACING = [i for i, (whole, _) in enumerate(REMARKS) if whole]
 PRODUCT_NAMES = {"src0": "Steam Deck", "src1": "Nintendo Switch", "src2": "Iphone 17"}
 NOTES = ["ambiguous", " future demand", "Language Error", "question ", "unrelated", "", None]
 VIDEOS = 97
+TEXT_TABLES = ("documents", "pages", "conversations")
 
 
 def lit(text: str | None) -> str:
@@ -91,7 +93,8 @@ class Tables:
     def __getattr__(self, name: str) -> DataFrame:
         if name.startswith("_"):
             raise AttributeError(name)
-        return self.spark.read.parquet(f"{self.dir}/{name}.parquet")
+        df = self.spark.read.parquet(f"{self.dir}/{name}.parquet")
+        return spread_if_narrow(df) if name in TEXT_TABLES else df
 
     @cached_property
     def comments(self) -> DataFrame:

@@ -145,9 +145,9 @@ register("top_comments_by_aspect", lambda t: I.top_comments_by_aspect(_aspects(t
        (SELECT *, row_number() OVER (PARTITION BY product_query, aspect_label, predicted_sentiment ORDER BY comment_id) AS r FROM asp WHERE predicted_sentiment <> 'Neutral') WHERE r <= 2""", *_ASPECTS_SQL))
 
 # --- translation ------------------------------------------------------------------
-# Landed translations: the reversed text (really changed), the same text, or blank.
-_LANDED = F.when(F.col("doc_id") % 3 == 0, F.reverse(RAW)).when(F.col("doc_id") % 3 == 1, RAW).when(F.col("doc_id") % 6 == 2, F.lit(" "))
-_LANDED_SQL = "CASE WHEN doc_id % 3 = 0 THEN reverse(comment_text) WHEN doc_id % 3 = 1 THEN comment_text WHEN doc_id % 6 = 2 THEN ' ' END"
+# Landed translations: other text, the same text, or blank.
+_LANDED = F.when(F.col("doc_id") % 3 == 0, F.concat_ws(" ", F.md5(RAW), F.sha1(RAW))).when(F.col("doc_id") % 3 == 1, RAW).when(F.col("doc_id") % 6 == 2, F.lit(" "))
+_LANDED_SQL = "CASE WHEN doc_id % 3 = 0 THEN concat_ws(' ', md5(comment_text), sha1(comment_text)) WHEN doc_id % 3 = 1 THEN comment_text WHEN doc_id % 6 = 2 THEN ' ' END"
 
 
 def _audited(t):
@@ -178,14 +178,17 @@ register("apply_translations", lambda t: TR.apply_translations(
     Q.with_comments(f"SELECT comment_id, {_LANDED_SQL} AS translation FROM det WHERE detected_language <> 'english'", _DETECTED))
 
 
-def _echo(texts, code):
-    if code == "hin_Deva":
-        raise RuntimeError("translator down")
-    return [f"{code} {x}" for x in texts]
+def _echo_translator():
+    def echo(texts, code):
+        if code == "hin_Deva":
+            raise RuntimeError("translator down")
+        return [f"{code} {x}" for x in texts]
+
+    return echo
 
 
 register("translate_with_function",
-         lambda t: TR.translate_with(TR.resolve_source_code(TR.route_non_english(_audited(t)), "comment_id"), _echo).select("comment_id", "translation"),
+         lambda t: TR.translate_with(TR.resolve_source_code(TR.route_non_english(_audited(t)), "comment_id"), _echo_translator()).select("comment_id", "translation"),
          Q.with_comments("SELECT comment_id, CASE WHEN source_code IS NULL THEN NULL WHEN source_code = 'hin_Deva' THEN coalesce(comment_text, '') ELSE source_code || ' ' || coalesce(comment_text, '') END AS translation FROM coded", _DETECTED, _WITH_CODES))
 
 
@@ -270,7 +273,7 @@ register("process_product", _processed, Q.with_comments(
     Q.FLAGGED, *[part.replace("FROM det WHERE coalesce(comment_text", "FROM det SEMI JOIN (SELECT comment_id FROM flagged WHERE NOT is_removed_by_cleaning) USING (comment_id) WHERE coalesce(comment_text") for part in _GATED]))
 register("annotation_setup", lambda t: jobs.annotation_setup(t.comments, 40, 11).table.groupBy("product_query").agg(F.count("*").alias("n"), F.count_if(F.col("sentiment_label") == "").alias("blank")),
          Q.with_comments("SELECT product_query, 2 AS n, 2 AS blank FROM comments GROUP BY 1"))
-register("annotation_analysis", lambda t: jobs.annotation_analysis(t.flagged_annotations)["sentiment_by_aspect"], Q.with_annotated(
+register("annotation_analysis", lambda t: jobs.annotation_analysis(t.flagged_annotations.withColumn(S.CLEANED, RAW))["sentiment_by_aspect"], Q.with_annotated(
     "SELECT aspect_label, " + ", ".join(f"count(*) FILTER (sentiment_label = {lit(s)}) AS {s.lower()}" for s in X.SENTIMENT_LABELS) + " FROM annotated WHERE aspect_label IS NOT NULL AND sentiment_label IS NOT NULL GROUP BY 1"))
 register("aspect_audit", lambda t: jobs.aspect_audit(t.annotated)["buckets"].select("aspect_label", "n", "bucket"), Q.with_annotated(
     "SELECT aspect_label, count(*) AS n, CASE WHEN count(*) <= 10 THEN 'rare' WHEN count(*) <= 20 THEN 'low' ELSE 'adequate' END AS bucket FROM annotated WHERE aspect_label IS NOT NULL GROUP BY 1"))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
+from talkmill.functions.binding import let
 from talkmill.functions.lexicons import COMPETITOR_KEYWORDS, DEFAULT_COMPETITORS
 
 
@@ -23,12 +24,15 @@ def extract_competitors(
     exclude_self: bool = False,
 ) -> Column:
     """Distinct display names whose keyword occurs in the text (substring match)."""
-    lowered = F.lower(text)
-    own = [
-        F.when(product == name, F.array_compact(F.array(*_hits(lowered, keywords))))
-        for name, keywords in by_product.items()
-    ]
-    general = F.array_compact(F.array(*_hits(lowered, default)))
-    specific = F.coalesce(*own, F.array().cast("array<string>")) if own else F.array().cast("array<string>")
-    names = F.coalesce(F.array_distinct(F.concat(specific, general)), F.array().cast("array<string>"))
+    none = F.array().cast("array<string>")
+
+    def found(lowered: Column) -> Column:
+        own = [
+            F.when(product == name, F.array_compact(F.array(*_hits(lowered, keywords))))
+            for name, keywords in by_product.items()
+        ]
+        general = F.array_compact(F.array(*_hits(lowered, default)))
+        return F.array_distinct(F.concat(F.coalesce(*own, none), general))
+
+    names = F.coalesce(let(F.lower(text), found), none)
     return F.filter(names, lambda n: F.lower(n) != F.lower(product)) if exclude_self else names

@@ -8,10 +8,12 @@ from operator import or_
 from pyspark.sql import Column, functions as F
 
 from talkmill.functions import lexicons as X, patterns as P
+from talkmill.functions.binding import let
 from talkmill.functions.text import strip
 
 
 def contains_any(c: Column, markers: list[str]) -> Column:
+    """Any marker as a substring; bind a computed ``c`` with let() first."""
     return reduce(or_, (c.contains(m) for m in markers))
 
 
@@ -37,11 +39,11 @@ def has_many_urls(c: Column, minimum: int = 2) -> Column:
 
 
 def has_promo_text(c: Column) -> Column:
-    return contains_any(F.lower(c), X.PROMOTIONAL_MARKERS)
+    return let(F.lower(c), lambda low: contains_any(low, X.PROMOTIONAL_MARKERS))
 
 
 def is_solicitation(c: Column) -> Column:
-    return contains_any(F.lower(c), X.SOLICITATION_MARKERS)
+    return let(F.lower(c), lambda low: contains_any(low, X.SOLICITATION_MARKERS))
 
 
 def is_link_only(c: Column) -> Column:
@@ -60,12 +62,16 @@ def has_repeated_chars(c: Column) -> Column:
 
 def is_spam(c: Column) -> Column:
     """Any spam rule on the trimmed raw text, cheapest rules first; null or blank is not spam."""
-    value = strip(c)
-    rules = (
-        has_promo_text(value) | is_solicitation(value) | is_emoji_only(value)
-        | has_repeated_chars(value) | has_many_urls(value) | is_link_only(value)
-    )
-    return F.coalesce((value != "") & rules, F.lit(False))
+    def rules(v: Column) -> Column:
+        def with_lowered(low: Column) -> Column:
+            marked = contains_any(low, X.PROMOTIONAL_MARKERS) | contains_any(low, X.SOLICITATION_MARKERS)
+            # Every http link is a promotional marker, so only www links are left to count.
+            links = low.contains("www.") & (has_many_urls(v) | is_link_only(v))
+            return marked | is_emoji_only(v) | low.rlike(P.REPEATED_CHARACTER) | links
+
+        return (v != "") & let(F.lower(v), with_lowered)
+
+    return F.coalesce(let(strip(c), rules), F.lit(False))
 
 
 def fails_final_cleanup(c: Column, minimum: int = 3) -> Column:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, functions as F
 
 from talkmill.functions import lexicons as X, patterns as P
 from talkmill.functions.binding import let
-from talkmill.functions.text import strip
+from talkmill.functions.text import is_ascii, strip
 
 
 def _block(name: str) -> str:
@@ -15,6 +15,8 @@ def _block(name: str) -> str:
 
 
 _ANY_BLOCK = "[" + "".join(f"{low}-{high}" for low, high in X.SCRIPT_BLOCKS.values()) + "]"
+# One range around all blocks, much faster to test than eight.
+_SPAN = "[" + min(low for low, _ in X.SCRIPT_BLOCKS.values()) + "-" + max(high for _, high in X.SCRIPT_BLOCKS.values()) + "]"
 _LATIN = "[A-Za-z]"
 
 
@@ -69,7 +71,7 @@ def detect_language(c: Column) -> Column:
     # Per-script counting happens only for text that has any Indic character at all.
     return (
         F.when(c.isNull() | (strip(c) == ""), F.lit("unknown"))
-        .when(c.rlike(_ANY_BLOCK), _indic_label(c))
+        .when(~is_ascii(c) & c.rlike(_SPAN) & c.rlike(_ANY_BLOCK), _indic_label(c))
         .when(has_hinglish_marker(c), F.lit("hinglish"))
         .when(has_malayalam_marker(c), F.lit("romanized_malayalam"))
         .when(c.rlike(_LATIN), F.lit("english"))
@@ -111,4 +113,4 @@ def detect_script_code(c: Column) -> Column:
         enough = F.greatest(F.lit(2.0), F.length(s) * F.lit(0.2))
         return F.when(-ranked[0]["rank"] >= enough, ranked[0]["code"])
 
-    return let(sample, pick)
+    return F.when(~is_ascii(head), let(sample, pick))

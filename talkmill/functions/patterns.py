@@ -16,6 +16,11 @@ WS = r"\s\x1c-\x1f\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\
 WORD = r"\p{L}\p{N}_"
 
 WS_RUN = f"[{WS}]+"
+# ASCII whitespace that differs from one plain space: normal text has few matches.
+UNEVEN_WS = r"[\s\x1c-\x1f]{2,}|[\t-\r\x1c-\x1f]"
+EXOTIC_WS = WHITESPACE[10:]
+EXOTIC_WS_CLASS = r"[\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
+PLAIN_ASCII = r"[ -%'-~\t\n\r]+"
 WORD_RUN = f"[{WORD}]+"
 URL = rf"(?i)https?://[^{WS}]+|(?<![{WORD}])www\.[^{WS}]+"
 TAG = "<[^>]+>"

@@ -22,10 +22,14 @@ def sentiment_score(
     # A fold that carries the effect of the previous token: one pass over one array.
     start = F.struct(F.lit(0).cast("bigint").alias("score"), F.lit(1).alias("factor"))
 
+    every = sorted({*positive, *negative, *intensifiers, *negators})
+
     def step(acc: Column, t: Column) -> Column:
         value = F.when(t.isin(positive), 1).when(t.isin(negative), -1).otherwise(0)
         factor = F.when(t.isin(intensifiers), 2).when(t.isin(negators), -1).otherwise(1)
-        return F.struct((acc["score"] + value * acc["factor"]).alias("score"), factor.alias("factor"))
+        found = F.struct((acc["score"] + value * acc["factor"]).alias("score"), factor.alias("factor"))
+        # Nearly all tokens are in no list: one hash probe settles them.
+        return F.when(t.isin(every), found).otherwise(F.struct(acc["score"], F.lit(1).alias("factor")))
 
     return F.coalesce(F.aggregate(tokens, start, step, lambda acc: acc["score"]), F.lit(0).cast("bigint"))
 

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, functions as F
 
 from talkmill.functions import patterns as P
@@ -15,24 +18,49 @@ def strip(c: Column) -> Column:
     return F.btrim(c, F.lit(P.WHITESPACE))
 
 
+def non_ascii_residue(c: Column) -> Column:
+    """The characters left when printable ASCII (without '&') is taken out: a cheap pre-test."""
+    return F.regexp_replace(c, P.PLAIN_ASCII, "")
+
+
+def is_ascii(c: Column) -> Column:
+    return F.octet_length(c) == F.char_length(c)
+
+
+def _contains_any(c: Column, parts: list[str]) -> Column:
+    return reduce(or_, (c.contains(part) for part in parts))
+
+
+# Each step first asks a cheap question and runs its regex only on texts that need it.
+# let() binds the input, which would otherwise be repeated in test, regex and fallback.
+
 def remove_unreadable(c: Column) -> Column:
-    return F.regexp_replace(c, P.UNREADABLE, "")
+    return let(c, lambda v: F.when(
+        non_ascii_residue(v).rlike(P.UNREADABLE), F.regexp_replace(v, P.UNREADABLE, "")
+    ).otherwise(v))
 
 
 def remove_html(c: Column) -> Column:
-    return F.regexp_replace(c, P.TAG, " ")
+    return let(c, lambda v: F.when(v.contains("<"), F.regexp_replace(v, P.TAG, " ")).otherwise(v))
 
 
 def remove_urls(c: Column) -> Column:
-    return F.regexp_replace(c, P.URL, " ")
+    return let(c, lambda v: F.when(
+        let(F.lower(v), lambda low: _contains_any(low, ["http", "www."])), F.regexp_replace(v, P.URL, " ")
+    ).otherwise(v))
 
 
 def collapse_punctuation(c: Column) -> Column:
-    return F.regexp_replace(c, P.REPEATED_PUNCTUATION, "$1")
+    return let(c, lambda v: F.when(
+        _contains_any(v, ["!!", "??", "..", ";;", ",,"]), F.regexp_replace(v, P.REPEATED_PUNCTUATION, "$1")
+    ).otherwise(v))
 
 
 def normalize_whitespace(c: Column) -> Column:
-    return strip(F.regexp_replace(c, P.WS_RUN, " "))
+    plain = let(c, lambda v: F.when(
+        ~is_ascii(v) & v.rlike(P.EXOTIC_WS_CLASS), F.translate(v, P.EXOTIC_WS, " " * len(P.EXOTIC_WS))
+    ).otherwise(v))
+    return strip(F.regexp_replace(plain, P.UNEVEN_WS, " "))
 
 
 def clean_decoded(c: Column) -> Column:
@@ -54,7 +82,9 @@ def words(c: Column) -> Column:
 
 def word_count(c: Column) -> Column:
     """Number of whitespace tokens, counted without building the array."""
-    return F.regexp_count(c, F.lit(f"[^{P.WS}]+"))
+    return let(normalize_whitespace(c), lambda v: F.when(v == "", F.lit(0)).otherwise(
+        F.length(v) - F.length(F.replace(v, F.lit(" "))) + 1
+    ))
 
 
 def title_case(c: Column) -> Column:
@@ -79,26 +109,30 @@ def watch_url(video_id: Column) -> Column:
 
 def bigrams(c: Column) -> Column:
     """Distinct character bigrams of the lower-cased, whitespace-collapsed text."""
-    # One code point is consumed per match and the pair is captured by look-ahead, so the
-    # whole text is walked once; substring() per position would be quadratic.
-    pairs = F.regexp_extract_all(c, F.lit("(?s)(?=(..))."), 1)
-    return F.array_distinct(pairs)
+    # Pairs from even and from odd positions together are all bigrams; each is one plain
+    # pass over the text, where substring() per position would be quadratic.
+    pair = F.lit("(?s)..")
+    return let(c, lambda v: F.array_distinct(F.concat(
+        F.regexp_extract_all(v, pair, 0), F.regexp_extract_all(F.substring(v, 2, 2**31 - 1), pair, 0)
+    )))
 
 
 def bigram_jaccard(a: Column, b: Column) -> Column:
     """Share of common character bigrams: 1 for two blanks, 0 for one blank."""
-    left = F.regexp_replace(F.lower(strip(a)), P.WS_RUN, " ")
-    right = F.regexp_replace(F.lower(strip(b)), P.WS_RUN, " ")
-    grams = F.struct(bigrams(left).alias("x"), bigrams(right).alias("y"))
+    texts = F.struct(
+        normalize_whitespace(F.lower(a)).alias("a"), normalize_whitespace(F.lower(b)).alias("b")
+    )
 
     def ratio(g: Column) -> Column:
         common = F.size(F.array_intersect(g.x, g.y))
         total = F.size(g.x) + F.size(g.y) - common
         return F.when(total == 0, F.lit(1.0)).otherwise(common / total)
 
-    scored = let(grams, ratio)
-    return (
-        F.when((left == "") & (right == ""), F.lit(1.0))
-        .when((left == "") | (right == ""), F.lit(0.0))
-        .otherwise(scored)
-    )
+    def score(t: Column) -> Column:
+        grams = F.struct(bigrams(t.a).alias("x"), bigrams(t.b).alias("y"))
+        return (
+            F.when((t.a == "") & (t.b == ""), F.lit(1.0)).when((t.a == "") | (t.b == ""), F.lit(0.0))
+            .when(t.a == t.b, F.lit(1.0)).otherwise(let(grams, ratio))
+        )
+
+    return F.when(a.isNotNull() & b.isNotNull(), let(texts, score))

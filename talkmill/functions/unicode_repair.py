@@ -11,7 +11,7 @@ from pyspark import cloudpickle
 from pyspark.sql import Column, functions as F
 
 from talkmill.functions.lexicons import MOJIBAKE_MARKERS
-from talkmill.functions.patterns import NEEDS_UNICODE_WORK
+from talkmill.functions.patterns import NEEDS_UNICODE_WORK, PLAIN_ASCII
 
 # The functions below travel to the executors by value: workers need no copy of this package.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -58,7 +58,8 @@ def _python_step(fn, c: Column) -> Column:
     # to the worker instead of their text; the scan and the plan stay single.
     if fn.__name__ not in _UDFS:
         _UDFS[fn.__name__] = _arrow(fn)
-    return F.coalesce(_UDFS[fn.__name__](F.when(c.rlike(NEEDS_UNICODE_WORK), c)), c)
+    residue = F.regexp_replace(c, PLAIN_ASCII, "")
+    return F.coalesce(_UDFS[fn.__name__](F.when(residue.rlike(NEEDS_UNICODE_WORK), c)), c)
 
 
 def repair_mojibake(c: Column) -> Column:

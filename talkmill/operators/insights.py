@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from talkmill import schemas as S
+from talkmill.functions.binding import let
 from talkmill.functions.competitors import extract_competitors
 from talkmill.functions.lexicons import SENTIMENT_LABELS
 from talkmill.functions.labels import percent
@@ -55,8 +56,9 @@ def competitor_mentions(df: DataFrame, product: str = S.PRODUCT, text: str = S.C
 
 def keyword_join(df: DataFrame, keywords: list[str], key: str, text: str = S.CLEANED) -> DataFrame:
     """(key, keyword) for every keyword contained in a text, without a nested-loop join."""
-    lowered = F.lower(F.col(text))
-    hits = F.array_compact(F.array(*[F.when(lowered.contains(k.lower()), F.lit(k)) for k in keywords]))
+    hits = let(F.lower(F.col(text)), lambda low: F.array_compact(F.array(*[
+        F.when(low.contains(k.lower()), F.lit(k)) for k in keywords
+    ])))
     return df.select(key, F.explode(hits).alias("keyword"))
 
 

@@ -80,7 +80,7 @@ def feature_word_counts(df: DataFrame, features: dict[str, list[str]], text: str
 
 def mentions_any(c: Column, keywords: list[str]) -> Column:
     """Any keyword as a substring, ignoring case; null text is no mention."""
-    return F.coalesce(contains_any(F.lower(c), [k.lower() for k in keywords]), F.lit(False))
+    return F.coalesce(let(F.lower(c), lambda low: contains_any(low, [k.lower() for k in keywords])), F.lit(False))
 
 
 def keyword_any_filter(df: DataFrame, keywords: list[str], text: str = S.CLEANED) -> DataFrame:

@@ -13,6 +13,16 @@ def scan_parquet(spark: SparkSession, path: str, schema: T.StructType | None = N
     return reader.parquet(path)
 
 
+def spread_if_narrow(df: DataFrame) -> DataFrame:
+    """Spread a table that arrives in fewer partitions than there are cores.
+
+    Row-wise text work is CPU-bound, so one unsplittable file would keep one core busy. A
+    table with enough input splits is returned as it is, without a shuffle.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def _empty(spark: SparkSession, schema: T.StructType | None) -> DataFrame:
     return spark.createDataFrame([], schema or T.StructType([]))
 
