@@ -151,7 +151,8 @@ _LANDED_SQL = "CASE WHEN doc_id % 3 = 0 THEN concat_ws(' ', md5(comment_text), s
 
 
 def _audited(t):
-    return L.add_detected_language(t.comments.select("doc_id", "comment_id", "comment_text"))
+    audited = L.add_detected_language(t.comments.select("doc_id", "comment_id", "comment_text"))
+    return jobs.staged(audited, run_dir(t.spark, "audit"), "language_audited")
 
 
 _DETECTED = f"det AS (SELECT doc_id, comment_id, comment_text, {Q.detect_language('comment_text')} AS detected_language FROM comments)"
@@ -262,7 +263,8 @@ register("export_master", lambda t: jobs.export_master(_video_side(t), t.comment
 
 def _processed(t):
     landed = t.comments.select("comment_id", _LANDED.alias("translation"))
-    stage = jobs.process_products(t.comments.drop("text"), _video_side(t), lambda d: TR.apply_translations(d, landed, ["comment_id"]), DICTIONARY)
+    stage = jobs.process_products(t.comments.drop("text"), _video_side(t), lambda d: TR.apply_translations(d, landed, ["comment_id"]), DICTIONARY,
+                                  stage_dir=run_dir(t.spark, "process"))
     return stage.table.select("comment_id", "product_query", S.CLEANED, "detected_language", "is_translated", "video_title")
 
 

@@ -81,7 +81,8 @@ def detect_language(c: Column) -> Column:
 
 def lookup(c: Column, table: dict[str, str]) -> Column:
     """Value for a key of a small fixed table, null when absent."""
-    return F.coalesce(*[F.when(c == key, F.lit(value)) for key, value in table.items()])
+    # A map mentions the key once; a chain of comparisons would repeat its expression.
+    return F.try_element_at(F.create_map(*[F.lit(x) for pair in table.items() for x in pair]), c)
 
 
 def language_code(label: Column) -> Column:

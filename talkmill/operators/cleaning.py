@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from talkmill import schemas as S
 from talkmill.functions import flags as G
+from talkmill.functions.binding import with_computed
 from talkmill.functions.text import clean_text
 
 FLAG_COUNTS = {
@@ -27,7 +28,7 @@ def flag_comments(df: DataFrame, text: str = S.TEXT) -> DataFrame:
         }
         return df.withColumns(fixed)
     raw, cleaned = F.col(text), F.col(S.CLEANED)
-    flagged = df.withColumn(S.CLEANED, clean_text(raw)).withColumns({
+    flagged = with_computed(with_computed(df, {S.CLEANED: clean_text(raw)}), {
         S.IS_EMPTY: G.is_empty(cleaned),
         S.IS_DELETED: G.is_deleted(raw),
         S.IS_SHORT: G.is_short(cleaned),

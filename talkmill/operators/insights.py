@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from talkmill import schemas as S
-from talkmill.functions.binding import let
+from talkmill.functions.binding import let, with_computed
 from talkmill.functions.competitors import extract_competitors
 from talkmill.functions.lexicons import SENTIMENT_LABELS
 from talkmill.functions.labels import percent
@@ -18,7 +18,7 @@ PREDICTED = "predicted_sentiment"
 
 
 def add_rule_sentiment(df: DataFrame, text: str = S.CLEANED, out: str = PREDICTED) -> DataFrame:
-    return df.withColumn(out, rule_sentiment(F.col(text)))
+    return with_computed(df, {out: rule_sentiment(F.col(text))})
 
 
 def lexicon_compound(df: DataFrame, valence: DataFrame, key: str, text: str = S.CLEANED) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window, functions as F
 
 from talkmill import schemas as S
+from talkmill.functions.binding import with_computed
 from talkmill.functions.labels import percent
 from talkmill.functions.language import detect_language
 from talkmill.functions.text import strip
@@ -12,8 +13,9 @@ from talkmill.operators.ranking import first_rows
 
 
 def add_detected_language(df: DataFrame, text: str = S.TEXT) -> DataFrame:
-    label = detect_language(F.col(text)) if text in df.columns else F.lit("unknown")
-    return df.withColumn(S.LANGUAGE, label)
+    if text not in df.columns:
+        return df.withColumn(S.LANGUAGE, F.lit("unknown"))
+    return with_computed(df, {S.LANGUAGE: detect_language(F.col(text))})
 
 
 def language_distribution(df: DataFrame, column: str = S.LANGUAGE, digits: int | None = 2) -> DataFrame:

@@ -13,14 +13,16 @@ from pyspark.sql import DataFrame, functions as F
 
 from talkmill import schemas as S
 from talkmill.functions import flags as G
+from talkmill.functions.binding import with_computed
 from talkmill.functions.language import detect_script_code, language_code
 from talkmill.functions.romanized import normalize_romanized
 from talkmill.functions.text import bigram_jaccard, clean_text, strip, word_count
 from talkmill.operators.language_audit import language_distribution
-from talkmill.operators.ranking import broadcast_if_small
+from talkmill.operators.ranking import small_enough
 
 CODE, TRANSLATION = "source_code", "translation"
 SIMILAR = 0.85
+MAX_LABELS = 10_000
 ROMANIZED = ["hinglish", "romanized_malayalam"]
 
 
@@ -39,15 +41,16 @@ def resolve_source_code(df: DataFrame, key: str, text: str = S.TEXT, language: s
     Runs a job to check that the distinct labels are few.
     """
     label = F.coalesce(F.lower(strip(F.col(language))), F.lit(""))
-    direct = language_code(label)
+    coded = with_computed(df, {"_label": label, "_direct": language_code(label)})
     # Codes are computed row by row in the scan; only (label, id, code) reach the aggregate.
-    unmapped = df.filter(direct.isNull() & (F.coalesce(F.col(text), F.lit("")) != ""))
+    unmapped = coded.filter(F.col("_direct").isNull() & (F.coalesce(F.col(text), F.lit("")) != ""))
     by_script = unmapped.select(
-        label.alias("_label"), F.col(key).alias("_id"), detect_script_code(F.col(text)).alias("_code")
-    ).groupBy("_label").agg(F.min_by("_code", "_id").alias("_code"))
-    labels = broadcast_if_small(by_script)
-    joined = df.join(labels, label == F.col("_label"), "left")
-    return joined.select(*df.columns, F.coalesce(direct, F.col("_code")).alias(CODE))
+        F.col("_label").alias("_l"), F.col(key).alias("_id"), detect_script_code(F.col(text)).alias("_code")
+    ).groupBy("_l").agg(F.min_by("_code", "_id").alias("_code"))
+    # One row per distinct label without a code; the labels alone tell how many.
+    few = small_enough(df.select(language).distinct(), MAX_LABELS)
+    joined = coded.join(F.broadcast(by_script) if few else by_script, F.col("_label") == F.col("_l"), "left")
+    return joined.select(*df.columns, F.coalesce(F.col("_direct"), F.col("_code")).alias(CODE))
 
 
 def apply_translations(df: DataFrame, translations: DataFrame, keys: list[str]) -> DataFrame:
@@ -92,9 +95,9 @@ def gate_and_fallback(df: DataFrame, dictionary: dict[str, str], text: str = S.T
     label = F.lower(strip(F.col(language)))
     result = strip(F.col(TRANSLATION))
     blank = F.col(CODE).isNull() | F.coalesce(result == "", F.lit(True))
-    gated = df.withColumn("_same", F.when(
+    gated = with_computed(df, {"_same": F.when(
         ~blank, bigram_jaccard(F.coalesce(F.col(text), F.lit("")), result) > SIMILAR
-    ))
+    )})
     same, romanized = F.col("_same"), F.coalesce(label.isin(ROMANIZED), F.lit(False))
     accepted = (
         F.when(blank, F.lit(None))
@@ -102,8 +105,8 @@ def gate_and_fallback(df: DataFrame, dictionary: dict[str, str], text: str = S.T
         .when(same, F.lit(None))
         .otherwise(result)
     )
-    out = gated.withColumn("_accepted", accepted)
-    out = out.withColumn(S.CLEANED, clean_text(F.col("_accepted")))
+    out = with_computed(gated, {"_accepted": accepted})
+    out = with_computed(out, {S.CLEANED: clean_text(F.col("_accepted"))})
     return out.withColumns({
         S.IS_TRANSLATED: F.col("_accepted").isNotNull(),
         S.REMOVED_BY_TRANSLATION: G.is_empty(F.col(S.CLEANED)),
@@ -126,7 +129,7 @@ def translate_comments(df: DataFrame, translate: Callable[[DataFrame], DataFrame
 
 def flag_final_cleanup(df: DataFrame, cleaned: str = S.CLEANED) -> DataFrame:
     flag = G.fails_final_cleanup(F.col(cleaned)) if cleaned in df.columns else F.lit(False)
-    return df.withColumn(S.REMOVED_IN_CLEANUP, flag)
+    return with_computed(df, {S.REMOVED_IN_CLEANUP: flag})
 
 
 def final_cleanup(df: DataFrame, cleaned: str = S.CLEANED) -> DataFrame:

@@ -1,4 +1,10 @@
-"""Composite jobs: what a user calls. Each returns lazy DataFrames; writing is explicit."""
+"""Composite jobs: what a user calls.
+
+Jobs return lazy DataFrames. Several results of one job (a table and its reports) would each
+run the whole plan again, so jobs with costly steps take a ``stage_dir``: a folder shared by
+all executors where a step's table is written once and read back. A written table also ends
+the lineage, so a lost executor does not replay earlier steps.
+"""
 
 from __future__ import annotations
 
@@ -29,15 +35,24 @@ class Stage:
             files.write_report_json(report, f"{path}/reports/{name}")
 
 
-def language_audit(comments: DataFrame, order: list[str]) -> Stage:
-    audited = L.add_detected_language(comments)
+def staged(df: DataFrame, stage_dir: str | None, name: str) -> DataFrame:
+    """The table after a round trip through ``stage_dir``; unchanged without one."""
+    if stage_dir is None:
+        return df
+    files.write_parquet(df, f"{stage_dir}/{name}")
+    return df.sparkSession.read.schema(df.schema).parquet(f"{stage_dir}/{name}")
+
+
+def language_audit(comments: DataFrame, order: list[str], stage_dir: str | None = None) -> Stage:
+    audited = staged(L.add_detected_language(comments), stage_dir, "language_audited")
     return Stage(audited, {
         "distribution": L.language_distribution(audited), "examples": L.top_examples(audited, order),
     })
 
 
-def preprocess(comments: DataFrame, by: str | None = None) -> Stage:
-    flagged = cleaning.flag_comments(comments)
+def preprocess(comments: DataFrame, by: str | None = None, stage_dir: str | None = None) -> Stage:
+    """Kept comments; the report counts flags before the filter, from the same stored table."""
+    flagged = staged(cleaning.flag_comments(comments), stage_dir, "flagged")
     return Stage(cleaning.keep_useful(flagged), {"preprocessing": cleaning.preprocessing_report(flagged, by)})
 
 
@@ -58,8 +73,8 @@ def validate_latest(spark: SparkSession, video_dir: str, comment_dir: str) -> di
 
 
 def translate_and_cleanup(comments: DataFrame, translate: Callable[[DataFrame], DataFrame], dictionary: dict[str, str],
-                          key: str = "comment_id") -> Stage:
-    translated = TR.translate_comments(comments, translate, dictionary, key)
+                          key: str = "comment_id", stage_dir: str | None = None) -> Stage:
+    translated = staged(TR.translate_comments(comments, translate, dictionary, key), stage_dir, "translated")
     return Stage(TR.final_cleanup(translated), {
         "translation": TR.translation_report(translated), "translated_by_language": TR.translated_by_language(translated),
         "readiness": TR.readiness_report(translated),
@@ -67,8 +82,8 @@ def translate_and_cleanup(comments: DataFrame, translate: Callable[[DataFrame],
 
 
 def export_master(videos: DataFrame, comments: DataFrame, video_files: int, comment_files: int,
-                  order: list | None = None) -> Stage:
-    joined = M.build_master(videos, comments)
+                  order: list | None = None, stage_dir: str | None = None) -> Stage:
+    joined = staged(M.build_master(videos, comments), stage_dir, "joined")
     unique = M.remove_duplicate_comments(joined, order)
     return Stage(unique, {
         "master": M.master_report(unique, videos, video_files, comment_files, joined), "products": M.products(unique),
@@ -80,20 +95,19 @@ def annotation_setup(master: DataFrame, sample_size: int = 300, seed: int = 42)
     return Stage(template, {"annotation": A.annotation_report(template)})
 
 
-def product_insights(master: DataFrame) -> Stage:
-    scored = insights.add_rule_sentiment(master)
+def product_insights(master: DataFrame, stage_dir: str | None = None) -> Stage:
+    scored = staged(insights.add_rule_sentiment(master), stage_dir, "scored")
     return Stage(insights.product_insights(scored), {"summary": insights.insight_summary(scored)})
 
 
 def process_products(raw_comments: DataFrame, videos: DataFrame, translate: Callable[[DataFrame], DataFrame],
-                     dictionary: dict[str, str], done: DataFrame | None = None) -> Stage:
-    """Audit, clean, translate and join all products that are not processed yet, in one plan."""
+                     dictionary: dict[str, str], done: DataFrame | None = None, stage_dir: str | None = None) -> Stage:
+    """Audit, clean, translate and join all products that are not processed yet, together."""
     slugged = raw_comments.withColumn("product_slug", product_slug(F.col(S.PRODUCT)))
     todo = slugged if done is None else files.skip_processed(slugged, done)
-    audited = L.add_detected_language(todo)
-    kept = cleaning.preprocess_comments(audited)
-    cleaned = translate_and_cleanup(kept, translate, dictionary)
-    exported = export_master(videos, cleaned.table, 1, 1)
+    kept = staged(cleaning.preprocess_comments(L.add_detected_language(todo)), stage_dir, "kept")
+    cleaned = translate_and_cleanup(kept, translate, dictionary, stage_dir=stage_dir)
+    exported = export_master(videos, cleaned.table, 1, 1, stage_dir=stage_dir)
     return Stage(exported.table, {**cleaned.reports, **exported.reports})
 
 
