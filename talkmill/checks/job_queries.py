@@ -287,7 +287,7 @@ def _ingest(t):
     landed = stream.read_landed(t.spark, t.dir, t.documents.schema, "documents.parquet")
     comments = comments_of(landed)
     for _ in range(2):  # the second run finds nothing new
-        stream.incremental_ingest(comments, f"{out}/table", f"{out}/checkpoint")
+        stream.incremental_ingest(comments, f"{out}/table", f"{out}/checkpoint", partitions=t.spark.sparkContext.defaultParallelism)
     return t.spark.read.parquet(f"{out}/table").select("comment_id", S.CLEANED, "detected_language")
 
 

@@ -11,10 +11,11 @@ from talkmill import schemas as S
 from talkmill.functions import patterns as P
 from talkmill.functions.binding import let
 from talkmill.functions.flags import contains_any
-from talkmill.operators.ranking import broadcast_if_small, first_rows, stack_columns
+from talkmill.operators.ranking import first_rows, small_enough, stack_columns
 
 # Runs of two or more word characters.
 TERM = rf"[{P.WORD}]{{2,}}"
+MAX_GROUPS = 1000
 
 
 def tokens(c: Column, stop_words: list[str] = ()) -> Column:
@@ -57,25 +58,34 @@ def top_terms_by(df: DataFrame, by: str, n: int, text: str = S.CLEANED, size: in
 
 
 def whole_word(word: str) -> str:
-    return rf"(?i)(?<![{P.WORD}]){word}(?![{P.WORD}])"
+    return rf"(?<![{P.WORD}]){word}(?![{P.WORD}])"
+
+
+def _word_hits(text: str, words: list[str]) -> Column:
+    """0/1 per word: occurs as a whole word, ignoring case. The substring test comes first."""
+    def hits(low: Column) -> Column:
+        return F.array(*[(low.contains(w) & low.rlike(whole_word(w))).cast("int") for w in words])
+
+    return let(F.lower(F.coalesce(F.col(text), F.lit(""))), hits)
 
 
 def keyword_rows(df: DataFrame, keywords: list[str], text: str = S.CLEANED) -> DataFrame:
     """Rows that contain each keyword as a whole word."""
-    c = F.coalesce(F.col(text), F.lit(""))
-    counted = df.agg(*[F.count_if(c.rlike(whole_word(k))).alias(f"_{i}") for i, k in enumerate(keywords)])
+    marked = df.select(_word_hits(text, keywords).alias("h"))
+    counted = marked.agg(*[F.coalesce(F.sum(F.col("h")[i]), F.lit(0)).alias(f"_{i}") for i in range(len(keywords))])
     return stack_columns(counted, {f"_{i}": k for i, k in enumerate(keywords)}, "keyword", "n")
 
 
 def feature_word_counts(df: DataFrame, features: dict[str, list[str]], text: str = S.CLEANED, by: list[str] = ()) -> DataFrame:
     """Per feature the summed rows of its keywords; a row may count for several keywords."""
-    c = F.coalesce(F.col(text), F.lit(""))
-    sums = [
-        reduce(add, [F.count_if(c.rlike(whole_word(w))) for w in words]).alias(f"_{i}")
-        for i, words in enumerate(features.values())
-    ]
-    counted = df.groupBy(*by).agg(*sums)
-    return stack_columns(counted, {f"_{i}": f for i, f in enumerate(features)}, "feature", "n", list(by))
+    words = [w for ws in features.values() for w in ws]
+    marked = df.select(*by, _word_hits(text, words).alias("h"))
+    sums, at = [], 0
+    for i, ws in enumerate(features.values()):
+        in_row = reduce(add, [F.col("h")[at + k] for k in range(len(ws))])
+        sums.append(F.coalesce(F.sum(in_row), F.lit(0)).alias(f"_{i}"))
+        at += len(ws)
+    return stack_columns(marked.groupBy(*by).agg(*sums), {f"_{i}": f for i, f in enumerate(features)}, "feature", "n", list(by))
 
 
 def mentions_any(c: Column, keywords: list[str]) -> Column:
@@ -104,7 +114,8 @@ def topic_phrases(df: DataFrame, by: str, key: str, n: int = 10, text: str = S.C
     """Top unigrams and bigrams per group by tf * ln(rows / df), with example comments.
 
     One explode yields both the occurrences and, per comment, one mark for each distinct
-    phrase; the result of the ranking is small and finds its examples by an equi-join.
+    phrase. Examples are found by key; texts are fetched last, for the few chosen comments.
+    Runs a job that counts the groups, which bounds the result to ``n`` phrases per group.
     """
     both = F.concat(ngrams(F.col(text), 1, stop_words), ngrams(F.col(text), 2, stop_words))
 
@@ -117,15 +128,19 @@ def topic_phrases(df: DataFrame, by: str, key: str, n: int = 10, text: str = S.C
         F.sum("tf").alias("tf"), F.sum("df").alias("df")
     )
     rows = df.groupBy(by).agg(F.count("*").alias("rows"))
-    scored = counts.join(rows, by).withColumn(
+    few_groups = small_enough(df.select(by).distinct(), MAX_GROUPS)
+
+    def small(table: DataFrame) -> DataFrame:
+        return F.broadcast(table) if few_groups else table
+
+    scored = counts.join(small(rows), by).withColumn(
         "score", F.round(F.col("tf") * F.ln(F.col("rows") / F.col("df")), 6)
     )
     top = first_rows(scored, [by], [F.desc("score"), F.col("phrase")], n).select(by, "phrase", "tf", "df", "score")
-    per_comment = df.select(
-        by, F.col(key).alias("_key"), F.col(text).alias("_text"), F.explode(F.array_distinct(both)).alias("phrase")
-    )
-    found = per_comment.join(broadcast_if_small(top.select(by, "phrase")), [by, "phrase"])
-    shown = first_rows(found, [by, "phrase"], [F.col("_key")], examples, rank="_r").groupBy(by, "phrase").agg(
+    per_comment = df.select(by, F.col(key).alias("_key"), F.explode(F.array_distinct(both)).alias("phrase"))
+    found = per_comment.join(small(top), [by, "phrase"])
+    chosen = first_rows(found, [by, "phrase"], [F.col("_key")], examples, rank="_r")
+    texts = df.select(F.col(key).alias("_key"), F.col(text).alias("_text")).join(small(chosen), "_key")
+    return texts.groupBy(by, "phrase", "tf", "df", "score").agg(
         F.transform(F.array_sort(F.collect_list(F.struct("_r", "_text"))), lambda e: e["_text"]).alias("examples")
     )
-    return top.join(shown, [by, "phrase"])

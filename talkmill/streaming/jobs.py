@@ -34,8 +34,11 @@ def run_available(stream: DataFrame, out: str, checkpoint: str, partition_by: li
     (writer.partitionBy(*partition_by) if partition_by else writer).start().awaitTermination()
 
 
-def incremental_ingest(comments: DataFrame, out: str, checkpoint: str, text: str = S.TEXT) -> None:
-    run_available(detect_clean_filter(comments, text), out, checkpoint)
+def incremental_ingest(comments: DataFrame, out: str, checkpoint: str, text: str = S.TEXT,
+                       partitions: int | None = None) -> None:
+    """Batches of few large files can be spread over ``partitions`` tasks before the text work."""
+    spread = comments if partitions is None else comments.repartition(partitions)
+    run_available(detect_clean_filter(spread, text), out, checkpoint)
 
 
 def stream_dedup(stream: DataFrame, key: str, event_time: str, delay: str = "10 minutes") -> DataFrame:
