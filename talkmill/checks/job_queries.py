@@ -8,17 +8,18 @@ from talkmill import schemas as S
 from talkmill.checks import sql as Q
 from talkmill.checks.bindings import comments_of, lit
 from talkmill.checks.registry import register
-from talkmill.checks.text_queries import DICTIONARY, _jaccard_sql, _normalized_sql, pseudo
-from talkmill.checks.table_queries import _predicted
+from talkmill.checks.text_queries import DICTIONARY, _normalized_sql
 from talkmill.functions import lexicons as X, sentiment as SE
 from talkmill.functions.competitors import extract_competitors
-from talkmill.operators import cleaning as C, insights as I, language_audit as L, learning as LE, metrics, sampling as SA
+from talkmill.operators import cleaning as C, insights as I, language_audit as L, learning as LE, metrics
 from talkmill.operators import terms as TE, translation as TR
 from talkmill.plans import jobs
 from talkmill.session import run_dir
 from talkmill.streaming import jobs as stream
 
-RAW = F.col("comment_text")
+
+def raw():
+    return F.col("comment_text")
 
 
 def _scored(t):
@@ -26,7 +27,7 @@ def _scored(t):
 
 
 # --- sentiment ------------------------------------------------------------------
-register("rule_sentiment", lambda t: t.comments.select("comment_id", SE.sentiment_score(RAW).alias("score"), SE.rule_sentiment(RAW).alias("label")),
+register("rule_sentiment", lambda t: t.comments.select("comment_id", SE.sentiment_score(raw()).alias("score"), SE.rule_sentiment(raw()).alias("label")),
          Q.with_scored("SELECT comment_id, score, predicted_sentiment AS label FROM scored"))
 _STOP = ["the", "of", "and", "is", "to", "in", "le", "la", "de", "der", "die", "und", "el", "que"]
 
@@ -56,7 +57,7 @@ register("product_sentiment", lambda t: I.sentiment_distribution(I.add_rule_sent
 # --- competitors ------------------------------------------------------------------
 _COMPETITORS = f"named AS (SELECT product_query, unnest({Q.competitors('comment_text', 'product_query')}) AS competitor, comment_id FROM comments)"
 _MENTIONS = "mentioned AS (SELECT *, row_number() OVER (PARTITION BY product_query ORDER BY mentions DESC, competitor) AS r FROM (SELECT product_query, competitor, count(*) AS mentions FROM named GROUP BY 1, 2))"
-register("extract_competitors", lambda t: t.comments.select("comment_id", F.explode(extract_competitors(RAW, F.col("product_query"))).alias("competitor")),
+register("extract_competitors", lambda t: t.comments.select("comment_id", F.explode(extract_competitors(raw(), F.col("product_query"))).alias("competitor")),
          Q.with_comments("SELECT comment_id, competitor FROM named", _COMPETITORS))
 register("competitor_mentions", lambda t: I.competitor_mentions(t.comments, text="comment_text", n=None),
          Q.with_comments("SELECT product_query, competitor, mentions FROM mentioned", _COMPETITORS, _MENTIONS))
@@ -146,7 +147,12 @@ register("top_comments_by_aspect", lambda t: I.top_comments_by_aspect(_aspects(t
 
 # --- translation ------------------------------------------------------------------
 # Landed translations: other text, the same text, or blank.
-_LANDED = F.when(F.col("doc_id") % 3 == 0, F.concat_ws(" ", F.md5(RAW), F.sha1(RAW))).when(F.col("doc_id") % 3 == 1, RAW).when(F.col("doc_id") % 6 == 2, F.lit(" "))
+
+
+def _landed():
+    return F.when(F.col("doc_id") % 3 == 0, F.concat_ws(" ", F.md5(raw()), F.sha1(raw()))).when(F.col("doc_id") % 3 == 1, raw()).when(F.col("doc_id") % 6 == 2, F.lit(" "))
+
+
 _LANDED_SQL = "CASE WHEN doc_id % 3 = 0 THEN concat_ws(' ', md5(comment_text), sha1(comment_text)) WHEN doc_id % 3 = 1 THEN comment_text WHEN doc_id % 6 = 2 THEN ' ' END"
 
 
@@ -158,7 +164,6 @@ def _audited(t):
 _DETECTED = f"det AS (SELECT doc_id, comment_id, comment_text, {Q.detect_language('comment_text')} AS detected_language FROM comments)"
 _CODED = f"""coded AS (SELECT d.*, coalesce({Q.lookup('detected_language', X.LANGUAGE_CODES)}, f.code) AS source_code FROM det d LEFT JOIN (SELECT detected_language AS dl, arg_min(code, comment_id) AS code
   FROM (SELECT *, {{code}} AS code FROM det WHERE coalesce(comment_text, '') <> '' AND {Q.lookup('detected_language', X.LANGUAGE_CODES)} IS NULL) GROUP BY 1) f ON f.dl = d.detected_language WHERE detected_language <> 'english')"""
-_SCRIPT_OF = f"""CASE WHEN regexp_matches(comment_text, '[\\p{{Cyrillic}}]{{2}}') AND len(regexp_extract_all(comment_text, '\\p{{Cyrillic}}')) >= greatest(2, length({Q.rep('comment_text', f'[{Q._WS}]+', '')}) * 0.2) THEN 'rus_Cyrl' END"""
 register("route_non_english", lambda t: TR.route_non_english(_audited(t)).select("comment_id", "detected_language"),
          Q.with_comments("SELECT comment_id, detected_language FROM det WHERE detected_language <> 'english'", _DETECTED))
 
@@ -175,7 +180,7 @@ _WITH_CODES = _CODED.format(code=_script_sql("comment_text"))
 register("resolve_source_code", lambda t: TR.resolve_source_code(TR.route_non_english(_audited(t)), "comment_id").select("comment_id", "detected_language", "source_code"),
          Q.with_comments("SELECT comment_id, detected_language, source_code FROM coded", _DETECTED, _WITH_CODES))
 register("apply_translations", lambda t: TR.apply_translations(
-    TR.route_non_english(_audited(t)), t.comments.select("comment_id", _LANDED.alias("translation")), ["comment_id"]).select("comment_id", "translation"),
+    TR.route_non_english(_audited(t)), t.comments.select("comment_id", _landed().alias("translation")), ["comment_id"]).select("comment_id", "translation"),
     Q.with_comments(f"SELECT comment_id, {_LANDED_SQL} AS translation FROM det WHERE detected_language <> 'english'", _DETECTED))
 
 
@@ -194,12 +199,11 @@ register("translate_with_function",
 
 
 def _translated(t):
-    landed = t.comments.select("comment_id", _LANDED.alias("translation"))
-    base = _audited(t).withColumn(S.CLEANED, RAW)
+    landed = t.comments.select("comment_id", _landed().alias("translation"))
+    base = _audited(t).withColumn(S.CLEANED, raw())
     return TR.translate_comments(base, lambda d: TR.apply_translations(d, landed, ["comment_id"]), DICTIONARY, "comment_id")
 
 
-_SIM = _jaccard_sql("coalesce(comment_text, '')", "translation", Q.COMMENTS_SQL, "comment_id").split("SELECT comment_id, CASE WHEN a = ''")
 _GATED = [_DETECTED, _WITH_CODES, f"land AS (SELECT *, {Q.strip(_LANDED_SQL)} AS result FROM coded)",
     f"""nrm AS (SELECT *, lower({Q.whitespace("coalesce(comment_text, '')")}) AS a, lower({Q.whitespace("coalesce(result, '')")}) AS b FROM land)""",
     """gram AS (SELECT * EXCLUDE (x, y), list_distinct([x[i] || x[i+1] FOR i IN range(1, len(x))]) AS ga, list_distinct([y[i] || y[i+1] FOR i IN range(1, len(y))]) AS gb FROM (SELECT *, string_split(a, '') AS x, string_split(b, '') AS y FROM nrm))""",
@@ -262,7 +266,7 @@ register("export_master", lambda t: jobs.export_master(_video_side(t), t.comment
 
 
 def _processed(t):
-    landed = t.comments.select("comment_id", _LANDED.alias("translation"))
+    landed = t.comments.select("comment_id", _landed().alias("translation"))
     stage = jobs.process_products(t.comments.drop("text"), _video_side(t), lambda d: TR.apply_translations(d, landed, ["comment_id"]), DICTIONARY,
                                   stage_dir=run_dir(t.spark, "process"))
     return stage.table.select("comment_id", "product_query", S.CLEANED, "detected_language", "is_translated", "video_title")
@@ -275,7 +279,7 @@ register("process_product", _processed, Q.with_comments(
     Q.FLAGGED, *[part.replace("FROM det WHERE coalesce(comment_text", "FROM det SEMI JOIN (SELECT comment_id FROM flagged WHERE NOT is_removed_by_cleaning) USING (comment_id) WHERE coalesce(comment_text") for part in _GATED]))
 register("annotation_setup", lambda t: jobs.annotation_setup(t.comments, 40, 11).table.groupBy("product_query").agg(F.count("*").alias("n"), F.count_if(F.col("sentiment_label") == "").alias("blank")),
          Q.with_comments("SELECT product_query, 2 AS n, 2 AS blank FROM comments GROUP BY 1"))
-register("annotation_analysis", lambda t: jobs.annotation_analysis(t.flagged_annotations.withColumn(S.CLEANED, RAW))["sentiment_by_aspect"], Q.with_annotated(
+register("annotation_analysis", lambda t: jobs.annotation_analysis(t.flagged_annotations.withColumn(S.CLEANED, raw()))["sentiment_by_aspect"], Q.with_annotated(
     "SELECT aspect_label, " + ", ".join(f"count(*) FILTER (sentiment_label = {lit(s)}) AS {s.lower()}" for s in X.SENTIMENT_LABELS) + " FROM annotated WHERE aspect_label IS NOT NULL AND sentiment_label IS NOT NULL GROUP BY 1"))
 register("aspect_audit", lambda t: jobs.aspect_audit(t.annotated)["buckets"].select("aspect_label", "n", "bucket"), Q.with_annotated(
     "SELECT aspect_label, count(*) AS n, CASE WHEN count(*) <= 10 THEN 'rare' WHEN count(*) <= 20 THEN 'low' ELSE 'adequate' END AS bucket FROM annotated WHERE aspect_label IS NOT NULL GROUP BY 1"))
@@ -327,4 +331,3 @@ register("like_weighted_training", lambda t: metrics.overall_metrics(
     _CLF.predict(_CLF.train(LE.like_weighted(_seeds(t)), "sample", "sample_weight"), _labelled(t)), "lang", "predicted", _LANGS))
 register("pseudo_label", lambda t: LE.pseudo_label_and_retrain(_CLF, _seeds(t), _labelled(t), "doc_id")[1].groupBy("source", "lang").agg(F.count("*").alias("n")))
 register("self_train", lambda t: LE.self_train(_CLF, _seeds(t), LE.unlabeled(_labelled(t), t.labels, "doc_id"), "doc_id", 2, 50)[1].groupBy("lang").agg(F.count("*").alias("n")))
-assert SA and pseudo and _predicted

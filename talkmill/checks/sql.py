@@ -99,7 +99,8 @@ def link_only(x: str) -> str:
 
 
 def emoji_only(x: str) -> str:
-    return rf"(NOT {has(x, '[\p{L}\p{N}]')} AND {has(x, '[\p{S}\p{M}\p{P}]')})"
+    text, symbol = r"[\p{L}\p{N}]", r"[\p{S}\p{M}\p{P}]"
+    return f"(NOT {has(x, text)} AND {has(x, symbol)})"
 
 
 _REPEATABLE = "abcdefghijklmnopqrstuvwxyz0123456789äçèéêíñóöüß"

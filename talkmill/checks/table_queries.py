@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
-from pyspark.sql import Column, functions as F
+from pyspark.sql import functions as F
 
 from talkmill import schemas as S
 from talkmill.checks import sql as Q
@@ -17,11 +15,12 @@ from talkmill.operators import learning, master as M, metrics, profiling as PR,
 from talkmill.sources import files, landed_json as J
 from talkmill.session import run_dir
 
-RAW = F.col("comment_text")
+
+def raw():
+    return F.col("comment_text")
 
 
-def struct_columns(schema) -> list[str]:
-    return [f.name for f in schema]
+_SQL_TYPES = {"string": "VARCHAR", "bigint": "BIGINT", "boolean": "BOOLEAN"}
 
 
 # --- sources and sinks --------------------------------------------------------
@@ -50,7 +49,7 @@ register("latest_dataset", _latest, "SELECT r_regionkey, r_name FROM region")
 def _csv_round_trip(t):
     out = run_dir(t.spark, "csv")
     files.write_csv(t.comments.select("comment_id", "comment_text", "like_count"), out)
-    return files.scan_csv(t.spark, out).select("comment_id", RAW.alias("comment_text"), F.col("like_count").cast("bigint").alias("like_count"))
+    return files.scan_csv(t.spark, out).select("comment_id", raw().alias("comment_text"), F.col("like_count").cast("bigint").alias("like_count"))
 
 
 register("scan_csv", _csv_round_trip, Q.with_comments(
@@ -90,10 +89,15 @@ _REPORT = """count(*) AS original_rows, count(*) FILTER (NOT is_removed_by_clean
 register("write_report_json", _report, Q.with_flagged(f"SELECT {_REPORT} FROM flagged"))
 register("table_shape", lambda t: files.table_shape(t.lineitem.drop("l_shipdate")),
          "SELECT ordinal_position - 1 AS position, column_name AS \"column\", CASE data_type WHEN 'BIGINT' THEN 'bigint' WHEN 'INTEGER' THEN 'int' WHEN 'DOUBLE' THEN 'double' WHEN 'VARCHAR' THEN 'string' END AS type, (SELECT count(*) FROM lineitem) AS rows FROM information_schema.columns WHERE table_name = 'lineitem' AND column_name <> 'l_shipdate'")
-_SLUG = T.product_slug(F.col("product_query"))
+
+
+def _slug():
+    return T.product_slug(F.col("product_query"))
+
+
 register("skip_processed",
-         lambda t: files.skip_processed(t.comments.select(_SLUG.alias("product_slug"), "comment_id"),
-                                        t.annotated.filter("like_count = 7").select(_SLUG.alias("product_slug"))),
+         lambda t: files.skip_processed(t.comments.select(_slug().alias("product_slug"), "comment_id"),
+                                        t.annotated.filter("like_count = 7").select(_slug().alias("product_slug"))),
          Q.with_annotated(f"SELECT s AS product_slug, comment_id FROM (SELECT {Q.slug('product_query')} AS s, comment_id FROM comments) WHERE s NOT IN (SELECT {Q.slug('product_query')} FROM annotated WHERE like_count = 7)"))
 
 # --- landed API responses built from the given tables --------------------------
@@ -145,7 +149,8 @@ register("cap_per_video", lambda t: J.cap_per_video(t.conversations.select("conv
 # --- conformance ----------------------------------------------------------------
 register("ensure_columns", lambda t: P.ensure_columns(t.comments),
          Q.with_comments("SELECT " + ", ".join(
-             n if n in ("product_query", "video_id", "comment_id", "comment_text") else f"NULL AS {n}" for n in struct_columns(S.MASTER)) + " FROM comments"))
+             f.name if f.name in ("product_query", "video_id", "comment_id", "comment_text") else f"CAST(NULL AS {_SQL_TYPES[f.dataType.simpleString()]}) AS {f.name}"
+             for f in S.MASTER) + " FROM comments"))
 register("rename_comment_cols", lambda t: P.rename_comment_columns(t.comments.select("comment_id", "like_count", F.col("lang").alias("title"))),
          Q.with_comments("SELECT comment_id, like_count AS comment_like_count, lang AS video_title FROM comments"))
 # Customers stand for videos (two rows each, the cheaper one first) and orders for comments.
@@ -193,7 +198,7 @@ register("coalesce_join_cols", lambda t: _joined_pair(t).select("comment_id", "p
          f"WITH {_VIDEO_TABLE}, {_COMMENT_TABLE} SELECT comment_id, product_query, video_title FROM ({_JOINED})")
 _TEMPLATE = ["sentiment_label", "aspect_label", "review_notes", *[f"is_{n.lower().replace(' ', '_')}" for n in X.NOTE_LABELS]]
 register("annotation_template", lambda t: P.annotation_template(t.comments),
-         Q.with_comments("SELECT product_query, video_id, NULL AS video_title, NULL AS channel_name, comment_id, comment_text, NULL AS cleaned_comment_text, NULL AS comment_like_count, NULL AS detected_language, "
+         Q.with_comments("SELECT product_query, video_id, CAST(NULL AS VARCHAR) AS video_title, CAST(NULL AS VARCHAR) AS channel_name, comment_id, comment_text, CAST(NULL AS VARCHAR) AS cleaned_comment_text, CAST(NULL AS VARCHAR) AS comment_like_count, CAST(NULL AS VARCHAR) AS detected_language, "
                          + ", ".join(f"'' AS {c}" for c in _TEMPLATE) + " FROM comments"))
 _NOTE = f"nullif({Q.title('trim(review_notes)')}, '')"
 register("note_flags", lambda t: P.note_flags(t.annotated.select("comment_id", "review_notes")),
@@ -231,7 +236,7 @@ register("missing_sorted", lambda t: QU.missing_sorted(t.annotated.select(*_ACOL
          Q.with_annotated(f"SELECT \"column\", missing_count FROM ({_missing_sql('annotated', _ACOLS)}) WHERE missing_count > 0"))
 register("missing_cell_pct", lambda t: QU.missing_cells(t.annotated.select(*_ACOLS), None),
          Q.with_annotated(f"SELECT m AS missing_cells, a AS all_cells, m / a::DOUBLE * 100 AS percentage_missing_values FROM (SELECT {' + '.join(f'(count(*) - count({c}))' for c in _ACOLS)} AS m, count(*) * {len(_ACOLS)} AS a FROM annotated)"))
-register("pct_of_rows", lambda t: t.comments.groupBy("product_query").agg(F.count_if(RAW.isNull()).alias("part"), F.count("*").alias("rows"))
+register("pct_of_rows", lambda t: t.comments.groupBy("product_query").agg(F.count_if(raw().isNull()).alias("part"), F.count("*").alias("rows"))
          .withColumn("pct", B.percent(F.col("part"), F.col("rows"), None)),
          Q.with_comments("SELECT product_query, count(*) FILTER (comment_text IS NULL) AS part, count(*) AS rows, count(*) FILTER (comment_text IS NULL) / count(*)::DOUBLE * 100 AS pct FROM comments GROUP BY 1"))
 _TQ = f"""count(*) FILTER (coalesce(comment_text, '') = '') AS empty_comments,
@@ -293,7 +298,7 @@ register("profile_videos",
          lambda t: PR.profile_videos(t.orders.select(F.col("o_custkey").cast("string").alias("channel_name"), F.col("o_custkey").cast("string").alias("view_count"),
                                                      F.when(F.col("o_orderkey") % 3 != 0, F.col("o_orderkey").cast("string")).otherwise(F.col("o_orderpriority")).alias("like_count"), F.lit(1).alias("comment_count"))),
          """SELECT count(*) AS number_of_videos, count(DISTINCT o_custkey) AS unique_channels, round(avg(o_custkey), 2) AS average_views,
-            round(avg(o_orderkey) FILTER (o_orderkey % 3 <> 0), 2) AS average_likes, 1.0 AS average_comments FROM orders""")
+            round(avg(o_orderkey) FILTER (o_orderkey % 3 <> 0), 2) AS average_likes, 1.0::DOUBLE AS average_comments FROM orders""")
 register("profile_comments", lambda t: PR.profile_comments(t.comments, digits=None),
          Q.with_comments("""SELECT count(*) AS total_comments, CAST(sum(length(coalesce(comment_text, ''))) AS DOUBLE) / count(*)::DOUBLE AS average_comment_length,
             quantile_cont(length(coalesce(comment_text, '')), 0.5) AS median_comment_length, count(DISTINCT video_id) AS unique_videos_represented FROM comments"""))
@@ -345,9 +350,9 @@ register("spam_sets", lambda t: A.spam_sets(t.flagged_annotations).select("comme
     "SELECT comment_id, CASE WHEN ls AND is_spam THEN 'hit' WHEN ls THEN 'miss' ELSE 'false_positive' END AS agreement FROM fa WHERE ls OR is_spam", _FLAGGED_ANNOTATIONS))
 register("product_stats", lambda t: A.product_stats(t.flagged_annotations), Q.with_annotated(
     "SELECT product_query, count(comment_id) AS comments, count(*) FILTER (is_spam) AS spam, count(*) FILTER (is_translated) AS translated, count(*) FILTER (is_short_comment) AS short FROM fa GROUP BY 1", _FLAGGED_ANNOTATIONS))
-register("dataset_kpis", lambda t: A.dataset_kpis(t.comments.withColumns({"is_spam": G.is_spam(RAW), "is_translated": F.col("lang") != "en"}), t.labels), Q.with_comments(
+register("dataset_kpis", lambda t: A.dataset_kpis(t.comments.withColumns({"is_spam": G.is_spam(raw()), "is_translated": F.col("lang") != "en"}), t.labels), Q.with_comments(
     f"SELECT count(*) AS total_comments, count(DISTINCT product_query) AS products, count(*) FILTER ({Q.is_spam('comment_text')}) AS spam_flagged, count(*) FILTER (lang <> 'en') AS translated, (SELECT count(*) FROM labels) AS annotated FROM comments"))
-_DESCRIBE = """SELECT n AS count, s / n AS mean, sqrt((q - s * s / n) / (n - 1)) AS std, lo AS min, q25, q50, q75, hi AS max FROM (
+_DESCRIBE = """SELECT CAST(n AS BIGINT) AS count, s / n AS mean, sqrt((q - s * s / n) / (n - 1)) AS std, lo AS min, q25, q50, q75, hi AS max FROM (
   SELECT count(v)::DOUBLE AS n, sum(v)::DOUBLE AS s, sum(v * v)::DOUBLE AS q, min(v) AS lo, max(v) AS hi, quantile_cont(v, 0.25) AS q25, quantile_cont(v, 0.5) AS q50, quantile_cont(v, 0.75) AS q75 FROM ({0}))"""
 register("describe_numeric", lambda t: PR.describe(t.documents, F.length("text")), _DESCRIBE.format("SELECT length(text)::BIGINT AS v FROM documents"))
 register("describe_likes", lambda t: PR.describe(t.comments, F.col("like_count")), Q.with_comments(_DESCRIBE.format("SELECT like_count AS v FROM comments")))
@@ -356,7 +361,7 @@ register("histogram", lambda t: PR.histogram(t.documents, F.length("text")),
             FROM (SELECT length(text)::DOUBLE AS v, min(length(text)) OVER ()::DOUBLE AS lo, max(length(text)) OVER ()::DOUBLE AS hi FROM documents) GROUP BY 1""")
 register("value_counts", lambda t: PR.value_counts(t.comments, "like_count", 20),
          Q.with_comments("SELECT like_count, count(*) AS n FROM comments GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 20"))
-register("spam_pct", lambda t: PR.spam_share(t.comments.select(G.is_spam(RAW).alias("is_spam"))),
+register("spam_pct", lambda t: PR.spam_share(t.comments.select(G.is_spam(raw()).alias("is_spam"))),
          Q.with_comments(f"SELECT count(*) FILTER ({Q.is_spam('comment_text')}) / count(*)::DOUBLE * 100 AS spam_pct FROM comments"))
 register("text_length_summary", lambda t: PR.text_length_summary(t.documents, "text"),
          "SELECT count(text) AS count, sum(length(text))::DOUBLE / count(text)::DOUBLE AS mean_length, quantile_cont(length(text), 0.5) AS median_length FROM documents")
@@ -378,14 +383,19 @@ register("other_proportion", lambda t: metrics.label_share(pseudo(t), "pseudo_as
 # --- evaluation -------------------------------------------------------------------
 # Truth: the type of an event; prediction: the type chosen by its value and user.
 _KINDS = ["click", "error", "purchase", "signup", "view"]
-_PRED = F.when(F.col("user_id") % 3 == 0, F.col("event_type")).when(F.col("value") > 60, F.lit("view")).when(
+
+
+def _pred():
+    return F.when(F.col("user_id") % 3 == 0, F.col("event_type")).when(F.col("value") > 60, F.lit("view")).when(
     F.col("value") > 20, F.lit("click")).otherwise(F.lit("outside"))
+
+
 PREDICTED_SQL = """pr AS (SELECT event_id, user_id, event_type AS truth, CASE WHEN user_id % 3 = 0 THEN event_type WHEN value > 60 THEN 'view' WHEN value > 20 THEN 'click' ELSE 'outside' END AS pred FROM events)"""
 _LABELS = [*_KINDS, "never"]
 
 
 def _predicted(t):
-    return t.events.select("event_id", "user_id", F.col("event_type").alias("truth"), _PRED.alias("pred"))
+    return t.events.select("event_id", "user_id", F.col("event_type").alias("truth"), _pred().alias("pred"))
 
 
 _LABEL_LIST = ", ".join(lit(k) for k in _LABELS)
@@ -395,7 +405,6 @@ _CM = f"{PREDICTED_SQL}, {_GRID}, cm AS (SELECT g.truth, g.pred, count(pr.truth)
 
 def _per_label(source: str, by: str = "") -> str:
     k = f"{by}, " if by else ""
-    groups = f"(SELECT DISTINCT {by} FROM {source}), " if by else ""
     on = f"WHERE s.{by} = g.{by} AND" if by else "WHERE"
     head = f"g.{by}, " if by else ""
     g = f"(SELECT DISTINCT {by} FROM {source}) g, " if by else ""
@@ -403,7 +412,6 @@ def _per_label(source: str, by: str = "") -> str:
       (SELECT count(*) FROM {source} s {on} s.truth = l.label AND s.pred = l.label) AS tp,
       (SELECT count(*) FROM {source} s {on} s.pred = l.label) AS predicted, (SELECT count(*) FROM {source} s {on} s.truth = l.label) AS support
       FROM {g}(SELECT unnest([{_LABEL_LIST}]) AS label) l"""
-    del groups
     ratio = "CASE WHEN {1} = 0 THEN 0.0::DOUBLE ELSE {0}::DOUBLE / {1}::DOUBLE END"
     return f"""(SELECT *, CASE WHEN precision + recall = 0 THEN 0.0::DOUBLE ELSE 2 * precision * recall / (precision + recall) END AS f1 FROM
       (SELECT {k}label, tp, predicted, support, {ratio.format('tp', 'predicted')} AS precision, {ratio.format('tp', 'support')} AS recall FROM ({counts})))"""
@@ -477,7 +485,7 @@ register("top_channels", lambda t: PR.top_groups(t.comments, "video_id"), Q.with
 register("random_sample_n", lambda t: SA.random_sample(t.documents.select("doc_id", "source"), "doc_id", 300),
          "SELECT doc_id, source FROM documents ORDER BY md5('42:' || doc_id), doc_id LIMIT 300")
 register("browse_sample", lambda t: SA.random_sample(
-    C.browse(t.comments.select("comment_id", F.col("like_count").alias("comment_like_count"), RAW.alias(S.CLEANED)), 25), "comment_id", 15, 3)
+    C.browse(t.comments.select("comment_id", F.col("like_count").alias("comment_like_count"), raw().alias(S.CLEANED)), 25), "comment_id", 15, 3)
     .withColumn("h", F.md5(F.concat(F.lit("3:"), "comment_id"))).orderBy("h").limit(10).select("comment_id", "comment_like_count", T.preview(F.col(S.CLEANED), 200).alias("shown")),
     Q.with_comments("SELECT comment_id, like_count AS comment_like_count, left(comment_text, 200) AS shown FROM comments WHERE like_count >= 25 AND comment_text IS NOT NULL ORDER BY md5('3:' || comment_id) LIMIT 10"))
 register("shuffle", lambda t: SA.shuffle(t.documents.select("doc_id"), "doc_id"), "SELECT doc_id FROM documents")
@@ -497,4 +505,3 @@ register("random_oversample", lambda t: SA.random_oversample(t.documents.select(
 register("class_distribution_change", lambda t: SA.distribution_change(
     t.documents, SA.random_oversample(t.documents.select("doc_id", "lang"), "lang", "doc_id"), "lang"),
     "SELECT lang, count(*) AS n_before, (SELECT max(n) FROM (SELECT count(*) AS n FROM documents GROUP BY lang)) AS n_after, (SELECT max(n) FROM (SELECT count(*) AS n FROM documents GROUP BY lang)) / count(*)::DOUBLE AS ratio FROM documents GROUP BY 1")
-assert Column and reduce

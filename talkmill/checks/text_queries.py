@@ -9,22 +9,24 @@ from talkmill.checks import sql as Q
 from talkmill.checks.bindings import lit
 from talkmill.checks.registry import register
 from talkmill.functions import flags as G, labels as B, language as L, lexicons as X, romanized as R, text as T, unicode_repair as U
-from talkmill.operators import cleaning as C, learning, quality, terms
+from talkmill.operators import cleaning as C, learning, terms
 
-RAW = F.col("comment_text")
+
+def raw():
+    return F.col("comment_text")
 
 
 def _on_comments(name, column, sql_expr, out, sql_source="comment_text"):
     """One function over all comments."""
     register(
-        name, lambda t: t.comments.select("comment_id", column.alias(out)),
+        name, lambda t: t.comments.select("comment_id", column().alias(out)),
         Q.with_comments(f"SELECT comment_id, {sql_expr} AS {out} FROM comments"),
     )
 
 
 # --- cleaning -----------------------------------------------------------------
 register(
-    "clean_text", lambda t: t.comments.select("comment_id", T.clean_text(RAW).alias("cleaned")),
+    "clean_text", lambda t: t.comments.select("comment_id", T.clean_text(raw()).alias("cleaned")),
     Q.with_comments(f"SELECT comment_id, {Q.clean('comment_text')} AS cleaned FROM comments"),
 )
 register(
@@ -40,36 +42,36 @@ register(
     ),
     "SELECT doc_id, text AS repaired, text AS untouched FROM documents",
 )
-_on_comments("remove_unreadable", T.remove_unreadable(F.concat(F.lit("​\x07"), RAW, F.lit("﻿\n"))),
+_on_comments("remove_unreadable", lambda: T.remove_unreadable(F.concat(F.lit("\u200b\x07"), raw(), F.lit("\ufeff\n"))),
              Q.unreadable(f"{lit(chr(0x200b))} || chr(7) || comment_text || {lit(chr(0xfeff))} || chr(10)"), "readable")
 register(
     "remove_html", lambda t: t.pages.select("page_id", T.remove_html(F.col("html")).alias("plain")),
     f"SELECT page_id, {Q.no_html('html')} AS plain FROM pages",
 )
-_on_comments("remove_urls", T.normalize_whitespace(T.remove_urls(RAW)), Q.whitespace(Q.no_urls("comment_text")), "no_urls")
-_on_comments("collapse_punctuation", T.collapse_punctuation(RAW), Q.punctuation("comment_text"), "collapsed")
-_on_comments("normalize_whitespace", T.normalize_whitespace(RAW), Q.whitespace("comment_text"), "spaced")
-_on_comments("word_count", T.word_count(RAW), Q.hits("comment_text", rf"[^{Q._WS}]+"), "words")
+_on_comments("remove_urls", lambda: T.normalize_whitespace(T.remove_urls(raw())), Q.whitespace(Q.no_urls("comment_text")), "no_urls")
+_on_comments("collapse_punctuation", lambda: T.collapse_punctuation(raw()), Q.punctuation("comment_text"), "collapsed")
+_on_comments("normalize_whitespace", lambda: T.normalize_whitespace(raw()), Q.whitespace("comment_text"), "spaced")
+_on_comments("word_count", lambda: T.word_count(raw()), Q.hits("comment_text", rf"[^{Q._WS}]+"), "words")
 
 # --- flags --------------------------------------------------------------------
-_on_comments("is_empty", G.is_empty(T.clean_text(RAW)), Q.is_empty(Q.clean("comment_text")), "flag")
-_on_comments("is_deleted", G.is_deleted(RAW), Q.is_deleted("comment_text"), "flag")
-_on_comments("is_short", G.is_short(RAW), Q.is_short("comment_text"), "flag")
-_on_comments("is_single_word", G.is_single_word(T.clean_text(RAW)), Q.is_single_word(Q.clean("comment_text")), "flag")
-_on_comments("has_many_urls", G.has_many_urls(RAW), f"{Q.url_count('comment_text')} >= 2", "flag")
-_on_comments("is_link_only", G.is_link_only(RAW), Q.link_only("comment_text"), "flag")
-_on_comments("has_promo_text", G.has_promo_text(RAW), Q.promo("comment_text"), "flag")
-_on_comments("is_solicitation", G.is_solicitation(RAW), Q.solicitation("comment_text"), "flag")
-_on_comments("is_emoji_only", G.is_emoji_only(RAW), Q.emoji_only("comment_text"), "flag")
-_on_comments("has_repeated_chars", G.has_repeated_chars(RAW), Q.repeated("comment_text"), "flag")
-_on_comments("is_spam", G.is_spam(RAW), Q.is_spam("comment_text"), "flag")
+_on_comments("is_empty", lambda: G.is_empty(T.clean_text(raw())), Q.is_empty(Q.clean("comment_text")), "flag")
+_on_comments("is_deleted", lambda: G.is_deleted(raw()), Q.is_deleted("comment_text"), "flag")
+_on_comments("is_short", lambda: G.is_short(raw()), Q.is_short("comment_text"), "flag")
+_on_comments("is_single_word", lambda: G.is_single_word(T.clean_text(raw())), Q.is_single_word(Q.clean("comment_text")), "flag")
+_on_comments("has_many_urls", lambda: G.has_many_urls(raw()), f"{Q.url_count('comment_text')} >= 2", "flag")
+_on_comments("is_link_only", lambda: G.is_link_only(raw()), Q.link_only("comment_text"), "flag")
+_on_comments("has_promo_text", lambda: G.has_promo_text(raw()), Q.promo("comment_text"), "flag")
+_on_comments("is_solicitation", lambda: G.is_solicitation(raw()), Q.solicitation("comment_text"), "flag")
+_on_comments("is_emoji_only", lambda: G.is_emoji_only(raw()), Q.emoji_only("comment_text"), "flag")
+_on_comments("has_repeated_chars", lambda: G.has_repeated_chars(raw()), Q.repeated("comment_text"), "flag")
+_on_comments("is_spam", lambda: G.is_spam(raw()), Q.is_spam("comment_text"), "flag")
 register(
     "preprocess_filter", lambda t: C.preprocess_comments(t.comments).select("comment_id", S.CLEANED),
     Q.with_flagged("SELECT comment_id, cleaned_comment_text FROM flagged WHERE NOT is_removed_by_cleaning"),
 )
 register(
     "final_cleanup",
-    lambda t: t.comments.select("comment_id", RAW).filter(~G.fails_final_cleanup(RAW)),
+    lambda t: t.comments.select("comment_id", raw()).filter(~G.fails_final_cleanup(raw())),
     Q.with_comments(f"""SELECT comment_id, comment_text FROM comments WHERE NOT coalesce({Q.strip('comment_text')} = ''
       OR length({Q.strip('comment_text')}) < 3 OR starts_with({Q.strip('comment_text')}, 'http')
       OR {Q.is_single_word('comment_text')} OR {Q.emoji_only('comment_text')}, true)"""),
@@ -85,12 +87,12 @@ register(
 register(
     "browse_filter",
     lambda t: C.browse(
-        t.comments.withColumnRenamed("like_count", "comment_like_count").withColumn(S.CLEANED, RAW), 25
+        t.comments.withColumnRenamed("like_count", "comment_like_count").withColumn(S.CLEANED, raw()), 25
     ).select("comment_id", "comment_like_count"),
     Q.with_comments("SELECT comment_id, like_count AS comment_like_count FROM comments WHERE like_count >= 25 AND comment_text IS NOT NULL"),
 )
 register(
-    "labelled_rows", lambda t: t.annotated.filter(B.is_filled(F.col("aspect_label")) & RAW.isNotNull()).select("comment_id", "aspect_label"),
+    "labelled_rows", lambda t: t.annotated.filter(B.is_filled(F.col("aspect_label")) & raw().isNotNull()).select("comment_id", "aspect_label"),
     Q.with_annotated("SELECT comment_id, aspect_label FROM annotated WHERE trim(aspect_label) <> '' AND comment_text IS NOT NULL"),
 )
 
@@ -119,32 +121,37 @@ register(
     """SELECT * FROM (SELECT page_id, CASE WHEN page_id % 9 = 4 THEN 'ftp:' || url ELSE url END AS url FROM pages)
        WHERE NOT regexp_matches(trim(url), '(?i)^https?://')""",
 )
-_DATES = F.when(F.col("o_orderkey") % 5 == 0, F.concat(F.lit("bad-"), "o_orderpriority")).when(
+
+
+def _dates():
+    return F.when(F.col("o_orderkey") % 5 == 0, F.concat(F.lit("bad-"), "o_orderpriority")).when(
     F.col("o_orderkey") % 7 == 0, F.lit(None)).otherwise(F.date_format("o_orderdate", "yyyy-MM-dd'T'HH:mm:ss'Z'"))
+
+
 register(
     "invalid_timestamp",
-    lambda t: t.orders.select("o_orderkey", _DATES.alias("published_at")).filter(G.is_invalid_timestamp(F.col("published_at"))),
+    lambda t: t.orders.select("o_orderkey", _dates().alias("published_at")).filter(G.is_invalid_timestamp(F.col("published_at"))),
     """SELECT * FROM (SELECT o_orderkey, CASE WHEN o_orderkey % 5 = 0 THEN 'bad-' || o_orderpriority WHEN o_orderkey % 7 = 0 THEN NULL
          ELSE strftime(o_orderdate, '%Y-%m-%dT%H:%M:%SZ') END AS published_at FROM orders)
        WHERE published_at IS NOT NULL AND try_cast(published_at AS TIMESTAMPTZ) IS NULL""",
 )
 
 # --- languages ----------------------------------------------------------------
-_on_comments("detect_language", L.detect_language(RAW), Q.detect_language("comment_text"), "label")
+_on_comments("detect_language", lambda: L.detect_language(raw()), Q.detect_language("comment_text"), "label")
 register(
     "indic_script_counts",
-    lambda t: t.comments.select("comment_id", F.explode(L.indic_script_counts(RAW)).alias("script", "n")),
+    lambda t: t.comments.select("comment_id", F.explode(L.indic_script_counts(raw())).alias("script", "n")),
     Q.with_comments(f"SELECT comment_id, s.n AS script, -s.r AS n FROM (SELECT comment_id, unnest({Q.script_hits('comment_text')}) AS s FROM comments)"),
 )
 register(
     "mixed_label",
-    lambda t: t.comments.select("comment_id", L.detect_language(F.concat(RAW, F.lit(" আই ఈ ఈ"))).alias("label"))
+    lambda t: t.comments.select("comment_id", L.detect_language(F.concat(raw(), F.lit(" আই ఈ ఈ"))).alias("label"))
     .filter(F.col("label").startswith("mixed_")),
     Q.with_comments(f"SELECT * FROM (SELECT comment_id, {Q.detect_language('(comment_text || ' + lit(' আই ఈ ఈ') + ')')} AS label FROM comments) WHERE label LIKE 'mixed\\_%' ESCAPE '\\'"),
 )
 register(
     "romanized_markers",
-    lambda t: t.comments.select("comment_id", L.has_hinglish_marker(RAW).alias("hinglish"), L.has_malayalam_marker(RAW).alias("malayalam")),
+    lambda t: t.comments.select("comment_id", L.has_hinglish_marker(raw()).alias("hinglish"), L.has_malayalam_marker(raw()).alias("malayalam")),
     Q.with_comments(f"SELECT comment_id, {Q.marker('comment_text', X.HINGLISH_MARKERS)} AS hinglish, {Q.marker('comment_text', X.MALAYALAM_ROMAN_MARKERS)} AS malayalam FROM comments"),
 )
 _SCRIPTS_SQL = {
@@ -152,9 +159,15 @@ _SCRIPTS_SQL = {
     "tam_Taml": r"\p{Tamil}", "kan_Knda": r"\p{Kannada}", "guj_Gujr": r"\p{Gujarati}",
 }
 _HEAD = "left(" + Q.rep("remark", f"[{Q._WS}]+", "") + ", 200)"
-_HEADED = F.concat(F.substring_index(RAW, " ", -4), RAW)  # the remark's script first
+
+
+def _headed():
+    """The remark's script first."""
+    return F.concat(F.substring_index(raw(), " ", -4), raw())
+
+
 register(
-    "detect_script_code", lambda t: t.comments.select("comment_id", L.detect_script_code(_HEADED).alias("code")),
+    "detect_script_code", lambda t: t.comments.select("comment_id", L.detect_script_code(_headed()).alias("code")),
     Q.with_comments(f"""SELECT comment_id, (list_sort([{{'r': -len(regexp_extract_all(head, p.v)), 'c': p.k}} FOR p IN
         [{', '.join(f"{{'k': {lit(k)}, 'v': {lit(v)}}}" for k, v in _SCRIPTS_SQL.items())}]
         IF len(regexp_extract_all(head, p.v)) >= greatest(2, length(head) * 0.2)]))[1].c AS code
@@ -162,7 +175,7 @@ register(
 )
 register(
     "language_code_lookup",
-    lambda t: t.comments.select("comment_id", L.language_code(L.detect_language(RAW)).alias("code")),
+    lambda t: t.comments.select("comment_id", L.language_code(L.detect_language(raw())).alias("code")),
     Q.with_comments(f"SELECT comment_id, {Q.lookup('label', X.LANGUAGE_CODES)} AS code FROM (SELECT comment_id, {Q.detect_language('comment_text')} AS label FROM comments)"),
 )
 
@@ -184,15 +197,14 @@ def _normalized_sql(x: str) -> str:
     return f"array_to_string([{each} FOR r IN regexp_extract_all({y}, '[\\p{{L}}\\p{{N}}_]+|[^\\p{{L}}\\p{{N}}_]+')], '')"
 
 
-_on_comments("normalize_hinglish", R.normalize_romanized(RAW, DICTIONARY),
+_on_comments("normalize_hinglish", lambda: R.normalize_romanized(raw(), DICTIONARY),
              f"CASE WHEN {Q.strip('comment_text')} = '' THEN comment_text ELSE {_normalized_sql('comment_text')} END", "english")
 _on_comments(
-    "hinglish_dominated", R.is_dictionary_dominated(RAW, DICTIONARY),
+    "hinglish_dominated", lambda: R.is_dictionary_dominated(raw(), DICTIONARY),
     f"""coalesce((SELECT count(*) FILTER (w IN ({', '.join(lit(k) for k in DICTIONARY)})) / nullif(count(*), 0)::DOUBLE >= 0.15::DOUBLE
        FROM (SELECT unnest(regexp_extract_all(lower(comment_text), {lit(f'[^{Q._WS}]+')})) AS w)), false)""", "dominated")
 
 # --- similarity ---------------------------------------------------------------
-_GRAMS = "list_distinct([c[i] || c[i+1] FOR i IN range(1, len(c))])"
 
 
 def _jaccard_sql(a: str, b: str, source: str, key: str) -> str:
@@ -207,18 +219,18 @@ def _jaccard_sql(a: str, b: str, source: str, key: str) -> str:
 
 register(
     "bigram_jaccard",
-    lambda t: t.comments.filter(RAW.isNotNull()).select("comment_id", T.bigram_jaccard(RAW, F.col("text")).alias("similarity")),
+    lambda t: t.comments.filter(raw().isNotNull()).select("comment_id", T.bigram_jaccard(raw(), F.col("text")).alias("similarity")),
     _jaccard_sql("comment_text", "text", Q.COMMENTS_SQL, "comment_id"),
 )
 register(
     "text_similarity",
-    lambda t: t.comments.filter(RAW.isNotNull()).select("comment_id", (T.bigram_jaccard(RAW, F.reverse("text")) > 0.85).alias("untranslated")),
+    lambda t: t.comments.filter(raw().isNotNull()).select("comment_id", (T.bigram_jaccard(raw(), F.reverse("text")) > 0.85).alias("untranslated")),
     "SELECT comment_id, similarity > 0.85::DOUBLE AS untranslated FROM (" + _jaccard_sql("comment_text", "reverse(text)", Q.COMMENTS_SQL, "comment_id") + ")",
 )
 register(
     "token_set_intersect",
     lambda t: t.comments.select("comment_id", F.array_join(F.array_sort(F.array_intersect(
-        F.array_distinct(F.regexp_extract_all(F.lower(RAW), F.lit("[a-z]+"), 0)), F.array(*[F.lit(m) for m in X.HINGLISH_MARKERS]))), ",").alias("markers")),
+        F.array_distinct(F.regexp_extract_all(F.lower(raw()), F.lit("[a-z]+"), 0)), F.array(*[F.lit(m) for m in X.HINGLISH_MARKERS]))), ",").alias("markers")),
     Q.with_comments(f"""SELECT comment_id, array_to_string(list_sort(list_intersect(list_distinct(regexp_extract_all(lower(comment_text), '[a-z]+')),
         [{Q.lits(X.HINGLISH_MARKERS)}])), ',') AS markers FROM comments"""),
 )
@@ -247,7 +259,7 @@ register("like_weight", lambda t: t.comments.select("comment_id", F.round(B.like
          Q.with_comments("SELECT comment_id, round(least(1 + log2(1 + n_chars), 10), 9) AS weight FROM comments"))
 register("video_url", lambda t: t.comments.select("comment_id", T.watch_url(F.col("video_id")).alias("video_url")),
          Q.with_comments(f"SELECT comment_id, {lit(X.WATCH_URL)} || video_id AS video_url FROM comments"))
-register("project_preview", lambda t: t.comments.select("comment_id", *[T.preview(RAW, n).alias(f"text_{n}") for n in (80, 120, 150, 200)]),
+register("project_preview", lambda t: t.comments.select("comment_id", *[T.preview(raw(), n).alias(f"text_{n}") for n in (80, 120, 150, 200)]),
          Q.with_comments("SELECT comment_id, " + ", ".join(f"left(comment_text, {n}) AS text_{n}" for n in (80, 120, 150, 200)) + " FROM comments"))
 
 # --- keyword predicates -------------------------------------------------------
@@ -271,4 +283,3 @@ register("lexicon_any_counts", lambda t: terms.feature_sentiment_counts(t.commen
              f"SELECT {lit(f)} AS feature, count(*) FILTER ({Q.contains_any('lower(comment_text)', X.FEATURE_POSITIVE)}) AS positive, "
              f"count(*) FILTER ({Q.contains_any('lower(comment_text)', X.FEATURE_NEGATIVE)}) AS negative FROM comments WHERE {Q.contains_any('lower(comment_text)', ws)}"
              for f, ws in X.FEATURE_KEYWORDS.items()) + ") WHERE positive + negative > 0 OR feature IN (SELECT feature FROM (SELECT 1) WHERE false)"))
-assert quality  # operators used by the table queries
