@@ -67,6 +67,11 @@ register("sample_comments_per_sentiment", lambda t: I.sample_comments(_scored(t)
     """SELECT product_query, predicted_sentiment, comment_id, comment_text, r AS example_rank FROM (SELECT *, row_number() OVER (PARTITION BY product_query, predicted_sentiment ORDER BY comment_id) AS r
        FROM scored WHERE comment_text IS NOT NULL) WHERE r <= 5"""))
 
+register("sample_comments_two_pass", lambda t: I.sample_comments(
+    jobs.staged(_scored(t), run_dir(t.spark, "scored"), "scored"), "comment_id", text="comment_text", two_pass=True), Q.with_scored(
+    """SELECT product_query, predicted_sentiment, comment_id, comment_text, r AS example_rank FROM (SELECT *, row_number() OVER (PARTITION BY product_query, predicted_sentiment ORDER BY comment_id) AS r
+       FROM scored WHERE comment_text IS NOT NULL) WHERE r <= 5"""))
+
 
 def _insights(t):
     done = I.product_insights(t.comments, text="comment_text")
@@ -232,7 +237,7 @@ register("language_after_cleanup", lambda t: TR.language_after_cleanup(_translat
 # --- composite jobs ----------------------------------------------------------------
 register("preprocess_comments", lambda t: jobs.preprocess(t.comments).table.select("comment_id", S.CLEANED, "product_query"),
          Q.with_flagged("SELECT comment_id, cleaned_comment_text, product_query FROM flagged WHERE NOT is_removed_by_cleaning"))
-register("language_audit", lambda t: jobs.language_audit(t.comments, ["comment_id"]).table.select("comment_id", "detected_language"),
+register("language_audit", lambda t: jobs.language_audit(t.comments).table.select("comment_id", "detected_language"),
          Q.with_comments("SELECT comment_id, detected_language FROM det", _DETECTED))
 register("translate_and_cleanup", lambda t: TR.final_cleanup(_translated(t)).select("comment_id", S.CLEANED), Q.with_comments(
     "SELECT comment_id, cleaned_comment_text FROM tidy WHERE NOT is_removed_in_final_cleanup", *_GATED))

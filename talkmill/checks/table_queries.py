@@ -461,7 +461,7 @@ register("keep_first_dedup", lambda t: dedup.keep_first(
     t.documents.select("doc_id", F.when(F.col("doc_id") % 50 != 7, F.xxhash64("text").cast("string")).alias("k"), "text"), "k", [F.col("doc_id")]).select("doc_id", "text"),
     """SELECT doc_id, text FROM (SELECT *, row_number() OVER (PARTITION BY CASE WHEN doc_id % 50 <> 7 THEN text END ORDER BY doc_id) AS r FROM documents) WHERE r = 1""")
 register("dedup_removed", lambda t: dedup.removed_count(t.documents, "text"), "SELECT count(*) - count(DISTINCT text) AS removed FROM documents")
-register("top_examples_per_language", lambda t: L.top_examples(L.add_detected_language(t.comments), ["comment_id"]), Q.with_comments(
+register("top_examples_per_language", lambda t: L.top_examples(L.add_detected_language(t.comments), "comment_id"), Q.with_comments(
     f"""SELECT detected_language, example_rank, example FROM (SELECT *, row_number() OVER (PARTITION BY detected_language ORDER BY comment_id) AS example_rank FROM
         (SELECT comment_id, {Q.detect_language('comment_text')} AS detected_language, {Q.strip('comment_text')} AS example FROM comments) WHERE example <> '') WHERE example_rank <= 5"""))
 _SIZE, _SEED = 100, 7

@@ -11,7 +11,7 @@ from talkmill.functions.lexicons import SENTIMENT_LABELS
 from talkmill.functions.labels import percent
 from talkmill.functions.sentiment import compound_label, rule_sentiment
 from talkmill.functions.text import preview
-from talkmill.operators.ranking import broadcast_if_small, first_rows
+from talkmill.operators.ranking import broadcast_if_small, first_rows, first_texts
 from talkmill.operators.terms import tokens
 
 PREDICTED = "predicted_sentiment"
@@ -62,13 +62,14 @@ def keyword_join(df: DataFrame, keywords: list[str], key: str, text: str = S.CLE
     return df.select(key, F.explode(hits).alias("keyword"))
 
 
-def sample_comments(df: DataFrame, order: str, group: list[str] = (S.PRODUCT, PREDICTED), text: str = S.CLEANED, n: int = 5) -> DataFrame:
+def sample_comments(df: DataFrame, order: str, group: list[str] = (S.PRODUCT, PREDICTED), text: str = S.CLEANED,
+                    n: int = 5, two_pass: bool = False) -> DataFrame:
     """First ``n`` comments per group as rows."""
-    rows = df.filter(F.col(text).isNotNull()).select(*group, order, text)
-    return first_rows(rows, list(group), [F.col(order)], n, rank="example_rank")
+    return first_texts(df.filter(F.col(text).isNotNull()), list(group), order, text, n, "example_rank", two_pass)
 
 
-def product_insights(df: DataFrame, key: str = "comment_id", product: str = S.PRODUCT, text: str = S.CLEANED) -> DataFrame:
+def product_insights(df: DataFrame, key: str = "comment_id", product: str = S.PRODUCT, text: str = S.CLEANED,
+                     two_pass: bool = False) -> DataFrame:
     """One row per product: totals, sentiment map, top competitors and example comments.
 
     Collected values are bounded: 3 sentiments, 10 competitors, 5 examples per sentiment.
@@ -86,7 +87,7 @@ def product_insights(df: DataFrame, key: str = "comment_id", product: str = S.PR
             lambda r: F.struct(r["competitor"].alias("competitor"), (-r["m"]).alias("mentions")),
         ).alias("competitor_mentions")
     )
-    per_sentiment = sample_comments(scored, key, [product, PREDICTED], text).groupBy(product, PREDICTED).agg(
+    per_sentiment = sample_comments(scored, key, [product, PREDICTED], text, two_pass=two_pass).groupBy(product, PREDICTED).agg(
         F.transform(F.array_sort(F.collect_list(F.struct("example_rank", text))), lambda e: e[text]).alias("texts")
     )
     shown = per_sentiment.groupBy(product).agg(

@@ -9,7 +9,7 @@ from talkmill.functions.binding import with_computed
 from talkmill.functions.labels import percent
 from talkmill.functions.language import detect_language
 from talkmill.functions.text import strip
-from talkmill.operators.ranking import first_rows
+from talkmill.operators.ranking import first_texts
 
 
 def add_detected_language(df: DataFrame, text: str = S.TEXT) -> DataFrame:
@@ -27,11 +27,11 @@ def language_distribution(df: DataFrame, column: str = S.LANGUAGE, digits: int |
     return counts.withColumn("pct", percent(F.col("n"), total, digits))
 
 
-def top_examples(df: DataFrame, order: list[str], text: str = S.TEXT, column: str = S.LANGUAGE, n: int = 5) -> DataFrame:
+def top_examples(df: DataFrame, key: str, text: str = S.TEXT, column: str = S.LANGUAGE, n: int = 5,
+                 two_pass: bool = False) -> DataFrame:
     """First ``n`` non-blank trimmed texts per language as (language, rank, text) rows."""
     rows = df.select(
-        F.coalesce(F.col(column), F.lit("unknown")).alias(column), strip(F.col(text)).alias("example"),
-        *[F.col(c).alias(f"_k{i}") for i, c in enumerate(order)],
-    ).filter(F.col("example") != "")
-    keys = [F.col(f"_k{i}") for i in range(len(order))]
-    return first_rows(rows, [column], keys, n, rank="example_rank").select(column, "example_rank", "example")
+        F.coalesce(F.col(column), F.lit("unknown")).alias(column), F.col(key).alias("_k"), F.col(text).alias("_t")
+    ).filter(strip(F.col("_t")) != "")
+    found = first_texts(rows, [column], "_k", "_t", n, "example_rank", two_pass)
+    return found.select(column, "example_rank", strip(F.col("_t")).alias("example"))

@@ -95,14 +95,17 @@ class TextClassifier:
 
 def evaluate_holdout(clf: TextClassifier, df: DataFrame, key: str, labels: list[str], seed: int = 42, **kwargs) -> DataFrame:
     """Stratified split, train on one part, metrics on the other."""
-    split = stratified_split(df, clf.label, key, seed=seed)
+    checkpointing(df.sparkSession)
+    split = stratified_split(df, clf.label, key, seed=seed).checkpoint()
     model = clf.train(split.filter("NOT is_test"), **kwargs)
     return overall_metrics(clf.predict(model, split.filter("is_test")), clf.label, "predicted", labels)
 
 
 def cross_validate(clf: TextClassifier, df: DataFrame, key: str, folds: int = 5, seed: int = 42, **kwargs) -> DataFrame:
     """Out-of-fold predictions of all rows (columns plus ``fold`` and ``predicted``)."""
-    folded = stratified_kfold(df, clf.label, key, folds, seed)
+    checkpointing(df.sparkSession)
+    # Every fold reads the table twice: number the rows once.
+    folded = stratified_kfold(df, clf.label, key, folds, seed).checkpoint()
     parts = []
     for i in range(folds):
         model = clf.train(folded.filter(F.col("fold") != i), **kwargs)

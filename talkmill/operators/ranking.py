@@ -8,6 +8,9 @@ from operator import and_
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 
+MAX_BROADCAST_ROWS = 100_000
+
+
 def hash_key(key: Column, seed: int | str) -> Column:
     """Reproducible random order: md5 of ``seed:id``."""
     return F.md5(F.concat_ws(":", F.lit(str(seed)), F.coalesce(key.cast("string"), F.lit(""))))
@@ -25,6 +28,20 @@ def first_rows(df: DataFrame, group: list[str], order: list[Column], n: int, ran
     return kept if rank else kept.drop(name)
 
 
+def first_texts(df: DataFrame, group: list[str], key: str, text: str, n: int, rank: str, two_pass: bool = False) -> DataFrame:
+    """First ``n`` texts per group by key: (group, rank, key, text).
+
+    One pass sorts the texts along with their keys before the limit. ``two_pass`` ranks keys
+    alone and then fetches the texts of the chosen ones, which pays off for a stored table
+    with wide texts; it runs a job that counts the groups, which bounds the chosen rows.
+    """
+    if not two_pass:
+        return first_rows(df.select(*group, key, text), group, [F.col(key)], n, rank)
+    chosen = first_rows(df.select(*group, key), group, [F.col(key)], n, rank).select(key, rank)
+    few = small_enough(df.select(*group).distinct(), MAX_BROADCAST_ROWS // n)
+    return df.select(*group, key, text).join(F.broadcast(chosen) if few else chosen, key)
+
+
 def rank_by_hash(
     df: DataFrame, group: list[str], key: str, seed: int | str, rank: str = "hash_rank",
     total: str = "group_total", digits: int = 3,

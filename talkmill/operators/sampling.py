@@ -33,26 +33,21 @@ def quota_choice(df: DataFrame, key: str, sample_size: int, seed: int = 42, prod
     target = F.least(F.lit(sample_size).cast("bigint"), F.sum("size").over(Window.partitionBy()))
     count, place = F.count("*").over(named), F.row_number().over(named.orderBy("p"))
     base = F.floor(target / count)
-    quotas = sizes.withColumn("target", target).withColumn(
+    quotas = sizes.withColumn(
         "quota",
         F.when(F.isnull("p"), F.lit(0)).otherwise(
             F.least(base + (place <= target - base * count).cast("bigint"), F.col("size"))
         ),
-    ).withColumn("filled", F.sum("quota").over(Window.partitionBy()))
+    )
     # No row beyond rank sample_size of its product can be chosen, by quota or as filler.
     candidates = first_rows(slim, ["p"], [F.col("h"), F.col("k")], sample_size, rank="r")
-    q = quotas.select(F.col("p").alias("qp"), "quota", "target", "filled")
+    q = quotas.select(F.col("p").alias("qp"), "quota")
     placed = candidates.join(q, F.col("p").eqNullSafe(F.col("qp")))
-    chosen = placed.filter(F.col("r") <= F.col("quota")).select("k")
-    spare = placed.filter(F.col("r") > F.col("quota")).withColumn("missing", F.col("target") - F.col("filled"))
-    filler = (
-        spare.filter("missing > 0").orderBy("h", "k").limit(sample_size)
-        .withColumn("i", F.row_number().over(Window.partitionBy().orderBy("h", "k")))  # <= sample_size rows
-        .filter(F.col("i") <= F.col("missing")).select("k")
-    )
-    picked = chosen.unionByName(filler)
+    # Chosen rows first, then the fillers in hash order: the first target rows are the sample.
+    spare = (F.col("r") > F.col("quota")).cast("int")
+    picked = placed.select("k", "h", spare.alias("spare")).orderBy("spare", "h", "k").limit(sample_size)
     order = Window.partitionBy().orderBy(hash_key(F.col("k"), f"{seed}:shuffle"), "k")  # <= sample_size rows
-    return picked.limit(sample_size).select(F.col("k").alias(key), F.row_number().over(order).alias("sample_order"))
+    return picked.select(F.col("k").alias(key), F.row_number().over(order).alias("sample_order"))
 
 
 def balanced_sample(df: DataFrame, key: str, sample_size: int = 300, seed: int = 42, product: str = "product_query") -> DataFrame:

@@ -43,10 +43,10 @@ def staged(df: DataFrame, stage_dir: str | None, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(f"{stage_dir}/{name}")
 
 
-def language_audit(comments: DataFrame, order: list[str], stage_dir: str | None = None) -> Stage:
+def language_audit(comments: DataFrame, key: str = "comment_id", stage_dir: str | None = None) -> Stage:
     audited = staged(L.add_detected_language(comments), stage_dir, "language_audited")
     return Stage(audited, {
-        "distribution": L.language_distribution(audited), "examples": L.top_examples(audited, order),
+        "distribution": L.language_distribution(audited), "examples": L.top_examples(audited, key, two_pass=stage_dir is not None),
     })
 
 
@@ -97,7 +97,7 @@ def annotation_setup(master: DataFrame, sample_size: int = 300, seed: int = 42)
 
 def product_insights(master: DataFrame, stage_dir: str | None = None) -> Stage:
     scored = staged(insights.add_rule_sentiment(master), stage_dir, "scored")
-    return Stage(insights.product_insights(scored), {"summary": insights.insight_summary(scored)})
+    return Stage(insights.product_insights(scored, two_pass=stage_dir is not None), {"summary": insights.insight_summary(scored)})
 
 
 def process_products(raw_comments: DataFrame, videos: DataFrame, translate: Callable[[DataFrame], DataFrame],
