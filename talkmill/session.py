@@ -37,6 +37,8 @@ def local_session(app: str = "talkmill", cpus: str = "8", shuffle_partitions: in
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.sql.parquet.compression.codec", "zstd")
+        # Recording the Python call site of every expression costs more than small queries do.
+        .config("spark.python.sql.dataFrameDebugging.enabled", "false")
     )
     spark = tune(builder.getOrCreate())
     spark.sparkContext.setLogLevel("ERROR")
