@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import sys
 from functools import reduce
 from operator import and_
 
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from talkmill.session import run_dir
@@ -14,6 +16,11 @@ BLANKS = b" \t\n\x0b\x0c\r"
 BLANK_CLASS = r"[\x20\x09-\x0D]"
 
 
+def by_value(module: str) -> None:
+    """Send the functions of a module to the executors by value, so they need not have the package."""
+    cloudpickle.register_pickle_by_value(sys.modules[module])
+
+
 def staged(df: DataFrame, purpose: str) -> DataFrame:
     """Write a table once to the shared folder and read it back.
 

@@ -18,7 +18,9 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, Window, functions as F
 
-from talkmill.llm.common import BLANKS
+from talkmill.llm.common import BLANKS, by_value
+
+by_value(__name__)
 
 #: Bytes of labels a task keeps in its trie before finished subtrees leave it.
 TRIE_BYTES = 24 << 20

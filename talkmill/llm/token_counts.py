@@ -12,13 +12,19 @@ a text is the sum of its marked words, and a word met before is looked up.
 from __future__ import annotations
 
 import re
+import sys
 from collections.abc import Iterator
 from heapq import heapify, heappop, heappush
+from types import ModuleType
 
 import pyarrow as pa
 import sentencepiece
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from talkmill.llm.common import by_value
+
+by_value(__name__)
+
 MARK = "▁"
 _MARKED_WORD = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
 #: Words a Python worker remembers before it forgets all of them.
@@ -110,15 +116,12 @@ def piece_ranks(model_path: str) -> dict[str, int]:
     return {model.id_to_piece(i): order[scores[i]] for i in ids}
 
 
-_MERGERS: dict[str, PieceMerger] = {}
-
-
 def _merger(name: str, shared) -> PieceMerger:
-    """One merger per Python worker and vocabulary, so words are remembered between tasks."""
-    if name not in _MERGERS:
-        _MERGERS.clear()
-        _MERGERS[name] = PieceMerger(shared.value)
-    return _MERGERS[name]
+    """A merger that a Python worker keeps, so words are remembered between tasks."""
+    kept = sys.modules.setdefault("_talkmill_mergers", ModuleType("_talkmill_mergers")).__dict__
+    if name not in kept:
+        kept[name] = PieceMerger(shared.value)
+    return kept[name]
 
 
 def token_counts(
