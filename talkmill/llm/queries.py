@@ -7,22 +7,31 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from talkmill.llm import exact_dedup, sharding, token_counts
+from talkmill.llm import exact_dedup, fertility, sharding, simhash_pivots, token_counts
 from talkmill.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 PIECES = public_tokenizers.path("piece_bpe_32k.model")
+RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 
 
 def op1_histogram_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_by_bytes(table(spark, sf_dir, "documents"), shards=8)
 
 
+def op4_pivot_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash_pivots.simhash_groups(table(spark, sf_dir, "documents"))
+
+
 def op6_heap_merge_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(table(spark, sf_dir, "documents"), PIECES)
 
 
+def op7_tokeniser_fertility(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fertility.judged(table(spark, sf_dir, "documents"), PIECES, RANKS)
+
+
 def op8_trie_owners(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_duplicates(table(spark, sf_dir, "documents"))
 
@@ -38,6 +47,8 @@ FROM d WINDOW best AS (PARTITION BY text_sha256 ORDER BY points DESC, doc_id)
 
 QUERIES: dict[str, tuple[Query, str | None]] = {
     "op1_histogram_shards": (op1_histogram_shards, None),
+    "op4_pivot_simhash": (op4_pivot_simhash, None),
     "op6_heap_merge_counts": (op6_heap_merge_counts, None),
+    "op7_tokeniser_fertility": (op7_tokeniser_fertility, None),
     "op8_trie_owners": (op8_trie_owners, EXACT_DEDUP_SQL),
 }
