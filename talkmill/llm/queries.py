@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from talkmill.llm import exact_dedup, fertility, sharding, simhash_pivots, token_counts
+from talkmill.llm import exact_dedup, fertility, length_packing, mixing, quotations, sharding, simhash_pivots, token_counts
 from talkmill.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -20,10 +20,23 @@ def op1_histogram_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_by_bytes(table(spark, sf_dir, "documents"), shards=8)
 
 
+#: Wanted shares of expected tokens.
+MIX = {"good": 0.85, "plain": 0.14, "toxic": 0.01}
+
+
+def op2_soft_membership_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rates, _ = mixing.soft_mixture(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), MIX)
+    return rates.withColumnRenamed("id", "doc_id").drop("text_hash")
+
+
 def op4_pivot_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_pivots.simhash_groups(table(spark, sf_dir, "documents"))
 
 
+def op5_length_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return length_packing.packed(table(spark, sf_dir, "documents"))
+
+
 def op6_heap_merge_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(table(spark, sf_dir, "documents"), PIECES)
 
@@ -36,6 +49,11 @@ def op8_trie_owners(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op10_quotation_threads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mails = quotations.quoting_messages(table(spark, sf_dir, "conversations"))
+    return quotations.linked_conversations(mails).withColumnsRenamed({"scope": "conv_id", "at": "turn"})
+
+
 EXACT_DEDUP_SQL = r"""
 WITH d AS (
   SELECT doc_id, length(coalesce(text, '')) AS points, sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g')) AS text_sha256
@@ -47,8 +65,11 @@ FROM d WINDOW best AS (PARTITION BY text_sha256 ORDER BY points DESC, doc_id)
 
 QUERIES: dict[str, tuple[Query, str | None]] = {
     "op1_histogram_shards": (op1_histogram_shards, None),
+    "op2_soft_membership_mix": (op2_soft_membership_mix, None),
     "op4_pivot_simhash": (op4_pivot_simhash, None),
+    "op5_length_buckets": (op5_length_buckets, None),
     "op6_heap_merge_counts": (op6_heap_merge_counts, None),
     "op7_tokeniser_fertility": (op7_tokeniser_fertility, None),
     "op8_trie_owners": (op8_trie_owners, EXACT_DEDUP_SQL),
+    "op10_quotation_threads": (op10_quotation_threads, None),
 }
