@@ -1,7 +1,7 @@
 """Mixing to target weights with soft membership; DataFrame functions only.
 
-A multinomial naive Bayes classifier over hashed words is counted from the labelled documents and gives
-every document its domain posteriors. Document rates r >= 0 then minimise
+A naive Bayes classifier over the telling words is counted from the labelled documents and gives every
+document its domain posteriors. Document rates r >= 0 then minimise
 
     sum_k (sum_d r_d n_d p_dk - t_k)^2 / c_k
 
@@ -23,17 +23,23 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from talkmill.llm.common import same, staged
 
-#: Hash buckets of words: the model has BUCKETS x domains numbers, whatever the corpus.
-BUCKETS = 1 << 16
+#: Hash buckets of words: the model has at most BUCKETS rows, whatever the corpus.
+BUCKETS = 1 << 20
 #: Log-likelihoods are kept in integers of this fraction.
 SCALE = 1_000_000
+#: A word tells something when a domain is this many deviations and this many times more frequent with it.
+LEAST_SURPRISE, LEAST_LIFT = 5.0, 3.0
+#: Labelled texts that smooth the share of a domain among the texts with a word.
+SMOOTHING = 1.0
 #: Steps between two writes of the rates.
 STEPS_PER_WRITE = 8
 WORD = r"[^\x20\x09-\x0D]+"
+#: Runs of letters and runs of other signs: marks and tables tell as much as words.
+FEATURE = r"\p{L}+|[^\p{L}\x20\x09-\x0D]+"
 
 
-def _words(text: Column) -> Column:
-    return F.regexp_extract_all(text, F.lit(WORD), F.lit(0))
+def _features(text: Column) -> Column:
+    return F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(FEATURE), F.lit(0)))
 
 
 def _bucket(word: Column) -> Column:
@@ -41,47 +47,91 @@ def _bucket(word: Column) -> Column:
 
 
 def classifier(labelled: DataFrame, domains: list[str], text_col: str = "text", domain_col: str = "domain") -> tuple[DataFrame, list[int]]:
-    """Word table (bucket, w0, w1, ...) and document priors, in units of 1/SCALE nats.
+    """Word table (bucket, w0, w1, ...) and log priors, in units of 1/SCALE nats.
 
-    Of the words of a class a share is smoothed by 0.5 per bucket. The table has at most BUCKETS rows.
+    A weight is the log of how much more often a domain is seen among labelled texts with the word
+    than among all. Only telling words are kept: rare ones add noise, and common ones that lean a little
+    to a domain (because its texts are longer, say) would outweigh the rest of a long text.
     """
-    word = labelled.select(domain_col, F.explode(_words(F.col(text_col))).alias("w")).select(domain_col, _bucket(F.col("w")).alias("bucket"))
+    k = range(len(domains))
     of = [F.col(domain_col) == d for d in domains]
-    counts = staged(word.groupBy("bucket").agg(*[F.count_if(c).alias(f"n{k}") for k, c in enumerate(of)]), "word-counts")
-    sums = counts.agg(*[F.sum(f"n{k}").alias(f"n{k}") for k in range(len(domains))]).first()
-    docs = labelled.agg(*[F.count_if(c).alias(f"n{k}") for k, c in enumerate(of)]).first()
+    docs = labelled.agg(*[F.count_if(c).alias(f"n{i}") for i, c in enumerate(of)]).first()
+    shares = [(docs[i] + 0.5) / (sum(docs) + 0.5 * len(domains)) for i in k]
+    word = labelled.select(domain_col, F.explode(_features(F.col(text_col))).alias("w")).select(domain_col, _bucket(F.col("w")).alias("bucket"))
+    counts = word.groupBy("bucket").agg(F.count("*").alias("n"), *[F.count_if(c).alias(f"n{i}") for i, c in enumerate(of)])
+    telling = F.lit(False)
+    for i, s in enumerate(shares):
+        expected = F.col("n") * s
+        telling |= (F.col(f"n{i}") - expected >= LEAST_SURPRISE * F.sqrt(expected * (1 - s))) & (F.col(f"n{i}") >= LEAST_LIFT * expected)
     weights = [
-        F.round(SCALE * (F.log(F.col(f"n{k}") + 0.5) - math.log((sums[k] or 0) + 0.5 * BUCKETS))).cast("long").alias(f"w{k}") for k in range(len(domains))
+        F.round(SCALE * (F.log((F.col(f"n{i}") + SMOOTHING * s) / (F.col("n") + SMOOTHING)) - math.log(s))).cast("long").alias(f"w{i}") for i, s in enumerate(shares)
     ]
-    total = sum(docs) + 0.5 * len(domains)
-    priors = [round(SCALE * math.log((docs[k] + 0.5) / total)) for k in range(len(domains))]
-    every = labelled.sparkSession.range(BUCKETS).select(F.col("id").cast("int").alias("bucket"))
-    table = every.join(counts, "bucket", "left").na.fill(0).select("bucket", *weights)
-    return staged(table, "word-weights"), priors
+    return staged(counts.filter(telling).select("bucket", *weights), "word-weights"), [round(SCALE * math.log(s)) for s in shares]
 
 
-def posteriors(docs: DataFrame, model: DataFrame, priors: list[int], id_col: str, text_col: str) -> DataFrame:
-    """(id, text_hash, n_copies, n_tokens, p0, p1, ...): one row per different (id, text).
+def _scores(docs: DataFrame, model: DataFrame, priors: list[int], id_col: str, text_col: str, *more: str) -> DataFrame:
+    """(id, text_hash, n_copies, n_tokens, s0, s1, ...): log scores, one row per different (id, text).
 
-    Scores add up next to the scan: the exploded words meet the model, whose size is fixed, in a
-    broadcast join, and are summed by (id, text hash) before the shuffle. Longer texts are more
-    certain than words drawn independently would make them; the score is divided by the square root
-    of the number of words, which keeps memberships soft.
+    Words meet the model, whose size is bounded, in a broadcast join next to the scan; those it lacks
+    go at once, and the rest is summed by (id, text hash) before the shuffle.
     """
     text = F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))
     k = range(len(priors))
-    slim = docs.select(F.col(f"`{id_col}`").alias("id"), F.xxhash64(text).alias("text_hash"), F.posexplode_outer(_words(text)).alias("at", "word"))
-    scored = slim.withColumn("bucket", F.when(F.col("word").isNotNull(), _bucket(F.col("word")))).join(F.broadcast(model), "bucket", "left")
+    slim = docs.select(F.col(f"`{id_col}`").alias("id"), F.xxhash64(text).alias("text_hash"), (F.regexp_count(text, F.lit(WORD)) + 1).cast("long").alias("n_tokens"), text.alias("text"), *more)
+    words = slim.select("id", "text_hash", "n_tokens", *more, F.posexplode_outer(_features(F.col("text"))).alias("at", "word"))
+    first = F.coalesce(F.col("at"), F.lit(0)) == 0
+    scored = words.withColumn("bucket", _bucket(F.col("word"))).join(F.broadcast(model), "bucket", "left").filter(first | F.col("w0").isNotNull())
     sums = scored.groupBy("id", "text_hash").agg(
-        F.count_if(F.coalesce(F.col("at"), F.lit(0)) == 0).alias("n_copies"), F.count("word").alias("_words"), *[F.coalesce(F.sum(f"w{i}"), F.lit(0)).alias(f"_w{i}") for i in k],
+        F.count_if(first).alias("n_copies"), F.max("n_tokens").alias("n_tokens"), *[F.coalesce(F.sum(f"w{i}"), F.lit(0)).alias(f"_w{i}") for i in k],
+        *[F.min(c).alias(c) for c in more],
     )
     # Sums hold all copies of a row; a copy's share is exact.
-    n = F.expr("_words div n_copies")
-    score = [(F.col(f"_w{i}") / F.col("n_copies") / F.sqrt(F.greatest(n, F.lit(1))) + priors[i]) / SCALE for i in k]
-    sums = sums.withColumns({f"_s{i}": score[i] for i in k}).withColumn("_top", F.greatest(*[F.col(f"_s{i}") for i in k]))
-    sums = sums.withColumns({f"_e{i}": F.exp(F.col(f"_s{i}") - F.col("_top")) for i in k})
-    whole = sum((F.col(f"_e{i}") for i in k), F.lit(0.0))
-    return sums.select("id", "text_hash", "n_copies", (n + 1).alias("n_tokens"), *[F.round(F.col(f"_e{i}") / whole, 9).alias(f"p{i}") for i in k])
+    return sums.select("id", "text_hash", "n_copies", "n_tokens", *more, *[((F.expr(f"_w{i} div n_copies") + priors[i]) / SCALE).alias(f"s{i}") for i in k])
+
+
+def _margin(i: int, k: int) -> Column:
+    """Log score of a domain over the best other one; a single domain has no other."""
+    others = [F.col(f"s{j}") for j in range(k) if j != i]
+    return F.col(f"s{i}") - (F.greatest(*others) if len(others) > 1 else others[0] if others else F.lit(0.0))
+
+
+def calibrated(scores: DataFrame, domains: list[str], domain_col: str = "domain", rounds: int = 12) -> list[tuple[float, float]]:
+    """Slope and offset per domain that turn margins into probabilities, fitted on texts not counted.
+
+    Logistic regression with one input, by Newton steps; each is one aggregate. A weak pull towards
+    slope 1 and offset 0 decides where the texts don't.
+    """
+    k = len(domains)
+    fits = [(1.0, 0.0)] * k
+    for _ in range(rounds):
+        sums = []
+        for i, (a, b) in enumerate(fits):
+            x = F.greatest(F.least(_margin(i, k), F.lit(50.0)), F.lit(-50.0))
+            p = 1 / (1 + F.exp(-(a * x + b)))
+            off, w = p - (F.col(domain_col) == domains[i]).cast("double"), p * (1 - p)
+            sums += [F.sum(off * x), F.sum(off), F.sum(w * x * x), F.sum(w * x), F.sum(w)]
+        row = [float(v or 0) for v in scores.agg(*[c.alias(f"c{n}") for n, c in enumerate(sums)]).first()]
+        new = []
+        for i, (a, b) in enumerate(fits):
+            ga, gb, haa, hab, hbb = row[5 * i:5 * i + 5]
+            ga, gb, haa, hbb = ga + (a - 1), gb + b, haa + 1, hbb + 1
+            det = haa * hbb - hab * hab
+            da, db = (hbb * ga - hab * gb) / det, (haa * gb - hab * ga) / det
+            length = max(1.0, abs(da), abs(db) / 4)
+            new.append((round(max(0.02, a - da / length), 6), round(b - db / length, 6)))
+        if new == fits:
+            break
+        fits = new
+    return fits
+
+
+def posteriors(scores: DataFrame, fits: list[tuple[float, float]]) -> DataFrame:
+    """Scores as posteriors p0, p1, ... that sum to 1."""
+    k = len(fits)
+    odds = {f"_e{i}": 1 / (1 + F.exp(-F.greatest(F.least(a * _margin(i, k) + b, F.lit(30.0)), F.lit(-30.0)))) for i, (a, b) in enumerate(fits)}
+    whole = sum((F.col(e) for e in odds), F.lit(0.0))
+    keep = [c for c in scores.columns if c not in {f"s{i}" for i in range(k)}]
+    return scores.withColumns(odds).select(*keep, *[F.round(F.col(f"_e{i}") / whole, 9).alias(f"p{i}") for i in range(k)])
 
 
 def _expected(rows: DataFrame, k: int) -> list[int]:
@@ -118,19 +168,33 @@ def fit_rates(rows: DataFrame, weights: list[float], budget: float | None = None
     return staged(rows, "rates"), {"target": [t / 1000 for t in target], "reached": [s / 1000 for s in now], "available": [s / 1000 for s in start]}
 
 
-def with_domain(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Labelled texts (text, domain): toxic, else good or plain by quality."""
-    domain = F.when(F.col("toxic") == 1, "toxic").when(F.col("quality") == 1, "good").when(F.col("quality") == 0, "plain")
+#: Labelled documents the classifier is fitted on at most; an even share by hash of the id.
+LABELLED = 100_000
+
+
+def with_domain(docs: DataFrame, labels: DataFrame, domains: dict[str, Column], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Different labelled texts (text, domain, half): half 0 is counted, half 1 calibrates.
+
+    ``domains`` are conditions on the label columns, the first that holds decides.
+    """
+    domain = F.coalesce(*[F.when(c, F.lit(d)) for d, c in domains.items()])
     known = labels.select(F.col("doc_id").alias("_labelled"), domain.alias("domain")).filter("domain IS NOT NULL")
-    return docs.select(F.col(f"`{id_col}`").alias("_id"), F.col(f"`{text_col}`").cast("string").alias("text")).join(known, F.col("_id") == F.col("_labelled")).select("text", "domain")
+    share = int(min(1.0, LABELLED / max(1, known.count())) * (1 << 20))
+    known = known.filter(F.pmod(F.xxhash64("_labelled"), F.lit(1 << 20)) < share)
+    text = F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))
+    joined = docs.select(F.col(f"`{id_col}`").alias("_id"), text.alias("text")).join(known, F.col("_id") == F.col("_labelled"))
+    once = joined.groupBy(F.xxhash64("text").alias("hash")).agg(F.first("text").alias("text"), F.min("domain").alias("domain"))
+    return once.withColumn("half", F.pmod("hash", F.lit(2)))
 
 
-DOMAINS = ["good", "plain", "toxic"]
+def by_label() -> dict[str, Column]:
+    """Domains of the labels table."""
+    return {"toxic": F.col("toxic") == 1, "good": F.col("quality") == 1, "plain": F.col("quality") == 0}
 
 
 def soft_mixture(
     docs: DataFrame, labels: DataFrame, weights: dict[str, float], budget_share: float | None = None, top: float | None = None,
-    id_col: str = "doc_id", text_col: str = "text", seed: str = "mix",
+    id_col: str = "doc_id", text_col: str = "text", seed: str = "mix", domains: dict[str, Column] | None = None,
 ) -> tuple[DataFrame, dict]:
     """Rates of all documents: (id, text_hash, n_copies, n_tokens, p_<domain>..., rate, n_drawn), and the fit.
 
@@ -139,14 +203,16 @@ def soft_mixture(
     and documents without a label are no errors; without any label all posteriors equal the priors.
     A null text has no words, one token and the prior. Rows equal in id and text share one row.
     """
-    domains = list(weights)
-    model, priors = classifier(with_domain(docs, labels, id_col, text_col), domains)
-    rows = staged(posteriors(docs, model, priors, id_col, text_col), "posteriors")
+    names = list(weights)
+    known = staged(with_domain(docs, labels, domains or by_label(), id_col, text_col), "labelled")
+    model, priors = classifier(known.filter("half = 0"), names)
+    fits = calibrated(staged(_scores(known.filter("half = 1"), model, priors, "hash", "text", "domain"), "labelled-scores"), names)
+    rows = staged(posteriors(_scores(docs, model, priors, id_col, text_col), fits), "posteriors")
     tokens = rows.agg(F.sum(F.col("n_tokens") * F.col("n_copies"))).first()[0] or 0
     rated, fit = fit_rates(rows, list(weights.values()), None if budget_share is None else budget_share * tokens, top)
     chance = F.pmod(F.xxhash64(F.lit(seed), F.col("id").cast("string"), "text_hash"), F.lit(1 << 30)) / F.lit(float(1 << 30))
     drawn = F.floor(F.col("rate") + chance).cast("int")
-    named = [F.col(f"p{i}").alias(f"p_{d}") for i, d in enumerate(domains)]
+    named = [F.col(f"p{i}").alias(f"p_{d}") for i, d in enumerate(names)]
     return rated.select("id", "text_hash", "n_copies", "n_tokens", *named, "rate", drawn.alias("n_drawn")), fit
 
 
