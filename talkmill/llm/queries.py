@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from talkmill.llm import exact_dedup, fertility, length_packing, mixing, quotations, sharding, simhash_pivots, token_counts
+from talkmill.llm import exact_dedup, fertility, length_packing, line_dedup, mixing, quotations, sharding, simhash_pivots, token_counts
 from talkmill.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -49,6 +49,10 @@ def op8_trie_owners(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op9_line_similarity_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.line_report(table(spark, sf_dir, "documents"))
+
+
 def op10_quotation_threads(spark: SparkSession, sf_dir: str) -> DataFrame:
     mails = quotations.quoting_messages(table(spark, sf_dir, "conversations"))
     return quotations.linked_conversations(mails).withColumnsRenamed({"scope": "conv_id", "at": "turn"})
@@ -71,5 +75,6 @@ QUERIES: dict[str, tuple[Query, str | None]] = {
     "op6_heap_merge_counts": (op6_heap_merge_counts, None),
     "op7_tokeniser_fertility": (op7_tokeniser_fertility, None),
     "op8_trie_owners": (op8_trie_owners, EXACT_DEDUP_SQL),
+    "op9_line_similarity_join": (op9_line_similarity_join, None),
     "op10_quotation_threads": (op10_quotation_threads, None),
 }
