@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 import sys
+from collections.abc import Iterator
 from functools import reduce
 from operator import and_
 
+import numpy as np
+import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
@@ -21,6 +24,9 @@ def by_value(module: str) -> None:
     cloudpickle.register_pickle_by_value(sys.modules[module])
 
 
+by_value(__name__)
+
+
 def staged(df: DataFrame, purpose: str) -> DataFrame:
     """Write a table once to the shared folder and read it back.
 
@@ -72,3 +78,37 @@ def numbered(df: DataFrame, group: str, cell: str, order: list[str], number: str
 def cells_for(rows: int, groups: int, per_cell: int = 50_000, least: int = 256) -> int:
     """Cells a group is cut into, so that a cell keeps about ``per_cell`` rows at any size."""
     return max(least, -(-rows // (max(1, groups) * per_cell)))
+
+
+#: Bytes of a piece of a fixed table.
+PIECE = 1 << 16
+
+
+def pieces_of(table: np.ndarray, names: list[str], pad: dict[str, pa.DataType]) -> Iterator[pa.RecordBatch]:
+    """A table as (piece, content) rows without its empty pieces; other columns are null."""
+    raw = table.tobytes()
+    rows = [(i, raw[i * PIECE:(i + 1) * PIECE]) for i in range(-(-len(raw) // PIECE))]
+    rows = [r for r in rows if any(r[1])]
+    if rows:
+        columns = {"piece": pa.array([r[0] for r in rows], pa.int32()), "content": pa.array([r[1] for r in rows], pa.binary())}
+        yield pa.RecordBatch.from_arrays([columns.get(c, pa.nulls(len(rows), pad.get(c))) for c in names], names=names)
+
+
+def combined(pieces: DataFrame, dtype, join: np.ufunc, size: int) -> np.ndarray:
+    """Sum or union of the pieces of all tasks: a table of fixed size for the driver."""
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for piece, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                own = np.frombuffer(content, dtype)
+                held[piece] = join(held[piece], own) if piece in held else own
+        for piece, content in held.items():
+            yield pa.RecordBatch.from_arrays([pa.array([piece], pa.int32()), pa.array([content.tobytes()], pa.binary())], names=["piece", "content"])
+
+    folded = pieces.select("piece", "content").mapInArrow(fold, "piece int, content binary")
+    whole = np.zeros(size, dtype)
+    per = PIECE // whole.itemsize
+    for r in folded.repartition("piece").mapInArrow(fold, "piece int, content binary").toLocalIterator():
+        own = np.frombuffer(r["content"], dtype)
+        whole[r["piece"] * per:r["piece"] * per + len(own)] = own
+    return whole

@@ -21,14 +21,14 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
-from talkmill.llm.common import by_value, same, staged
+from talkmill.llm.common import by_value, combined, pieces_of, staged
 
 by_value(__name__)
 
-#: Similarity at least UP / (UP + DOWN): 4 / 5.
+#: Similarity at least UP / OF.
 UP, OF = 4, 5
-#: Buckets of the rarity table, bits of the table of wanted lines, and bytes of a piece of either.
-BUCKETS, WANTED_BITS, PIECE = 1 << 18, 1 << 23, 1 << 16
+#: Buckets of the rarity table and bits of the table of wanted lines.
+BUCKETS, WANTED_BITS = 1 << 18, 1 << 23
 #: Posting lists up to this length are compared pair by pair.
 SHORT = 8
 #: Words handled in one go.
@@ -108,36 +108,6 @@ def _over_lines(work: Callable[[Lines], pa.RecordBatch | None], last: Callable[[
     return run
 
 
-def _pieces(table: np.ndarray, names: list[str], pad: dict[str, pa.DataType]) -> Iterator[pa.RecordBatch]:
-    """A table as (piece, content) rows without its empty pieces; other columns are null."""
-    raw = table.tobytes()
-    rows = [(i, raw[i * PIECE:(i + 1) * PIECE]) for i in range(-(-len(raw) // PIECE))]
-    rows = [r for r in rows if any(r[1])]
-    if rows:
-        columns = {"piece": pa.array([r[0] for r in rows], pa.int32()), "content": pa.array([r[1] for r in rows], pa.binary())}
-        yield pa.RecordBatch.from_arrays([columns.get(c, pa.nulls(len(rows), pad.get(c))) for c in names], names=names)
-
-
-def _combined(pieces: DataFrame, dtype, join: np.ufunc, size: int) -> np.ndarray:
-    """Sum or union of the pieces of all tasks: a table of fixed size for the driver."""
-    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[int, np.ndarray] = {}
-        for batch in batches:
-            for piece, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                own = np.frombuffer(content, dtype)
-                held[piece] = join(held[piece], own) if piece in held else own
-        for piece, content in held.items():
-            yield pa.RecordBatch.from_arrays([pa.array([piece], pa.int32()), pa.array([content.tobytes()], pa.binary())], names=["piece", "content"])
-
-    folded = pieces.select("piece", "content").mapInArrow(fold, "piece int, content binary")
-    whole = np.zeros(size, dtype)
-    per = PIECE // whole.itemsize
-    for r in folded.repartition("piece").mapInArrow(fold, "piece int, content binary").toLocalIterator():
-        own = np.frombuffer(r["content"], dtype)
-        whole[r["piece"] * per:r["piece"] * per + len(own)] = own
-    return whole
-
-
 LINE_COLUMNS = ["doc", "line", "d1", "d2", "n", "piece", "content"]
 LINE_TYPES = {"doc": pa.int64(), "line": pa.int64(), "d1": pa.int64(), "d2": pa.int64(), "n": pa.int64(), "piece": pa.int32(), "content": pa.binary()}
 
@@ -155,7 +125,7 @@ def _all_lines(docs: DataFrame) -> DataFrame:
                 [pa.array(arrays[c]) if c in arrays else pa.nulls(len(lines.n), LINE_TYPES[c]) for c in LINE_COLUMNS], names=LINE_COLUMNS,
             )
 
-        yield from _over_lines(work, lambda: _pieces(seen, LINE_COLUMNS, LINE_TYPES))(batches)
+        yield from _over_lines(work, lambda: pieces_of(seen, LINE_COLUMNS, LINE_TYPES))(batches)
 
     return docs.mapInArrow(run, "doc long, line long, d1 long, d2 long, n long, piece int, content binary")
 
@@ -305,9 +275,9 @@ def _wanted_table(lines: DataFrame) -> np.ndarray:
         for batch in batches:
             slot = _slot(*(c.to_numpy(zero_copy_only=False) for c in batch.columns))
             np.bitwise_or.at(bits, slot >> 3, (1 << (slot & 7)).astype(np.uint8))
-        yield from _pieces(bits, ["piece", "content"], {})
+        yield from pieces_of(bits, ["piece", "content"], {})
 
-    return _combined(lines.select("doc", "line").mapInArrow(run, "piece int, content binary"), np.uint8, np.bitwise_or, WANTED_BITS >> 3)
+    return combined(lines.select("doc", "line").mapInArrow(run, "piece int, content binary"), np.uint8, np.bitwise_or, WANTED_BITS >> 3)
 
 
 def _words_of(docs: DataFrame, bits) -> DataFrame:
@@ -353,7 +323,7 @@ def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     text = F.col(f"`{text_col}`").cast("string")
     rows = docs.select(key_of(F.col(f"`{id_col}`"), text).alias("doc"), text.alias("text"))
     parsed = staged(_all_lines(rows), "lines")
-    rarity = _combined(parsed.filter("piece IS NOT NULL"), np.int64, np.add, BUCKETS)
+    rarity = combined(parsed.filter("piece IS NOT NULL"), np.int64, np.add, BUCKETS)
     lines = parsed.filter("piece IS NULL").select("doc", "line", "d1", "d2")
     first = lines.groupBy("d1", "d2").agg(F.min(F.struct("doc", "line")).alias("first"), F.count("*").alias("n")).filter("n > 1")
     equal = staged(

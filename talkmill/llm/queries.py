@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from talkmill.llm import exact_dedup, fertility, length_packing, line_dedup, mixing, quotations, sharding, simhash_pivots, token_counts
+from talkmill.llm import exact_dedup, fertility, length_packing, line_dedup, mixing, ppm, quotations, sharding, simhash_pivots, token_counts
 from talkmill.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -29,6 +29,10 @@ def op2_soft_membership_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rates.withColumnRenamed("id", "doc_id").drop("text_hash")
 
 
+def op3_ppm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ppm.ppm_scores(table(spark, sf_dir, "documents"))
+
+
 def op4_pivot_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_pivots.simhash_groups(table(spark, sf_dir, "documents"))
 
@@ -70,6 +74,7 @@ FROM d WINDOW best AS (PARTITION BY text_sha256 ORDER BY points DESC, doc_id)
 QUERIES: dict[str, tuple[Query, str | None]] = {
     "op1_histogram_shards": (op1_histogram_shards, None),
     "op2_soft_membership_mix": (op2_soft_membership_mix, None),
+    "op3_ppm_scores": (op3_ppm_scores, None),
     "op4_pivot_simhash": (op4_pivot_simhash, None),
     "op5_length_buckets": (op5_length_buckets, None),
     "op6_heap_merge_counts": (op6_heap_merge_counts, None),
