@@ -151,8 +151,13 @@ def duplicate_lines(text: str) -> int:
     return len(lines) - len(set(lines))
 
 
+def text_hash(text: Column) -> Column:
+    """Tells texts of rows that repeat an id apart."""
+    return F.xxhash64(F.coalesce(text.cast("string"), F.lit("")))
+
+
 def features(docs: DataFrame, piece_model: str, rank_file: str) -> DataFrame:
-    """Measures of every row of (doc_id, text, lang), without a shuffle; the language rides along."""
+    """Measures of every row of (doc_id, text, lang, text_hash), without a shuffle; the last two ride along."""
     names = [f.split()[0] for f in FEATURES.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -165,11 +170,11 @@ def features(docs: DataFrame, piece_model: str, rank_file: str) -> DataFrame:
                 if size >= 6 * CHUNK_WORDS or stop == len(texts):
                     columns = meter.measure(texts[start:stop])
                     yield pa.RecordBatch.from_arrays(
-                        [batch.column(0).slice(start, stop - start), *map(pa.array, columns), batch.column(2).slice(start, stop - start)], names=[*names, "lang"],
+                        [batch.column(0).slice(start, stop - start), *map(pa.array, columns), *(batch.column(c).slice(start, stop - start) for c in (2, 3))], names=[*names, "lang", "text_hash"],
                     )
                     start, size = stop, 0
 
-    return docs.select(F.col("doc_id").cast("long"), "text", "lang").mapInArrow(run, f"{FEATURES}, lang string")
+    return docs.select(F.col("doc_id").cast("long"), "text", "lang", "text_hash").mapInArrow(run, f"{FEATURES}, lang string, text_hash long")
 
 
 def base_failed() -> Column:
@@ -219,7 +224,7 @@ def judged(
     repeat an id are judged each on its own; an empty table gives an empty result.
     """
     rows = features(docs.select(
-        F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"), F.trim(F.col(f"`{lang_col}`").cast("string")).alias("lang"),
+        F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"), F.trim(F.col(f"`{lang_col}`").cast("string")).alias("lang"), text_hash(F.col(f"`{text_col}`")).alias("text_hash"),
     ), piece_model, rank_file)
     measured = staged(
         rows.withColumn("kind", F.coalesce(F.when(F.col("lang") != "", F.col("lang")), F.concat(F.lit("script "), "script")))
@@ -244,5 +249,5 @@ def judged(
     ]))
     return joined.select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", base_failed().alias("base_failed"),
-        (~base_failed() & (F.size(outside) == 0)).alias("kept"), *MEASURES, F.concat_ws(",", outside).alias("out_of_band"),
+        (~base_failed() & (F.size(outside) == 0)).alias("kept"), *MEASURES, F.concat_ws(",", outside).alias("out_of_band"), "text_hash",
     )
