@@ -168,21 +168,23 @@ def fit_rates(rows: DataFrame, weights: list[float], budget: float | None = None
     return staged(rows, "rates"), {"target": [t / 1000 for t in target], "reached": [s / 1000 for s in now], "available": [s / 1000 for s in start]}
 
 
-#: Labelled documents the classifier is fitted on at most; an even share by hash of the id.
-LABELLED = 100_000
+#: Labelled documents the classifier is fitted on, about at most; an even share by hash of the id.
+LABELLED = 20_000
 
 
 def with_domain(docs: DataFrame, labels: DataFrame, domains: dict[str, Column], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Different labelled texts (text, domain, half): half 0 is counted, half 1 calibrates.
 
-    ``domains`` are conditions on the label columns, the first that holds decides.
+    ``domains`` are conditions on the label columns, the first that holds decides. The sampled ids are
+    broadcast: they are different and about LABELLED at most, so only sampled texts are shuffled.
     """
     domain = F.coalesce(*[F.when(c, F.lit(d)) for d, c in domains.items()])
-    known = labels.select(F.col("doc_id").alias("_labelled"), domain.alias("domain")).filter("domain IS NOT NULL")
+    known = labels.select(F.col("doc_id").alias("_labelled"), domain.alias("domain")).filter("domain IS NOT NULL AND _labelled IS NOT NULL")
+    known = known.groupBy("_labelled").agg(F.min("domain").alias("domain"))
     share = int(min(1.0, LABELLED / max(1, known.count())) * (1 << 20))
     known = known.filter(F.pmod(F.xxhash64("_labelled"), F.lit(1 << 20)) < share)
     text = F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))
-    joined = docs.select(F.col(f"`{id_col}`").alias("_id"), text.alias("text")).join(known, F.col("_id") == F.col("_labelled"))
+    joined = docs.select(F.col(f"`{id_col}`").alias("_id"), text.alias("text")).join(F.broadcast(known), F.col("_id") == F.col("_labelled"))
     once = joined.groupBy(F.xxhash64("text").alias("hash")).agg(F.first("text").alias("text"), F.min("domain").alias("domain"))
     return once.withColumn("half", F.pmod("hash", F.lit(2)))
 
