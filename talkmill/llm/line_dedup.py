@@ -21,7 +21,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
-from talkmill.llm.common import by_value, combined, pieces_of, staged
+from talkmill.llm.common import by_value, combined, free_name, pieces_of, staged
 
 by_value(__name__)
 
@@ -360,8 +360,8 @@ def line_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     )
 
 
-def _by_document(lines: DataFrame) -> DataFrame:
-    return lines.groupBy(F.col("doc").alias("_doc")).agg(F.sort_array(F.collect_set("line")).alias("removed"))
+def _by_document(lines: DataFrame, key: str = "_doc", removed: str = "removed") -> DataFrame:
+    return lines.groupBy(F.col("doc").alias(key)).agg(F.sort_array(F.collect_set("line")).alias(removed))
 
 
 def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", drop_emptied: bool = True) -> DataFrame:
@@ -371,9 +371,10 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     words and null texts are left as they are. Repeated ids count as one document: a line number
     that goes in one of them goes in all.
     """
-    gone = _by_document(repeated_lines(docs, id_col, text_col))
+    key, doc, lost = (free_name(docs.columns, c) for c in ("key", "doc", "removed"))
+    gone = _by_document(repeated_lines(docs, id_col, text_col), doc, lost)
     text = F.col(f"`{text_col}`").cast("string")
-    joined = docs.withColumn("_key", key_of(F.col(f"`{id_col}`"), text)).join(gone, F.col("_key") == F.col("_doc"), "left")
+    joined = docs.withColumn(key, key_of(F.col(f"`{id_col}`"), text)).join(gone, F.col(key) == F.col(doc), "left")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -387,4 +388,4 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             out = pa.RecordBatch.from_arrays(columns, names=batch.schema.names[:-1])
             yield out.filter(pa.array([not (drop_emptied and r and not t.strip(" \t\n\x0b\x0c\r")) for r, t in zip(removed, texts)], pa.bool_()))
 
-    return joined.select(*[F.col(f"`{c}`") for c in docs.columns], "removed").mapInArrow(cut, docs.withColumn(text_col, text).schema)
+    return joined.select(*[F.col(f"`{c}`") for c in docs.columns], lost).mapInArrow(cut, docs.withColumn(text_col, text).schema)

@@ -21,7 +21,7 @@ import math
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from talkmill.llm.common import same, staged
+from talkmill.llm.common import free_name, same, staged
 
 #: Hash buckets of words: the model has at most BUCKETS rows, whatever the corpus.
 BUCKETS = 1 << 20
@@ -221,7 +221,8 @@ def soft_mixture(
 def drawn(docs: DataFrame, rates: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Documents as often as drawn, with all their columns."""
     text = F.xxhash64(F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")))
-    wanted = rates.select(F.col("id").alias("_id"), F.col("text_hash").alias("_hash"), "n_drawn").filter("n_drawn > 0")
-    joined = docs.join(wanted, same([F.col(f"`{id_col}`"), text], [F.col("_id"), F.col("_hash")]))
-    copies = joined.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("n_drawn"))))
+    id_, hash_, n, copy = (free_name(docs.columns, c) for c in ("id", "hash", "drawn", "copy"))
+    wanted = rates.select(F.col("id").alias(id_), F.col("text_hash").alias(hash_), F.col("n_drawn").alias(n)).filter(f"{n} > 0")
+    joined = docs.join(wanted, same([F.col(f"`{id_col}`"), text], [F.col(id_), F.col(hash_)]))
+    copies = joined.withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(n))))
     return copies.select(*[F.col(f"`{c}`") for c in docs.columns])

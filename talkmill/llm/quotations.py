@@ -35,8 +35,7 @@ def levels(text: str) -> list[tuple[int, str]]:
         out.append((found[1].count(">"), found[2]) if found else (0, line))
     kept = []
     for i, (level, line) in enumerate(out):
-        following = next((n for n, later in out[i + 1:] if later.strip()), 0)
-        if _SAID.match(line) and following > level:
+        if _SAID.match(line) and next((out[j][0] for j in range(i + 1, len(out)) if out[j][1].strip()), 0) > level:
             continue
         kept.append((level, line))
     return kept
@@ -85,18 +84,24 @@ def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _roots(parents: DataFrame) -> DataFrame:
-    """(scope, at, root, depth) of every message with a parent, by pointer doubling."""
-    up = staged(parents.select("scope", "at", F.col("parent").alias("root"), F.lit(1).alias("depth")), "ancestors")
-    while True:
+    """(scope, at, root, depth) of every message with a parent, by pointer doubling.
+
+    A message that points to a root is done; only the others look further, up to the pointers
+    of all as they are now, so a round joins those deeper than twice the depth of the one before.
+    """
+    up = moving = staged(parents.select("scope", "at", F.col("parent").alias("root"), F.lit(1).alias("depth")), "ancestors")
+    done: DataFrame | None = None
+    while not moving.isEmpty():
         further = up.select(F.col("scope").alias("_s"), F.col("at").alias("_a"), F.col("root").alias("_r"), F.col("depth").alias("_d"))
-        up = staged(
-            up.join(further, same([F.col("scope"), F.col("root")], [F.col("_s"), F.col("_a")]), "left").select(
+        looked = staged(
+            moving.join(further, same([F.col("scope"), F.col("root")], [F.col("_s"), F.col("_a")]), "left").select(
                 "scope", "at", F.coalesce("_r", "root").alias("root"), (F.col("depth") + F.coalesce("_d", F.lit(0))).alias("depth"), F.col("_r").isNotNull().alias("moved"),
             ), "ancestors",
         )
-        if up.filter("moved").isEmpty():
-            return up.drop("moved")
-        up = up.drop("moved")
+        ended, moving = looked.filter("NOT moved").drop("moved"), looked.filter("moved").drop("moved")
+        done = ended if done is None else done.union(ended)
+        up = done.union(moving)
+    return up if done is None else done
 
 
 def linked_conversations(

@@ -26,7 +26,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
-from talkmill.llm.common import by_value, staged
+from talkmill.llm.common import by_value, free_name, staged
 from talkmill.llm.components import connected
 
 by_value(__name__)
@@ -204,5 +204,6 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     naming id all stay that are equal to it in id: ids are expected to be unique.
     """
     groups = simhash_groups(docs, id_col, text_col)
-    stay = groups.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_stays")).distinct()
-    return docs.join(stay, F.col(f"`{id_col}`").eqNullSafe(F.col("_stays")), "left_semi")
+    name = free_name(docs.columns, "stays")
+    stay = groups.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias(name)).distinct()
+    return docs.join(stay, F.col(f"`{id_col}`").eqNullSafe(F.col(name)), "left_semi")
