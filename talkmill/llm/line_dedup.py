@@ -8,8 +8,8 @@ differing words); survivors are verified word by word. A line goes when an earli
 whether or not that one stays.
 
 Rarity is counted over the whole corpus in a table of hash buckets, so its size is fixed; any
-order of words gives the same result. In a long posting list each line keeps its earliest
-candidate only; should that one fail the verification, the line is compared with all of the list.
+order of words gives the same result. In a long posting list each line keeps the candidate found
+first; should all that a line has fail the verification, it is compared with the whole of its lists.
 """
 
 from __future__ import annotations
@@ -29,10 +29,14 @@ by_value(__name__)
 UP, OF = 4, 5
 #: Buckets of the rarity table and bits of the table of wanted lines.
 BUCKETS, WANTED_BITS = 1 << 18, 1 << 23
-#: Posting lists up to this length are compared pair by pair.
+#: Sets smaller than this match equal sets only, which the digest finds.
+SMALLEST = 4
+#: Posting lists up to this length give all candidates, longer ones the first found of each line.
 SHORT = 8
-#: Words handled in one go.
-CHUNK_WORDS = 250_000
+#: Postings compared in one go, besides a longer list.
+ROWS = 100_000
+#: Characters handled in one go; a longer text is handled alone.
+CHUNK = 1_500_000
 MASK = (1 << 63) - 1
 
 
@@ -41,34 +45,64 @@ def key_of(id_: Column, text: Column) -> Column:
     return F.coalesce(id_.cast("long"), -1 - F.shiftrightunsigned(F.xxhash64(text), 2))
 
 
+#: Random odd numbers, one per byte, and the base of the word hash.
+_BYTE = np.array([xxhash.xxh64_intdigest(b"byte %d" % i) | 1 for i in range(256)], np.uint64)
+_BASE = np.uint64(0x9E3779B97F4A7C15)
+_IS_BLANK = np.zeros(256, bool)
+_IS_BLANK[list(b" \t\n\x0b\x0c\r")] = True
+
+
+def word_hashes(letters: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """63-bit polynomial hashes of words given as their letters one after the other."""
+    if not len(lengths):
+        return np.zeros(0, np.int64)
+    starts = np.cumsum(lengths) - lengths
+    powers = np.cumprod(np.full(int(lengths.max()), _BASE))
+    place = np.arange(len(letters)) - np.repeat(starts, lengths)
+    h = np.add.reduceat(_BYTE[letters] * powers[place], starts)
+    for shift, factor in ((33, 0xFF51AFD7ED558CCD), (29, 0xC4CEB9FE1A85EC53)):
+        h = (h ^ (h >> np.uint64(shift))) * np.uint64(factor)
+    return ((h ^ (h >> np.uint64(32))) & np.uint64(MASK)).astype(np.int64)
+
+
+def packed_order(line: np.ndarray, next_: np.ndarray, bits: int, *keys: np.ndarray) -> np.ndarray:
+    """Order by line, then by keys; ``next_`` holds the leading ``bits`` of the keys.
+
+    One sort of packed numbers; where two of them are equal but the keys differ, sorted by all keys.
+    """
+    packed = (line.astype(np.uint64) << np.uint64(bits)) | next_.astype(np.uint64)
+    order = np.argsort(packed)
+    tie = np.flatnonzero(np.diff(packed[order]) == 0)
+    if len(tie) and any((k[order[tie]] != k[order[tie + 1]]).any() for k in keys):
+        order = np.lexsort((*reversed(keys), line))
+    return order
+
+
 class Lines:
     """Distinct words of the non-blank lines of some documents, as flat arrays sorted by line."""
 
-    def __init__(self, keys: list[int], texts: list[str | None], memory: dict[bytes, int]):
-        words: list[bytes] = []
-        lengths, docs, numbers = [], [], []
-        for key, text in zip(keys, texts):
-            for number, line in enumerate((text or "").encode("utf-8", "surrogatepass").lower().split(b"\n")):
-                found = line.split()
-                if found:
-                    words += found
-                    lengths.append(len(found))
-                    docs.append(key)
-                    numbers.append(number)
-        if len(memory) > 400_000:
-            memory.clear()
-        hashed = xxhash.xxh64_intdigest
-        for w in set(words) - memory.keys():
-            memory[w] = hashed(w) & MASK
-        self.doc, self.number = np.array(docs, np.int64), np.array(numbers, np.int64)
-        hashes = np.fromiter(map(memory.__getitem__, words), np.int64, len(words))
-        line = np.repeat(np.arange(len(lengths)), lengths)
-        order = np.lexsort((hashes, line))
+    def __init__(self, keys: list[int], texts: list[str | None]):
+        bodies = [(t or "").encode("utf-8", "surrogatepass").lower() for t in texts]
+        raw = np.frombuffer(b"\n".join(bodies) + b"\n", np.uint8)
+        blank = _IS_BLANK[raw]
+        # A word starts at a letter after a blank; the buffer ends with a blank.
+        edge = np.diff(np.concatenate([[True], blank]).astype(np.int8))
+        starts, stops = np.flatnonzero(edge == -1), np.flatnonzero(edge == 1)
+        lengths = stops - starts
+        breaks = np.flatnonzero(raw == 10)
+        ends = np.cumsum([len(b) + 1 for b in bodies]) - 1
+        first_line = np.concatenate([[0], np.searchsorted(breaks, ends)[:-1] + 1]) if len(bodies) else np.zeros(0, np.int64)
+        at_line = np.searchsorted(breaks, starts)
+        present, line = np.unique(at_line, return_inverse=True)
+        doc = np.searchsorted(first_line, present, "right") - 1
+        self.doc, self.number = np.array(keys, np.int64)[doc], present - first_line[doc]
+        hashes = word_hashes(raw[~blank], lengths)
+        order = packed_order(line, hashes >> 20, 43, hashes)
         line, hashes = line[order], hashes[order]
         fresh = np.ones(len(line), bool)
         fresh[1:] = (line[1:] != line[:-1]) | (hashes[1:] != hashes[:-1])
         self.line, self.hash = line[fresh], hashes[fresh]
-        self.n = np.bincount(self.line, minlength=len(lengths))
+        self.n = np.bincount(self.line, minlength=len(present))
         self.start = np.cumsum(self.n) - self.n
 
     def digests(self) -> np.ndarray:
@@ -90,17 +124,16 @@ def _chunks(batch: pa.RecordBatch) -> Iterator[tuple[list, list]]:
     start, size = 0, 0
     for stop, text in enumerate(texts, 1):
         size += len(text or "")
-        if size >= 6 * CHUNK_WORDS or stop == len(texts):
+        if size >= CHUNK or stop == len(texts):
             yield keys[start:stop], texts[start:stop]
             start, size = stop, 0
 
 
 def _over_lines(work: Callable[[Lines], pa.RecordBatch | None], last: Callable[[], Iterator[pa.RecordBatch]] | None = None):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memory: dict[bytes, int] = {}
         for batch in batches:
             for keys, texts in _chunks(batch):
-                lines = Lines(keys, texts, memory)
+                lines = Lines(keys, texts)
                 if len(lines.n) and (out := work(lines)) is not None:
                     yield out
         if last:
@@ -153,9 +186,10 @@ def _postings(docs: DataFrame, rarity) -> DataFrame:
                     once[i] = True
             if len(known) > 500_000:
                 known.clear()
-            order = np.lexsort((lines.hash, rank[lines.hash % BUCKETS], lines.line))
+            own = rank[lines.hash % BUCKETS].astype(np.int64)
+            order = packed_order(lines.line, (own << 35) | (lines.hash >> 28), 43, own, lines.hash)
             at = np.arange(len(order)) - lines.start[lines.line]
-            keep = (at < prefix_length(lines.n)[lines.line]) & once[lines.line]
+            keep = (at < prefix_length(lines.n)[lines.line]) & once[lines.line] & (lines.n >= SMALLEST)[lines.line]
             line, at, word = lines.line[keep], at[keep], lines.hash[order][keep]
             if not len(line):
                 return None
@@ -169,59 +203,55 @@ def _postings(docs: DataFrame, rarity) -> DataFrame:
     return docs.mapInArrow(run, "word long, doc long, line long, shape long, b1 long, b2 long")
 
 
-def passes(n1, at1, b1, n2, at2, b2) -> np.ndarray:
-    """Length, positional and bitmap filters for pairs of postings of one word; true may still fail."""
-    small, large = np.minimum(n1, n2), np.maximum(n1, n2)
-    total = n1 + n2
-    need = -(-UP * total // (UP + OF))
-    best = np.minimum(n1 - at1, n2 - at2)
-    # Bits are counted unsigned: of a negative number numpy counts those of its absolute value.
-    differ = sum(np.bitwise_count((x ^ y).view(np.uint64)).astype(np.int64) for x, y in zip(b1, b2))
-    return (OF * small >= UP * large) & (best >= need) & (differ <= total - 2 * need)
+def bits_differ(bits: tuple, y: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """Differing bits of two bitmaps. Counted unsigned: of a negative number numpy counts its absolute value."""
+    return sum(np.bitwise_count((b[y] ^ b[x]).view(np.uint64)).astype(np.int64) for b in bits)
 
 
 def _candidates(every: bool, only=None) -> Callable:
-    """Pairs (doc, line, of_doc, of_line, more) from postings sorted by word, doc, line.
+    """Pairs (doc, line, of_doc, of_line, more) from postings sorted by word, set size, doc, line.
 
-    Long lists give each line its earliest candidate, ``more`` says that later ones may exist; with
-    ``every`` they give all candidates of the lines in the table ``only``.
+    Neighbours at distance 1, 2, ... are compared, all lists of a batch at once; sizes ascend, so a row
+    leaves the comparison when its partner has become too small. In lists longer than SHORT a line that
+    has a candidate gets no more; ``more`` says so. With ``every`` the lines in the table ``only`` get all.
     """
-    def solve(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Indices of later and earlier lines in a long list."""
-        n, at, b = rows[:, 3] >> 24, rows[:, 3] & 0xFFFFFF, rows[:, 4:6].T
-        later, earlier = [], []
-        waiting = np.arange(len(rows))
-        if every:
-            waiting = waiting[wanted(only.value, rows[:, 1], rows[:, 2])]
-        for x in range(len(rows)):
-            waiting = waiting[waiting > x] if not every else waiting
-            rest = waiting[waiting > x] if every else waiting
-            if not len(rest):
-                break
-            hit = rest[passes(n[x], at[x], b[:, x:x + 1], n[rest], at[rest], b[:, rest])]
-            if len(hit):
-                later.append(hit)
-                earlier.append(np.full(len(hit), x))
+    def solve(rows: np.ndarray, place: np.ndarray, size: np.ndarray) -> Iterator[pa.RecordBatch]:
+        n, at, bits = rows[:, 3] >> 24, rows[:, 3] & 0xFFFFFF, (rows[:, 4], rows[:, 5])
+        done = ~wanted(only.value, rows[:, 1], rows[:, 2]) if every else np.zeros(len(rows), bool)
+        long, active, d = size > SHORT, np.flatnonzero(place > 0), 0
+        while len(active):
+            d += 1
+            active = active[place[active] >= d]
+            active = active[OF * n[active - d] >= UP * n[active]]
+            a, b = active, active - d
+            # The later line of a pair is the one that may go.
+            swap = (rows[b, 1] > rows[a, 1]) | ((rows[b, 1] == rows[a, 1]) & (rows[b, 2] > rows[a, 2]))
+            y, x = np.where(swap, b, a), np.where(swap, a, b)
+            open_ = ~done[y]
+            y, x = y[open_], x[open_]
+            total = n[y] + n[x]
+            need = -(-UP * total // (UP + OF))
+            ok = np.minimum(n[y] - at[y], n[x] - at[x]) >= need
+            y, x, total, need = y[ok], x[ok], total[ok], need[ok]
+            ok = bits_differ(bits, y, x) <= total - 2 * need
+            y, x = y[ok], x[ok]
+            # A line posted by two tasks is no partner of its own.
+            other = (rows[y, 1] != rows[x, 1]) | (rows[y, 2] != rows[x, 2])
+            y, x = y[other], x[other]
+            if len(y):
                 if not every:
-                    waiting = np.setdiff1d(waiting, hit, assume_unique=True)
-        none = np.zeros(0, np.int64)
-        return (np.concatenate(later), np.concatenate(earlier)) if later else (none, none)
-
-    def emit(rows: np.ndarray, later: np.ndarray, earlier: np.ndarray, more: bool) -> Iterator[pa.RecordBatch]:
-        # A word posted by two tasks for the same line would pair it with itself.
-        other = (rows[later, 1] != rows[earlier, 1]) | (rows[later, 2] != rows[earlier, 2])
-        later, earlier = later[other], earlier[other]
-        if len(later):
-            yield pa.RecordBatch.from_arrays(
-                [*map(pa.array, (rows[later, 1], rows[later, 2], rows[earlier, 1], rows[earlier, 2])), pa.array(np.full(len(later), more))],
-                names=["doc", "line", "of_doc", "of_line", "more"],
-            )
+                    done[y[long[y]]] = True
+                yield pa.RecordBatch.from_arrays(
+                    [*map(pa.array, (rows[y, 1], rows[y, 2], rows[x, 1], rows[x, 2])), pa.array(long[y] & (not every))], names=["doc", "line", "of_doc", "of_line", "more"],
+                )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = np.zeros((0, 6), np.int64)
         for batch in _with_end(batches):
             if batch is not None:
                 held = np.concatenate([held, np.stack([c.to_numpy(zero_copy_only=False) for c in batch.columns], axis=1)])
+                if len(held) < ROWS:
+                    continue
             if not len(held):
                 continue
             edges = np.flatnonzero(np.diff(held[:, 0])) + 1
@@ -233,21 +263,7 @@ def _candidates(every: bool, only=None) -> Callable:
             rows, held = held[:edges[-1]], held[edges[-1]:].copy()
             starts = np.concatenate([[0], edges[:-1]])
             sizes = np.diff(np.append(starts, edges[-1]))
-            size = np.repeat(sizes, sizes)
-            if not every:
-                short = np.flatnonzero(size <= SHORT)
-                n, at, b = rows[:, 3] >> 24, rows[:, 3] & 0xFFFFFF, rows[:, 4:6].T
-                for d in range(1, SHORT):
-                    y = short[short >= d]
-                    y = y[rows[y, 0] == rows[y - d, 0]]
-                    if not len(y):
-                        break
-                    x = y - d
-                    ok = passes(n[x], at[x], b[:, x], n[y], at[y], b[:, y])
-                    yield from emit(rows, y[ok], x[ok], False)
-            for s, k in zip(starts[sizes > SHORT].tolist(), sizes[sizes > SHORT].tolist()):
-                part = rows[s:s + k]
-                yield from emit(part, *solve(part), not every)
+            yield from solve(rows, np.arange(len(rows)) - np.repeat(starts, sizes), np.repeat(sizes, sizes))
 
     return run
 
@@ -330,8 +346,10 @@ def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         lines.join(first, ["d1", "d2"]).filter(F.struct("doc", "line") > F.col("first"))
         .select("doc", "line", F.col("first.doc").alias("of_doc"), F.col("first.line").alias("of_line")), "equal-lines",
     )
-    ordered = lambda p: p.repartition("word").sortWithinPartitions("word", "doc", "line")
-    postings = _postings(rows, spark.sparkContext.broadcast(np.minimum(rarity, (1 << 31) - 1).astype(np.int32)))
+    ordered = lambda p: p.repartition("word").sortWithinPartitions("word", "shape", "doc", "line")
+    # Classes of frequency, an eighth of a power of two wide.
+    classes = np.minimum(8 * np.log2(rarity + 1), 255).astype(np.uint8)
+    postings = _postings(rows, spark.sparkContext.broadcast(classes))
     kind = "doc long, line long, of_doc long, of_line long, more boolean"
     found = ordered(postings).mapInArrow(_candidates(False), kind)
     pairs = staged(found.groupBy("doc", "line", "of_doc", "of_line").agg(F.max("more").alias("more")), "line-pairs")
