@@ -1,8 +1,8 @@
 """Comment, video and annotation tables derived from the given tables, in Spark and in SQL.
 
 Every document becomes a comment. Its text is kept whole and a remark is appended that
-exercises a branch (links, markers, scripts, lexicon words); in some slots the remark
-replaces the text, because short and blank comments do not occur otherwise.
+exercises a branch (links, markers, scripts, lexicon words). Short and blank comments do not
+occur otherwise: some documents give a second comment that is a remark only.
 """
 
 from __future__ import annotations
@@ -14,9 +14,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from talkmill.functions.flags import is_short, is_single_word, is_spam
 from talkmill.functions.lexicons import ASPECT_LABELS
 from talkmill.session import tune
-from talkmill.sources.files import spread_if_narrow
 
-# (replace the text?, remark)
+# (a comment of its own?, remark)
 REMARKS: list[tuple[bool, str | None]] = [
     (False, "Really good camera but the battery is not great."),
     (False, "Worst purchase, very bad screen and too expensive!!!"),
@@ -43,11 +42,10 @@ REMARKS: list[tuple[bool, str | None]] = [
     (False, "I love the display"),
 ]
 SLOTS = len(REMARKS)
-REPLACING = [i for i, (whole, _) in enumerate(REMARKS) if whole]
+ALONE = [i for i, (whole, _) in enumerate(REMARKS) if whole]
 PRODUCT_NAMES = {"src0": "Steam Deck", "src1": "Nintendo Switch", "src2": "Iphone 17"}
 NOTES = ["ambiguous", " future demand", "Language Error", "question ", "unrelated", "", None]
-VIDEOS = 97
-TEXT_TABLES = ("documents", "pages", "conversations")
+PER_VIDEO = 10  # documents per video, so the number of videos grows with the data
 
 
 def lit(text: str | None) -> str:
@@ -62,12 +60,16 @@ def lits(texts: list[str | None]) -> str:
 _PRODUCT_CASE = "CASE source " + " ".join(f"WHEN {lit(k)} THEN {lit(v)}" for k, v in PRODUCT_NAMES.items()) + " ELSE source END"
 
 COMMENTS_SQL = f"""comments AS (
-  SELECT doc_id, 'c' || doc_id AS comment_id, 'v' || (doc_id % {VIDEOS}) AS video_id,
+  SELECT doc_id, 'c' || doc_id AS comment_id, 'v' || (doc_id // {PER_VIDEO}) AS video_id,
     {_PRODUCT_CASE} AS product_query,
-    CASE WHEN doc_id % {SLOTS} IN ({', '.join(map(str, REPLACING))}) THEN [{lits([r for _, r in REMARKS])}][doc_id % {SLOTS} + 1]
+    CASE WHEN doc_id % {SLOTS} IN ({', '.join(map(str, ALONE))}) THEN text
          ELSE text || ' ' || [{lits([r for _, r in REMARKS])}][doc_id % {SLOTS} + 1] END AS comment_text,
     n_chars % 50 AS like_count, lang, text, n_chars
-  FROM documents)"""
+  FROM documents
+  UNION ALL
+  SELECT -1 - doc_id, 'x' || doc_id, 'v' || (doc_id // {PER_VIDEO}), {_PRODUCT_CASE}, [{lits([r for _, r in REMARKS])}][doc_id % {SLOTS} + 1],
+    n_chars % 50, lang, text, n_chars
+  FROM documents WHERE doc_id % {SLOTS} IN ({', '.join(map(str, ALONE))}))"""
 
 ANNOTATED_SQL = f"""annotated AS (
   SELECT c.*, l.quality, l.toxic,
@@ -93,8 +95,7 @@ class Tables:
     def __getattr__(self, name: str) -> DataFrame:
         if name.startswith("_"):
             raise AttributeError(name)
-        df = self.spark.read.parquet(f"{self.dir}/{name}.parquet")
-        return spread_if_narrow(df) if name in TEXT_TABLES else df
+        return self.spark.read.parquet(f"{self.dir}/{name}.parquet")
 
     @cached_property
     def comments(self) -> DataFrame:
@@ -131,9 +132,14 @@ def comments_of(documents: DataFrame) -> DataFrame:
     product = F.coalesce(
         *[F.when(F.col("source") == k, F.lit(v)) for k, v in PRODUCT_NAMES.items()], F.col("source")
     )
-    return documents.select(
-        "doc_id", F.concat(F.lit("c"), F.col("doc_id").cast("string")).alias("comment_id"),
-        F.concat(F.lit("v"), (F.col("doc_id") % VIDEOS).cast("string")).alias("video_id"), product.alias("product_query"),
-        F.when(slot.isin(REPLACING), remark).otherwise(F.concat(F.col("text"), F.lit(" "), remark)).alias("comment_text"),
-        (F.col("n_chars") % 50).alias("like_count"), "lang", "text", "n_chars",
-    )
+
+    def rows(docs: DataFrame, id_: Column, mark: str, text: Column) -> DataFrame:
+        return docs.select(
+            id_.alias("doc_id"), F.concat(F.lit(mark), F.col("doc_id").cast("string")).alias("comment_id"),
+            F.concat(F.lit("v"), F.expr(f"cast(doc_id div {PER_VIDEO} as string)")).alias("video_id"), product.alias("product_query"),
+            text.alias("comment_text"), (F.col("n_chars") % 50).alias("like_count"), "lang", "text", "n_chars",
+        )
+
+    with_remark = F.when(slot.isin(ALONE), F.col("text")).otherwise(F.concat(F.col("text"), F.lit(" "), remark))
+    alone = rows(documents.filter(slot.isin(ALONE)), -1 - F.col("doc_id"), "x", remark)
+    return rows(documents, F.col("doc_id"), "c", with_remark).unionByName(alone)

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from talkmill import schemas as S
 from talkmill.checks import sql as Q
-from talkmill.checks.bindings import comments_of, lit
+from talkmill.checks.bindings import PER_VIDEO, comments_of, lit
 from talkmill.checks.registry import register
 from talkmill.checks.text_queries import DICTIONARY, _normalized_sql
 from talkmill.functions import lexicons as X, sentiment as SE
@@ -258,13 +258,13 @@ register("validation_job", _validation_job, Q.with_comments(
 
 
 def _video_side(t):
-    return t.documents.filter("doc_id < 97").select(
-        F.concat(F.lit("v"), F.col("doc_id").cast("string")).alias("video_id"), F.col("lang").alias("title"), F.col("source").alias("channel_name"),
+    return t.documents.filter(F.col("doc_id") % PER_VIDEO == 0).select(
+        F.concat(F.lit("v"), F.expr(f"cast(doc_id div {PER_VIDEO} as string)")).alias("video_id"), F.col("lang").alias("title"), F.col("source").alias("channel_name"),
         F.col("n_chars").alias("view_count"), (F.col("n_chars") % 10).alias("like_count"))
 
 
 _EXPORT_SQL = """SELECT c.comment_id, c.product_query, c.video_id, v.lang AS video_title, v.source AS channel_name, v.n_chars AS view_count, v.n_chars % 10 AS video_like_count, c.like_count AS comment_like_count
-  FROM {0} c LEFT JOIN documents v ON v.doc_id < 97 AND c.video_id = 'v' || v.doc_id"""
+  FROM {0} c LEFT JOIN documents v ON v.doc_id % 10 = 0 AND c.video_id = 'v' || (v.doc_id // 10)"""
 _EXPORT_COLUMNS = ["comment_id", "product_query", "video_id", "video_title", "channel_name", "view_count", "video_like_count", "comment_like_count"]
 register("export_master", lambda t: jobs.export_master(_video_side(t), t.comments.unionByName(t.comments), 1, 2, [F.col("comment_text")]).table.select(*_EXPORT_COLUMNS),
          Q.with_comments(_EXPORT_SQL.format("comments")))
@@ -280,7 +280,7 @@ def _processed(t):
 register("process_product", _processed, Q.with_comments(
     f"""SELECT f.comment_id, f.product_query, coalesce(x.cleaned_comment_text, f.cleaned_comment_text) AS cleaned_comment_text, x.detected_language, x.is_translated, v.lang AS video_title
         FROM flagged f JOIN (SELECT comment_id, detected_language, CASE WHEN detected_language <> 'english' THEN cleaned_comment_text END AS cleaned_comment_text, is_translated, is_removed_in_final_cleanup FROM tidy) x USING (comment_id)
-        LEFT JOIN documents v ON v.doc_id < 97 AND f.video_id = 'v' || v.doc_id WHERE NOT f.is_removed_by_cleaning AND NOT (x.detected_language <> 'english' AND x.is_removed_in_final_cleanup)""",
+        LEFT JOIN documents v ON v.doc_id % 10 = 0 AND f.video_id = 'v' || (v.doc_id // 10) WHERE NOT f.is_removed_by_cleaning AND NOT (x.detected_language <> 'english' AND x.is_removed_in_final_cleanup)""",
     Q.FLAGGED, *[part.replace("FROM det WHERE coalesce(comment_text", "FROM det SEMI JOIN (SELECT comment_id FROM flagged WHERE NOT is_removed_by_cleaning) USING (comment_id) WHERE coalesce(comment_text") for part in _GATED]))
 register("annotation_setup", lambda t: jobs.annotation_setup(t.comments, 40, 11).table.groupBy("product_query").agg(F.count("*").alias("n"), F.count_if(F.col("sentiment_label") == "").alias("blank")),
          Q.with_comments("SELECT product_query, 2 AS n, 2 AS blank FROM comments GROUP BY 1"))
@@ -306,9 +306,12 @@ register("incremental_ingest", _ingest, Q.with_flagged(
 
 def _stream_dedup(t):
     out = run_dir(t.spark, "dedup")
-    landed = stream.read_landed(t.spark, t.dir, t.events.schema, "events.parquet")
-    twice = landed.withColumn("copy", F.explode(F.array(F.lit(0), F.lit(1)))).withColumn("ts", F.col("ts").cast("timestamp"))
-    stream.run_available(stream.stream_dedup(twice, "event_id", "ts", "40 days"), f"{out}/table", f"{out}/checkpoint")
+    events = t.events
+    middle = events.agg(F.percentile_approx("ts", 0.5)).first()[0]
+    # The newer half lands first; all events, months older ones among them, land in a second run.
+    for part in (events.filter(F.col("ts") >= F.lit(middle)), events.union(events)):
+        part.write.mode("append").parquet(f"{out}/landed")
+        stream.stream_dedup(stream.read_landed(t.spark, f"{out}/landed", events.schema), "event_id", f"{out}/table", f"{out}/checkpoint")
     return t.spark.read.parquet(f"{out}/table").select("event_id", "event_type", "user_id")
 
 

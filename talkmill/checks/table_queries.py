@@ -39,7 +39,7 @@ register("list_files", lambda t: files.list_files(t.spark, t.dir, "*.parquet").a
 def _latest(t):
     out = run_dir(t.spark, "latest")
     files.write_parquet(t.nation, f"{out}/a_first.parquet")
-    files.write_parquet(t.region, f"{out}/b_second.parquet")
+    files.write_parquet(t.region.repartition(4), f"{out}/b_second.parquet")
     return files.latest_dataset(t.spark, f"{out}/*", "*.parquet").select("r_regionkey", "r_name")
 
 

@@ -125,15 +125,19 @@ register(
 
 def _dates():
     return F.when(F.col("o_orderkey") % 5 == 0, F.concat(F.lit("bad-"), "o_orderpriority")).when(
-    F.col("o_orderkey") % 7 == 0, F.lit(None)).otherwise(F.date_format("o_orderdate", "yyyy-MM-dd'T'HH:mm:ss'Z'"))
+    F.col("o_orderkey") % 7 == 0, F.lit(None)).when(F.col("o_orderkey") % 11 == 1, F.date_format("o_orderdate", "yyyy/MM/dd")).when(
+        F.col("o_orderkey") % 13 == 1, F.date_format("o_orderdate", "yyyyMMdd")).when(
+        F.col("o_orderkey") % 17 == 1, F.date_format("o_orderdate", "MMM d, yyyy")).otherwise(F.date_format("o_orderdate", "yyyy-MM-dd'T'HH:mm:ss'Z'"))
 
 
 register(
     "invalid_timestamp",
     lambda t: t.orders.select("o_orderkey", _dates().alias("published_at")).filter(G.is_invalid_timestamp(F.col("published_at"))),
     """SELECT * FROM (SELECT o_orderkey, CASE WHEN o_orderkey % 5 = 0 THEN 'bad-' || o_orderpriority WHEN o_orderkey % 7 = 0 THEN NULL
-         ELSE strftime(o_orderdate, '%Y-%m-%dT%H:%M:%SZ') END AS published_at FROM orders)
-       WHERE published_at IS NOT NULL AND try_cast(published_at AS TIMESTAMPTZ) IS NULL""",
+         WHEN o_orderkey % 11 = 1 THEN strftime(o_orderdate, '%Y/%m/%d') WHEN o_orderkey % 13 = 1 THEN strftime(o_orderdate, '%Y%m%d')
+         WHEN o_orderkey % 17 = 1 THEN strftime(o_orderdate, '%b %-d, %Y') ELSE strftime(o_orderdate, '%Y-%m-%dT%H:%M:%SZ') END AS published_at FROM orders)
+       WHERE published_at IS NOT NULL AND try_cast(published_at AS TIMESTAMPTZ) IS NULL
+         AND try_strptime(published_at, ['%Y/%m/%d', '%Y%m%d', '%b %d, %Y']) IS NULL""",
 )
 
 # --- languages ----------------------------------------------------------------
@@ -240,8 +244,8 @@ register("product_slug", lambda t: t.comments.select("comment_id", T.product_slu
          Q.with_comments(f"SELECT comment_id, {Q.slug('(product_query || ' + lit('! ') + ')')} AS slug FROM comments"))
 register("safe_int", lambda t: t.orders.select("o_orderkey", B.safe_long(F.when(F.col("o_orderkey") % 3 == 0, F.col("o_orderpriority")).otherwise(F.format_string(" %d ", "o_custkey"))).alias("value")),
          "SELECT o_orderkey, try_cast(trim(CASE WHEN o_orderkey % 3 = 0 THEN o_orderpriority ELSE ' ' || o_custkey || ' ' END) AS BIGINT) AS value FROM orders")
-register("coerce_numeric", lambda t: t.orders.select("o_orderkey", B.coerce_numeric(F.when(F.col("o_orderkey") % 3 == 0, F.col("o_orderpriority")).otherwise(F.col("o_totalprice").cast("string"))).alias("value")),
-         "SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 0 THEN try_cast(o_orderpriority AS DOUBLE) ELSE o_totalprice END AS value FROM orders")
+register("coerce_numeric", lambda t: t.orders.select("o_orderkey", B.coerce_numeric(F.when(F.col("o_orderkey") % 3 == 0, F.col("o_orderpriority")).when(F.col("o_orderkey") % 7 == 0, F.concat(F.col("o_orderkey").cast("string"), F.lit("d"))).otherwise(F.col("o_totalprice").cast("string"))).alias("value")),
+         "SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 0 THEN try_cast(o_orderpriority AS DOUBLE) WHEN o_orderkey % 7 = 0 THEN try_cast(o_orderkey || 'd' AS DOUBLE) ELSE o_totalprice END AS value FROM orders")
 register("normalize_label", lambda t: t.annotated.select("comment_id", B.normalize_sentiment_label(F.col("sentiment_label")).alias("label")),
          Q.with_annotated(f"SELECT comment_id, CASE WHEN sentiment_label IS NULL OR trim(sentiment_label) = '' THEN 'Neutral' ELSE {Q.title('trim(sentiment_label)')} END AS label FROM annotated"))
 register("normalize_aspect", lambda t: t.annotated.select("comment_id", B.normalize_aspect(F.col("aspect_label")).alias("label")),
@@ -282,4 +286,4 @@ register("lexicon_any_counts", lambda t: terms.feature_sentiment_counts(t.commen
          Q.with_comments("SELECT * FROM (" + " UNION ALL ".join(
              f"SELECT {lit(f)} AS feature, count(*) FILTER ({Q.contains_any('lower(comment_text)', X.FEATURE_POSITIVE)}) AS positive, "
              f"count(*) FILTER ({Q.contains_any('lower(comment_text)', X.FEATURE_NEGATIVE)}) AS negative FROM comments WHERE {Q.contains_any('lower(comment_text)', ws)}"
-             for f, ws in X.FEATURE_KEYWORDS.items()) + ") WHERE positive + negative > 0 OR feature IN (SELECT feature FROM (SELECT 1) WHERE false)"))
+             for f, ws in X.FEATURE_KEYWORDS.items()) + ")"))

@@ -84,11 +84,32 @@ def fails_final_cleanup(c: Column, minimum: int = 3) -> Column:
     )
 
 
+# Shape -> format of timestamps other than ISO 8601.
+TIMESTAMPS = [
+    (r"^\d{4}/\d{1,2}/\d{1,2}$", "y/M/d"),
+    (r"^\d{4}/\d{1,2}/\d{1,2} \d{1,2}:\d{2}$", "y/M/d H:mm"),
+    (r"^\d{4}/\d{1,2}/\d{1,2} \d{1,2}:\d{2}:\d{2}$", "y/M/d H:mm:ss"),
+    (r"^\d{8}$", "yyyyMMdd"),
+    (r"^\d{1,2}-\d{1,2}-\d{4}$", "M-d-y"),
+    (r"^\d{1,2}-\d{1,2}-\d{4} \d{1,2}:\d{2}$", "M-d-y H:mm"),
+    (r"^\d{1,2}/\d{1,2}/\d{4}$", "M/d/y"),
+    (r"^\d{1,2}/\d{1,2}/\d{4} \d{1,2}:\d{2}$", "M/d/y H:mm"),
+    (r"^[A-Z][a-z]{2} \d{1,2}, \d{4}$", "MMM d, y"),
+    (r"^\d{1,2} [A-Z][a-z]{2} \d{4}$", "d MMM y"),
+    (r"^[A-Z][a-z]{2}, \d{2} [A-Z][a-z]{2} \d{4} \d{2}:\d{2}:\d{2} [A-Z]{3}$", "dd MMM y HH:mm:ss z"),
+]
+
+
 def is_invalid_url(c: Column) -> Column:
     """True for a non-null value without an http(s) scheme."""
     return F.coalesce(~strip(c).rlike(P.HTTP_URL), F.lit(False))
 
 
 def is_invalid_timestamp(c: Column) -> Column:
-    """True for a non-null value that no timestamp can be read from."""
-    return c.isNotNull() & F.try_to_timestamp(c.cast("string")).isNull()
+    """True for a non-null value that no timestamp can be read from, in any of the common formats."""
+    text = F.trim(c.cast("string"))
+    # A format is tried only where its shape fits: the parser falls back to other rules otherwise.
+    read = [F.try_to_timestamp(text)] + [
+        F.when(text.rlike(shape), F.try_to_timestamp(F.regexp_replace(text, r"^[A-Za-z]{3,9}, (?=\d)", ""), F.lit(form))) for shape, form in TIMESTAMPS
+    ]
+    return c.isNotNull() & F.coalesce(*read).isNull()

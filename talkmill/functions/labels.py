@@ -50,8 +50,13 @@ def safe_long(c: Column) -> Column:
     return F.when(text.rlike(r"^[+-]?[0-9]+$"), text.try_cast("bigint"))
 
 
+NUMBER = r"^\s*[+-]?((\d+\.?\d*|\.\d+)([eE][+-]?\d+)?|inf(inity)?|nan)\s*$"
+
+
 def coerce_numeric(c: Column) -> Column:
-    return c.try_cast("double")
+    """Number in a text, else null. The JVM would also read a type suffix ('1d', '3F')."""
+    text = c.cast("string")
+    return F.when(text.rlike(f"(?i){NUMBER}"), text.try_cast("double"))
 
 
 def like_weight(likes: Column, cap: int = 10) -> Column:

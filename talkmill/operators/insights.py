@@ -11,7 +11,7 @@ from talkmill.functions.lexicons import SENTIMENT_LABELS
 from talkmill.functions.labels import percent
 from talkmill.functions.sentiment import compound_label, rule_sentiment
 from talkmill.functions.text import preview
-from talkmill.operators.ranking import broadcast_if_small, first_rows, first_texts
+from talkmill.operators.ranking import first_rows, first_texts
 from talkmill.operators.terms import tokens
 
 PREDICTED = "predicted_sentiment"
@@ -24,18 +24,15 @@ def add_rule_sentiment(df: DataFrame, text: str = S.CLEANED, out: str = PREDICTE
 def lexicon_compound(df: DataFrame, valence: DataFrame, key: str, text: str = S.CLEANED) -> DataFrame:
     """(key, valence_sum, compound, label) from a user-supplied (token, valence) table.
 
-    The compound is s / sqrt(s * s + 15); rows without a hit are Neutral. Runs a job to
-    check that the lexicon is small enough to broadcast.
+    The compound is s / sqrt(s * s + 15); rows without a hit are Neutral. Tokens of the lexicon are
+    expected to be unique. One scan: a text without tokens keeps one row.
     """
     weights = valence.select(F.col("token").alias("t"), F.col("valence").cast("double").alias("v"))
-    hits = (
-        df.select(F.col(key).alias("_k"), F.explode(tokens(F.col(text))).alias("t"))
-        .join(broadcast_if_small(weights, 100_000), "t").groupBy("_k").agg(F.sum("v").alias("s"))
-    )
+    found = df.select(key, F.explode_outer(tokens(F.col(text))).alias("t")).join(weights, "t", "left")
+    summed = found.groupBy(key).agg(F.sum("v").alias("s"))
     total = F.coalesce(F.col("s"), F.lit(0.0))
     compound = total / F.sqrt(total * total + F.lit(15.0))
-    joined = df.select(key).join(hits, F.col(key) == F.col("_k"), "left")
-    return joined.select(key, total.alias("valence_sum"), compound.alias("compound"), compound_label(compound).alias("label"))
+    return summed.select(key, total.alias("valence_sum"), compound.alias("compound"), compound_label(compound).alias("label"))
 
 
 def sentiment_distribution(df: DataFrame, product: str = S.PRODUCT, sentiment: str = PREDICTED, digits: int | None = 1) -> DataFrame:
@@ -72,7 +69,8 @@ def product_insights(df: DataFrame, key: str = "comment_id", product: str = S.PR
                      two_pass: bool = False) -> DataFrame:
     """One row per product: totals, sentiment map, top competitors and example comments.
 
-    Collected values are bounded: 3 sentiments, 10 competitors, 5 examples per sentiment.
+    Collected values are bounded: 3 sentiments, 10 competitors, 5 examples per sentiment. Every
+    sentiment has an entry in ``sample_comments``, without comments an empty list.
     """
     scored = df if PREDICTED in df.columns else add_rule_sentiment(df, text)
     dist = sentiment_distribution(scored, product).groupBy(product).agg(
@@ -91,9 +89,13 @@ def product_insights(df: DataFrame, key: str = "comment_id", product: str = S.PR
         F.transform(F.array_sort(F.collect_list(F.struct("example_rank", text))), lambda e: e[text]).alias("texts")
     )
     shown = per_sentiment.groupBy(product).agg(
-        F.map_from_entries(F.array_sort(F.collect_list(F.struct(F.lower(PREDICTED).alias("k"), "texts")))).alias("sample_comments")
+        F.map_from_entries(F.collect_list(F.struct(F.lower(PREDICTED).alias("k"), "texts"))).alias("_shown")
     )
-    return dist.join(rivals, product, "left").join(shown, product, "left").withColumnRenamed(product, "product")
+    none = F.array().cast("array<string>")
+    labels = sorted(s.lower() for s in SENTIMENT_LABELS)
+    samples = F.create_map(*[x for s in labels for x in (F.lit(s), F.coalesce(F.col("_shown")[s], none))])
+    joined = dist.join(rivals, product, "left").join(shown, product, "left").withColumn("sample_comments", samples)
+    return joined.drop("_shown").withColumnRenamed(product, "product")
 
 
 def insight_summary(df: DataFrame, product: str = S.PRODUCT, text: str = S.CLEANED) -> DataFrame:

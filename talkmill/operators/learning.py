@@ -14,7 +14,6 @@ from talkmill import schemas as S
 from talkmill.functions.labels import like_weight
 from talkmill.operators.conform import union_by_name
 from talkmill.operators.metrics import cv_summary, fold_accuracy, overall_metrics
-from talkmill.operators.ranking import broadcast_if_small
 from talkmill.operators.sampling import accept_confident, class_weights, per_class_cap, stratified_kfold, stratified_split
 from talkmill.session import checkpointing
 
@@ -51,7 +50,7 @@ class TextClassifier:
         rows = df.select(text, F.col(self.label), sample.cast("double").alias("_s"))
         if weighting in ("class", "both"):
             per_class = class_weights(rows, self.label).select(self.label, F.col("weight").alias("_c"))
-            rows = rows.join(broadcast_if_small(per_class), self.label)
+            rows = rows.join(per_class, self.label)
             weight = F.col("_s") * F.col("_c")
         else:
             weight = F.col("_s")

@@ -7,8 +7,9 @@ from operator import and_
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-
-MAX_BROADCAST_ROWS = 100_000
+# Up to this n Spark limits groups before the shuffle by itself.
+GROUP_LIMIT = 1000
+SLICES = 64
 
 
 def hash_key(key: Column, seed: int | str) -> Column:
@@ -19,10 +20,15 @@ def hash_key(key: Column, seed: int | str) -> Column:
 def first_rows(df: DataFrame, group: list[str], order: list[Column], n: int, rank: str | None = None) -> DataFrame:
     """First ``n`` rows of every group in the given order.
 
-    Spark limits each group to ``n`` rows before the shuffle (WindowGroupLimit), so a hot
-    group sends at most ``n`` rows per map task.
+    Spark limits each group to ``n`` rows before the shuffle (WindowGroupLimit) as long as n is at
+    most GROUP_LIMIT. Beyond, each group is first ranked in slices of the input, so its rows are
+    spread over tasks, and only the first ``n`` of every slice meet.
     """
     name = rank or "_rank"
+    if n > GROUP_LIMIT:
+        sliced = df.withColumn("_slice", F.pmod(F.spark_partition_id(), F.lit(SLICES)))
+        first = F.row_number().over(Window.partitionBy(*group, "_slice").orderBy(*order))
+        df = sliced.withColumn("_first", first).filter(F.col("_first") <= n).drop("_slice", "_first")
     ranked = df.withColumn(name, F.row_number().over(Window.partitionBy(*group).orderBy(*order)))
     kept = ranked.filter(F.col(name) <= n)
     return kept if rank else kept.drop(name)
@@ -33,13 +39,12 @@ def first_texts(df: DataFrame, group: list[str], key: str, text: str, n: int, ra
 
     One pass sorts the texts along with their keys before the limit. ``two_pass`` ranks keys
     alone and then fetches the texts of the chosen ones, which pays off for a stored table
-    with wide texts; it runs a job that counts the groups, which bounds the chosen rows.
+    with wide texts.
     """
     if not two_pass:
         return first_rows(df.select(*group, key, text), group, [F.col(key)], n, rank)
     chosen = first_rows(df.select(*group, key), group, [F.col(key)], n, rank).select(key, rank)
-    few = small_enough(df.select(*group).distinct(), MAX_BROADCAST_ROWS // n)
-    return df.select(*group, key, text).join(F.broadcast(chosen) if few else chosen, key)
+    return df.select(*group, key, text).join(chosen, key)
 
 
 def rank_by_hash(
@@ -70,19 +75,6 @@ def rank_by_hash(
     )
 
 
-def small_enough(df: DataFrame, max_rows: int) -> bool:
-    """Runs a job: does the table have at most ``max_rows`` rows?"""
-    return df.limit(max_rows + 1).count() <= max_rows
-
-
-def broadcast_if_small(df: DataFrame, max_rows: int = 10_000) -> DataFrame:
-    """Broadcast hint for a table whose size was checked; otherwise Spark plans a shuffle join.
-
-    Runs a job to check the size.
-    """
-    return F.broadcast(df) if small_enough(df, max_rows) else df
-
-
 def stack_columns(df: DataFrame, columns: dict[str, str], key: str, value: str, keep: list[str] = ()) -> DataFrame:
     """Turn columns of an aggregate into (key, value) rows; ``columns`` maps column -> key."""
     pairs = F.array(*[

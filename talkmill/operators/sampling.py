@@ -26,7 +26,7 @@ def quota_choice(df: DataFrame, key: str, sample_size: int, seed: int = 42, prod
     limited by what they have; the shortfall is filled from the rows left over.
     """
     if sample_size < 1:
-        raise ValueError("sample_size must be at least 1.")
+        raise ValueError("a sample needs a positive size")
     slim = df.select(F.col(key).alias("k"), F.col(product).cast("string").alias("p"), hash_key(F.col(key), seed).alias("h"))
     sizes = slim.groupBy("p").agg(F.count("*").alias("size"))
     named = Window.partitionBy(F.isnull("p"))  # one row per product
@@ -53,13 +53,11 @@ def quota_choice(df: DataFrame, key: str, sample_size: int, seed: int = 42, prod
 def balanced_sample(df: DataFrame, key: str, sample_size: int = 300, seed: int = 42, product: str = "product_query") -> DataFrame:
     """Product-balanced sample of whole rows in shuffled order."""
     if sample_size < 1:
-        raise ValueError("sample_size must be at least 1.")
+        raise ValueError("a sample needs a positive size")
     if product not in df.columns:
         return random_sample(df, key, sample_size, seed)
     choice = quota_choice(df, key, sample_size, seed, product)
-    # At most sample_size short rows: small enough to broadcast when the caller's size is.
-    small = F.broadcast(choice) if sample_size <= 100_000 else choice
-    return df.join(small, key).orderBy("sample_order").drop("sample_order")
+    return df.join(choice, key).orderBy("sample_order").drop("sample_order")
 
 
 def per_class_cap(df: DataFrame, label: str, key: str, n: int = 150) -> DataFrame:

@@ -11,11 +11,10 @@ from talkmill import schemas as S
 from talkmill.functions import patterns as P
 from talkmill.functions.binding import let
 from talkmill.functions.flags import contains_any
-from talkmill.operators.ranking import first_rows, small_enough, stack_columns
+from talkmill.operators.ranking import first_rows, stack_columns
 
 # Runs of two or more word characters.
 TERM = rf"[{P.WORD}]{{2,}}"
-MAX_GROUPS = 1000
 
 
 def tokens(c: Column, stop_words: list[str] = ()) -> Column:
@@ -99,14 +98,16 @@ def keyword_any_filter(df: DataFrame, keywords: list[str], text: str = S.CLEANED
 
 def feature_sentiment_counts(df: DataFrame, features: dict[str, list[str]], positive: list[str], negative: list[str],
                              text: str = S.CLEANED) -> DataFrame:
-    """Per feature: rows that mention it and any positive / any negative word; one scan."""
+    """Per feature, mentioned or not: rows that mention it and any positive / any negative word; one scan."""
     c = F.col(text)
     good, bad = mentions_any(c, positive), mentions_any(c, negative)
     slim = df.select(good.alias("good"), bad.alias("bad"), F.array(*[
         F.when(mentions_any(c, words), F.lit(name)) for name, words in features.items()
     ]).alias("fs"))
     rows = slim.select("good", "bad", F.explode("fs").alias("feature")).filter("feature IS NOT NULL")
-    return rows.groupBy("feature").agg(F.count_if("good").alias("positive"), F.count_if("bad").alias("negative"))
+    counts = rows.groupBy("feature").agg(F.count_if("good").alias("positive"), F.count_if("bad").alias("negative"))
+    every = df.sparkSession.createDataFrame([(name,) for name in features], "feature string")
+    return every.join(counts, "feature", "left").na.fill(0, ["positive", "negative"])
 
 
 def topic_phrases(df: DataFrame, by: str, key: str, n: int = 10, text: str = S.CLEANED, stop_words: list[str] = (),
@@ -115,7 +116,6 @@ def topic_phrases(df: DataFrame, by: str, key: str, n: int = 10, text: str = S.C
 
     One explode yields both the occurrences and, per comment, one mark for each distinct
     phrase. Examples are found by key; texts are fetched last, for the few chosen comments.
-    Runs a job that counts the groups, which bounds the result to ``n`` phrases per group.
     """
     both = F.concat(ngrams(F.col(text), 1, stop_words), ngrams(F.col(text), 2, stop_words))
 
@@ -128,19 +128,14 @@ def topic_phrases(df: DataFrame, by: str, key: str, n: int = 10, text: str = S.C
         F.sum("tf").alias("tf"), F.sum("df").alias("df")
     )
     rows = df.groupBy(by).agg(F.count("*").alias("rows"))
-    few_groups = small_enough(df.select(by).distinct(), MAX_GROUPS)
-
-    def small(table: DataFrame) -> DataFrame:
-        return F.broadcast(table) if few_groups else table
-
-    scored = counts.join(small(rows), by).withColumn(
+    scored = counts.join(rows, by).withColumn(
         "score", F.round(F.col("tf") * F.ln(F.col("rows") / F.col("df")), 6)
     )
     top = first_rows(scored, [by], [F.desc("score"), F.col("phrase")], n).select(by, "phrase", "tf", "df", "score")
     per_comment = df.select(by, F.col(key).alias("_key"), F.explode(F.array_distinct(both)).alias("phrase"))
-    found = per_comment.join(small(top), [by, "phrase"])
+    found = per_comment.join(top, [by, "phrase"])
     chosen = first_rows(found, [by, "phrase"], [F.col("_key")], examples, rank="_r")
-    texts = df.select(F.col(key).alias("_key"), F.col(text).alias("_text")).join(small(chosen), "_key")
+    texts = df.select(F.col(key).alias("_key"), F.col(text).alias("_text")).join(chosen, "_key")
     return texts.groupBy(by, "phrase", "tf", "df", "score").agg(
         F.transform(F.array_sort(F.collect_list(F.struct("_r", "_text"))), lambda e: e["_text"]).alias("examples")
     )

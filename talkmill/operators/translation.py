@@ -18,11 +18,9 @@ from talkmill.functions.language import detect_script_code, language_code
 from talkmill.functions.romanized import normalize_romanized
 from talkmill.functions.text import bigram_jaccard, clean_text, strip, word_count
 from talkmill.operators.language_audit import language_distribution
-from talkmill.operators.ranking import small_enough
 
 CODE, TRANSLATION = "source_code", "translation"
 SIMILAR = 0.85
-MAX_LABELS = 10_000
 ROMANIZED = ["hinglish", "romanized_malayalam"]
 
 
@@ -36,10 +34,7 @@ def route_non_english(df: DataFrame, language: str = S.LANGUAGE) -> DataFrame:
 
 
 def resolve_source_code(df: DataFrame, key: str, text: str = S.TEXT, language: str = S.LANGUAGE) -> DataFrame:
-    """Adds the translator code: by label, else by the script of the label's first text.
-
-    Runs a job to check that the distinct labels are few.
-    """
+    """Adds the translator code: by label, else by the script of the label's first text."""
     label = F.coalesce(F.lower(strip(F.col(language))), F.lit(""))
     coded = with_computed(df, {"_label": label, "_direct": language_code(label)})
     # Codes are computed row by row in the scan; only (label, id, code) reach the aggregate.
@@ -47,9 +42,7 @@ def resolve_source_code(df: DataFrame, key: str, text: str = S.TEXT, language: s
     by_script = unmapped.select(
         F.col("_label").alias("_l"), F.col(key).alias("_id"), detect_script_code(F.col(text)).alias("_code")
     ).groupBy("_l").agg(F.min_by("_code", "_id").alias("_code"))
-    # One row per distinct label without a code; the labels alone tell how many.
-    few = small_enough(df.select(language).distinct(), MAX_LABELS)
-    joined = coded.join(F.broadcast(by_script) if few else by_script, F.col("_label") == F.col("_l"), "left")
+    joined = coded.join(by_script, F.col("_label") == F.col("_l"), "left")
     return joined.select(*df.columns, F.coalesce(F.col("_direct"), F.col("_code")).alias(CODE))
 
 

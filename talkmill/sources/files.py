@@ -13,14 +13,12 @@ def scan_parquet(spark: SparkSession, path: str, schema: T.StructType | None = N
     return reader.parquet(path)
 
 
-def spread_if_narrow(df: DataFrame) -> DataFrame:
-    """Spread a table that arrives in fewer partitions than there are cores.
+# What Spark says of a folder that is missing or has no matching file; other errors are raised.
+NOTHING_THERE = {"PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"}
 
-    Row-wise text work is CPU-bound, so one unsplittable file would keep one core busy. A
-    table with enough input splits is returned as it is, without a shuffle.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+def nothing_there(error: AnalysisException) -> bool:
+    return error.getCondition() in NOTHING_THERE
 
 
 def _empty(spark: SparkSession, schema: T.StructType | None) -> DataFrame:
@@ -39,7 +37,9 @@ def scan_parquet_glob(spark: SparkSession, directory: str, pattern: str, schema:
         reader = reader.schema(schema)
     try:
         df = reader.parquet(directory)
-    except AnalysisException:
+    except AnalysisException as error:
+        if not nothing_there(error):
+            raise
         df = _empty(spark, schema)
         extra = {"source_file": F.lit("").cast("string"), "source_row": F.lit(0).cast("bigint")}
         return df.withColumns(extra) if provenance else df
@@ -52,7 +52,9 @@ def list_files(spark: SparkSession, directory: str, pattern: str) -> DataFrame:
     """(path, modified, bytes) of matching files; only the listing is read, no content."""
     try:
         files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(directory)
-    except AnalysisException:
+    except AnalysisException as error:
+        if not nothing_there(error):
+            raise
         return _empty(spark, T.StructType([
             T.StructField("path", T.StringType()), T.StructField("modified", T.TimestampType()),
             T.StructField("bytes", T.LongType()),
@@ -67,11 +69,17 @@ def latest_file(spark: SparkSession, directory: str, pattern: str) -> DataFrame:
 
 
 def latest_dataset(spark: SparkSession, directory: str, pattern: str) -> DataFrame:
-    """The table in the most recently modified matching file; reads the listing first."""
-    path = latest_file(spark, directory, pattern).first()["path"]  # one file name
-    if path is None:
+    """The most recently written table; reads the listing first.
+
+    Part files belong to the folder they lie in, so a table of several parts is read whole. Files
+    that are no part of a written table (``part-*``) are tables of their own.
+    """
+    parent, name = F.regexp_replace("path", "/[^/]*$", ""), F.element_at(F.split("path", "/"), -1)
+    root = F.when(name.startswith("part-"), parent).otherwise(F.col("path"))
+    newest = list_files(spark, directory, pattern).agg(F.max_by(root, F.struct("modified", "path")).alias("root")).first()["root"]
+    if newest is None:
         raise FileNotFoundError(f"no file matches {pattern} in {directory}")
-    return spark.read.parquet(path)
+    return spark.read.parquet(newest)
 
 
 def scan_csv(spark: SparkSession, path: str, schema: T.StructType | None = None) -> DataFrame:
@@ -99,8 +107,11 @@ def write_csv(df: DataFrame, path: str, mode: str = "overwrite") -> None:
 
 
 def write_report_json(report: DataFrame, path: str, mode: str = "overwrite") -> None:
-    """A report as JSON lines in one file; reports are small aggregates."""
-    report.coalesce(1).write.mode(mode).json(path)
+    """A report as JSON lines in one file; reports are small aggregates.
+
+    The shuffle before the write keeps the tasks that make the report.
+    """
+    report.repartition(1).write.mode(mode).json(path)
 
 
 def table_shape(df: DataFrame) -> DataFrame:

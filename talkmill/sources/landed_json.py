@@ -24,7 +24,7 @@ _THREADS = """items array<struct<snippet struct<videoId string, topLevelComment
 def _clean_query(product: str | Column) -> Column:
     if isinstance(product, str):
         if not product.strip():
-            raise ValueError("product_query cannot be empty.")
+            raise ValueError("the product query is blank")
         return F.lit(product.strip())
     return strip(product)
 
@@ -68,11 +68,14 @@ def flatten_videos(raw: DataFrame, product: str | Column, body: str = "body", pa
 
 
 def flatten_comments(raw: DataFrame, product: str | Column, body: str = "body", page: str | None = None,
-                     per_video: int = 100, video: Column | None = None, title: Column | None = None,
+                     per_video: int | None = None, video: Column | None = None, title: Column | None = None,
                      url: Column | None = None) -> DataFrame:
-    """Top-level comments with an id, at most ``per_video`` for each video in page order."""
-    if per_video < 1:
-        raise ValueError("max_comments_per_video must be at least 1.")
+    """Top-level comments with an id: all that have landed, or the first ``per_video`` of each video.
+
+    Without ``page`` the first ones are told by item position, then by comment id.
+    """
+    if per_video is not None and per_video < 1:
+        raise ValueError("a cap of comments per video has to be positive")
     null = F.lit(None).cast("string")
     items = _items(raw, body, _THREADS, {
         "product_query": _clean_query(product), "page": F.col(page) if page else F.lit(0),
@@ -89,7 +92,9 @@ def flatten_comments(raw: DataFrame, product: str | Column, body: str = "body",
         safe_long(s["likeCount"]).alias("like_count"), s["publishedAt"].alias("published_at"),
         s["updatedAt"].alias("updated_at"), "page", "position",
     ).filter(present(F.col("video_id")))
-    return ensure_columns(cap_per_video(rows, [F.col("page"), F.col("position")], per_video), S.COMMENTS)
+    if per_video is not None:
+        rows = cap_per_video(rows, [F.col("page"), F.col("position"), F.col("comment_id")], per_video)
+    return ensure_columns(rows, S.COMMENTS)
 
 
 def cap_per_video(df: DataFrame, order: list[Column], n: int = 100, video: str = "video_id") -> DataFrame:

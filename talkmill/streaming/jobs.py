@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, types as T
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from talkmill import schemas as S
 from talkmill.operators.cleaning import preprocess_comments
+from talkmill.operators.dedup import keep_first
 from talkmill.operators.language_audit import add_detected_language
+from talkmill.sources.files import nothing_there
 
 
 def read_landed(spark: SparkSession, directory: str, schema: T.StructType, pattern: str = "*.parquet",
@@ -41,6 +44,24 @@ def incremental_ingest(comments: DataFrame, out: str, checkpoint: str, text: str
     run_available(detect_clean_filter(spread, text), out, checkpoint)
 
 
-def stream_dedup(stream: DataFrame, key: str, event_time: str, delay: str = "10 minutes") -> DataFrame:
-    """One copy per key; a copy later than the watermark may reappear, state stays bounded."""
-    return stream.withWatermark(event_time, delay).dropDuplicatesWithinWatermark([key])
+def stream_dedup(stream: DataFrame, key: str, out: str, checkpoint: str, order: list[str] = ()) -> None:
+    """Append the first copy of every key to a table exactly once, however late it comes.
+
+    A batch keeps its first row per key (by ``order``) and drops keys that earlier batches have
+    written; the table itself is the memory, so there is no watermark to fall behind. Every
+    batch has a folder, which a repeated batch overwrites.
+    """
+    def write(batch: DataFrame, number: int) -> None:
+        fresh = keep_first(batch, key, [F.col(c) for c in order or [c for c in batch.columns if c != key]])
+        try:
+            written = batch.sparkSession.read.parquet(out).filter(F.col("batch") < number).select(key)
+            fresh = fresh.join(written, fresh[key].eqNullSafe(written[key]), "left_anti")
+        except AnalysisException as error:
+            if not nothing_there(error):
+                raise
+        fresh.write.mode("overwrite").parquet(f"{out}/batch={number}")
+
+    (
+        stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True)
+        .start().awaitTermination()
+    )

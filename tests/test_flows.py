@@ -33,6 +33,52 @@ def test_latest_dataset(spark, tmp_path):
     assert files.latest_dataset(spark, str(tmp_path / "*"), "*.parquet").first()["id"] == 1
 
 
+def test_latest_dataset_of_several_parts(spark, tmp_path):
+    files.write_parquet(spark.range(50).repartition(2), str(tmp_path / "old"))
+    time.sleep(1.1)
+    files.write_parquet(spark.range(100).repartition(4), str(tmp_path / "new"))
+    assert files.latest_dataset(spark, str(tmp_path / "*"), "*.parquet").count() == 100
+
+
+def test_only_missing_files_are_empty_tables(spark, tmp_path):
+    path = tmp_path / "broken"
+    path.mkdir()
+    (path / "x.parquet").write_bytes(b"this is no parquet file")
+    with pytest.raises(Exception):
+        files.scan_parquet_glob(spark, str(path), "*.parquet").count()
+
+
+def test_report_is_one_file_made_by_many_tasks(spark, tmp_path):
+    report = spark.range(0, 1000, 1, 8).groupBy((F.col("id") % 3).alias("k")).count()
+    files.write_report_json(report, str(tmp_path / "r"))
+    assert len([f for f in os.listdir(tmp_path / "r") if f.endswith(".json")]) == 1 and spark.read.json(str(tmp_path / "r")).count() == 3
+
+
+def test_all_landed_comments_stay(spark):
+    def thread(i):
+        return {"snippet": {"videoId": "v1", "topLevelComment": {"id": f"c{i}", "snippet": {"textDisplay": "t"}}}}
+
+    raw = bodies(spark, {"items": [thread(i) for i in range(130)]})
+    assert J.flatten_comments(raw, "p").count() == 130
+    capped = J.flatten_comments(raw, "p", per_video=3).collect()
+    assert sorted(r["comment_id"] for r in capped) == ["c0", "c1", "c2"]
+
+
+def test_stream_dedup_keeps_late_first_copies(spark, tmp_path):
+    land, out, check = (str(tmp_path / x) for x in ("land", "out", "check"))
+    schema = "id string, at timestamp, n int"
+
+    def arrive(rows):
+        spark.createDataFrame(rows, "id string, at string, n int").withColumn("at", F.col("at").cast("timestamp")).coalesce(1).write.mode("append").parquet(land)
+        landed = stream.read_landed(spark, land, spark.createDataFrame([], schema).schema)
+        stream.stream_dedup(landed, "id", out, check, ["at"])
+
+    arrive([("c1", "2024-06-01 00:00:00", 1), ("c1", "2024-06-02 00:00:00", 2)])
+    arrive([("c2", "2024-01-01 00:00:00", 3), ("c1", "2023-01-01 00:00:00", 4), (None, "2023-01-01 00:00:00", 5)])
+    arrive([("c2", "2024-01-01 00:00:00", 6), (None, "2022-01-01 00:00:00", 7)])
+    assert sorted((r["n"] for r in spark.read.parquet(out).collect())) == [1, 3, 5]
+
+
 def test_csv_round_trip_and_mark(spark, tmp_path):
     path = str(tmp_path / "csv")
     text = ' a "quoted", text\nwith lines '
@@ -119,6 +165,7 @@ def test_insights(spark):
     assert got["total_comments"] == 5 and got["sentiment_distribution"]["positive"]["count"] == 2 and got["sentiment_distribution"]["negative"]["pct"] == 20.0
     assert {c["competitor"]: c["mentions"] for c in got["competitor_mentions"]} == {"Rog Ally": 1, "Switch": 1, "Switch 2": 1}
     assert got["sample_comments"]["positive"] == ["good rog ally", "good"]
+    assert set(got["sample_comments"]) == {"positive", "neutral", "negative"}
     summary = I.insight_summary(df).first()
     assert (summary["positive_pct"], summary["negative_pct"], summary["competitor"]) == (40.0, 20.0, "Rog Ally")
 
