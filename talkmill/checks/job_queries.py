@@ -293,7 +293,7 @@ register("aspect_audit", lambda t: jobs.aspect_audit(t.annotated)["buckets"].sel
 # --- streaming ----------------------------------------------------------------------
 def _ingest(t):
     out = run_dir(t.spark, "ingest")
-    landed = stream.read_landed(t.spark, t.dir, t.documents.schema, "documents.parquet")
+    landed = stream.read_landed(t.spark, f"{t.dir}/documents.parque[t]", t.documents.schema)  # a file or a folder
     comments = comments_of(landed)
     for _ in range(2):  # the second run finds nothing new
         stream.incremental_ingest(comments, f"{out}/table", f"{out}/checkpoint", partitions=t.spark.sparkContext.defaultParallelism)

@@ -12,6 +12,7 @@ from talkmill.functions import patterns as P
 from talkmill.functions.binding import let
 from talkmill.functions.flags import contains_any
 from talkmill.operators.ranking import first_rows, stack_columns
+from talkmill.session import checkpointing
 
 # Runs of two or more word characters.
 TERM = rf"[{P.WORD}]{{2,}}"
@@ -132,9 +133,13 @@ def topic_phrases(df: DataFrame, by: str, key: str, n: int = 10, text: str = S.C
         "score", F.round(F.col("tf") * F.ln(F.col("rows") / F.col("df")), 6)
     )
     top = first_rows(scored, [by], [F.desc("score"), F.col("phrase")], n).select(by, "phrase", "tf", "df", "score")
-    per_comment = df.select(by, F.col(key).alias("_key"), F.explode(F.array_distinct(both)).alias("phrase"))
-    found = per_comment.join(top, [by, "phrase"])
-    chosen = first_rows(found, [by, "phrase"], [F.col("_key")], examples, rank="_r")
+    # Used three times: written once to the checkpoint folder, n rows per group.
+    checkpointing(df.sparkSession)
+    top = top.checkpoint()
+    # A comment's phrases are cut to the top ones of its group before they become rows.
+    tops = top.groupBy(by).agg(F.collect_list("phrase").alias("_tops"))
+    found = df.join(tops, by).select(by, F.col(key).alias("_key"), F.explode(F.array_intersect(both, F.col("_tops"))).alias("phrase"))
+    chosen = first_rows(found, [by, "phrase"], [F.col("_key")], examples, rank="_r").join(top, [by, "phrase"])
     texts = df.select(F.col(key).alias("_key"), F.col(text).alias("_text")).join(chosen, "_key")
     return texts.groupBy(by, "phrase", "tf", "df", "score").agg(
         F.transform(F.array_sort(F.collect_list(F.struct("_r", "_text"))), lambda e: e["_text"]).alias("examples")
