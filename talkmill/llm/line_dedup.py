@@ -8,8 +8,8 @@ differing words); survivors are verified word by word. A line goes when an earli
 whether or not that one stays.
 
 Rarity is counted over the whole corpus in a table of hash buckets, so its size is fixed; any
-order of words gives the same result. In a long posting list each line keeps the candidate found
-first; should all that a line has fail the verification, it is compared with the whole of its lists.
+order of words gives the same result. In a long posting list each line keeps the candidates found
+first; should all that a line has fail the verification, it is compared with the whole of those lists.
 """
 
 from __future__ import annotations
@@ -31,8 +31,9 @@ UP, OF = 4, 5
 BUCKETS, WANTED_BITS = 1 << 18, 1 << 23
 #: Sets smaller than this match equal sets only, which the digest finds.
 SMALLEST = 4
-#: Posting lists up to this length give all candidates, longer ones the first found of each line.
-SHORT = 8
+#: Posting lists up to this length give all candidates; in longer ones a line that has so many convincing
+#: candidates gets no more. Convincing: random sets would hardly stay below so many differing bits.
+SHORT, ENOUGH, CONVINCING = 16, 3, 32
 #: Postings compared in one go, besides a longer list.
 ROWS = 100_000
 #: Characters handled in one go; a longer text is handled alone.
@@ -92,8 +93,10 @@ class Lines:
         breaks = np.flatnonzero(raw == 10)
         ends = np.cumsum([len(b) + 1 for b in bodies]) - 1
         first_line = np.concatenate([[0], np.searchsorted(breaks, ends)[:-1] + 1]) if len(bodies) else np.zeros(0, np.int64)
-        at_line = np.searchsorted(breaks, starts)
-        present, line = np.unique(at_line, return_inverse=True)
+        # The line of a word: words before each line break, spread over the words.
+        per_line = np.diff(np.searchsorted(starts, breaks), prepend=0)
+        present = np.flatnonzero(per_line)
+        line = np.repeat(np.arange(len(present)), per_line[present])
         doc = np.searchsorted(first_line, present, "right") - 1
         self.doc, self.number = np.array(keys, np.int64)[doc], present - first_line[doc]
         hashes = word_hashes(raw[~blank], lengths)
@@ -168,10 +171,10 @@ def prefix_length(n: np.ndarray) -> np.ndarray:
     return n - -(-n * UP // OF) + 1
 
 
-def _postings(docs: DataFrame, rarity) -> DataFrame:
+def _postings(docs: DataFrame, rarity, only=None) -> DataFrame:
     """(word, doc, line, shape, b1, b2) for every prefix word; shape holds set size and position.
 
-    Of equal lines of one task the earliest is posted.
+    Of equal lines of one task the earliest is posted. ``only`` is a table of wanted words.
     """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rank, known = rarity.value, {}
@@ -191,6 +194,9 @@ def _postings(docs: DataFrame, rarity) -> DataFrame:
             at = np.arange(len(order)) - lines.start[lines.line]
             keep = (at < prefix_length(lines.n)[lines.line]) & once[lines.line] & (lines.n >= SMALLEST)[lines.line]
             line, at, word = lines.line[keep], at[keep], lines.hash[order][keep]
+            if only is not None:
+                hit = wanted(only.value, word, word * 0)
+                line, at, word = line[hit], at[hit], word[hit]
             if not len(line):
                 return None
             bits = lines.bitmaps()
@@ -209,16 +215,18 @@ def bits_differ(bits: tuple, y: np.ndarray, x: np.ndarray) -> np.ndarray:
 
 
 def _candidates(every: bool, only=None) -> Callable:
-    """Pairs (doc, line, of_doc, of_line, more) from postings sorted by word, set size, doc, line.
+    """Pairs (doc, line, of_doc, of_line, word) from postings sorted by word.
 
     Neighbours at distance 1, 2, ... are compared, all lists of a batch at once; sizes ascend, so a row
     leaves the comparison when its partner has become too small. In lists longer than SHORT a line that
-    has a candidate gets no more; ``more`` says so. With ``every`` the lines in the table ``only`` get all.
+    has ENOUGH candidates gets no more; ``word`` then names the list. With ``every`` the lines in the table
+    ``only`` get all.
     """
     def solve(rows: np.ndarray, place: np.ndarray, size: np.ndarray) -> Iterator[pa.RecordBatch]:
         n, at, bits = rows[:, 3] >> 24, rows[:, 3] & 0xFFFFFF, (rows[:, 4], rows[:, 5])
         done = ~wanted(only.value, rows[:, 1], rows[:, 2]) if every else np.zeros(len(rows), bool)
         long, active, d = size > SHORT, np.flatnonzero(place > 0), 0
+        found = np.zeros(len(rows), np.int64)
         while len(active):
             d += 1
             active = active[place[active] >= d]
@@ -240,9 +248,12 @@ def _candidates(every: bool, only=None) -> Callable:
             y, x = y[other], x[other]
             if len(y):
                 if not every:
-                    done[y[long[y]]] = True
+                    sure = y[long[y] & (n[y] + n[x] <= CONVINCING * (OF + UP) // (OF - UP))]
+                    np.add.at(found, sure, 1)
+                    done[sure] = found[sure] >= ENOUGH
                 yield pa.RecordBatch.from_arrays(
-                    [*map(pa.array, (rows[y, 1], rows[y, 2], rows[x, 1], rows[x, 2])), pa.array(long[y] & (not every))], names=["doc", "line", "of_doc", "of_line", "more"],
+                    [*map(pa.array, (rows[y, 1], rows[y, 2], rows[x, 1], rows[x, 2])), pa.array(rows[y, 0], mask=~(long[y] & (not every)))],
+                    names=["doc", "line", "of_doc", "of_line", "word"],
                 )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -263,7 +274,12 @@ def _candidates(every: bool, only=None) -> Callable:
             rows, held = held[:edges[-1]], held[edges[-1]:].copy()
             starts = np.concatenate([[0], edges[:-1]])
             sizes = np.diff(np.append(starts, edges[-1]))
-            yield from solve(rows, np.arange(len(rows)) - np.repeat(starts, sizes), np.repeat(sizes, sizes))
+            # Most words are posted once and have no partner.
+            rows, sizes = rows[np.repeat(sizes > 1, sizes)], sizes[sizes > 1]
+            if len(rows):
+                starts, size = np.cumsum(sizes) - sizes, np.repeat(sizes, sizes)
+                rows = rows[np.lexsort((rows[:, 3], np.repeat(starts, sizes)))]
+                yield from solve(rows, np.arange(len(rows)) - np.repeat(starts, sizes), size)
 
     return run
 
@@ -296,11 +312,16 @@ def _wanted_table(lines: DataFrame) -> np.ndarray:
     return combined(lines.select("doc", "line").mapInArrow(run, "piece int, content binary"), np.uint8, np.bitwise_or, WANTED_BITS >> 3)
 
 
-def _words_of(docs: DataFrame, bits) -> DataFrame:
-    """(doc, line, words): the distinct words of lines that may be wanted."""
+def _words_of(docs: DataFrame, bits, doc_bits) -> DataFrame:
+    """(doc, line, words): the distinct words of lines that may be wanted; other documents aren't parsed."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = bits.value
 
+        def chosen() -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                doc = batch.column(0).to_numpy(zero_copy_only=False)
+                yield batch.filter(pa.array(wanted(doc_bits.value, doc, doc * 0)))
+
         def work(lines: Lines) -> pa.RecordBatch | None:
             hit = np.flatnonzero(wanted(table, lines.doc, lines.number))
             if not len(hit):
@@ -311,7 +332,7 @@ def _words_of(docs: DataFrame, bits) -> DataFrame:
             words = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]).astype(np.int32)), pa.array(lines.hash[at]))
             return pa.RecordBatch.from_arrays([pa.array(lines.doc[hit]), pa.array(lines.number[hit]), words], names=["doc", "line", "words"])
 
-        yield from _over_lines(work)(batches)
+        yield from _over_lines(work)(chosen())
 
     return docs.mapInArrow(run, "doc long, line long, words array<bigint>")
 
@@ -320,7 +341,9 @@ def _verified(docs: DataFrame, pairs: DataFrame) -> DataFrame:
     """Pairs with ``match``: does the Jaccard similarity of the word sets reach the threshold?"""
     spark = docs.sparkSession
     ends = pairs.select("doc", "line").union(pairs.select("of_doc", "of_line")).distinct()
-    words = staged(_words_of(docs, spark.sparkContext.broadcast(_wanted_table(ends))).dropDuplicates(["doc", "line"]), "line-words")
+    ends = staged(ends, "line-ends")
+    tables = [_wanted_table(ends), _wanted_table(ends.select("doc", F.lit(0).cast("long").alias("line")))]
+    words = staged(_words_of(docs, *map(spark.sparkContext.broadcast, tables)).dropDuplicates(["doc", "line"]), "line-words")
     left = words.select("doc", "line", F.col("words").alias("_y"))
     right = words.select(F.col("doc").alias("of_doc"), F.col("line").alias("of_line"), F.col("words").alias("_x"))
     joined = pairs.join(left, ["doc", "line"]).join(right, ["of_doc", "of_line"])
@@ -346,22 +369,25 @@ def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         lines.join(first, ["d1", "d2"]).filter(F.struct("doc", "line") > F.col("first"))
         .select("doc", "line", F.col("first.doc").alias("of_doc"), F.col("first.line").alias("of_line")), "equal-lines",
     )
-    ordered = lambda p: p.repartition("word").sortWithinPartitions("word", "shape", "doc", "line")
+    ordered = lambda p: p.repartition("word").sortWithinPartitions("word")
     # Classes of frequency, an eighth of a power of two wide.
-    classes = np.minimum(8 * np.log2(rarity + 1), 255).astype(np.uint8)
-    postings = _postings(rows, spark.sparkContext.broadcast(classes))
-    kind = "doc long, line long, of_doc long, of_line long, more boolean"
+    classes = spark.sparkContext.broadcast(np.minimum(8 * np.log2(rarity + 1), 255).astype(np.uint8))
+    postings = _postings(rows, classes)
+    kind = "doc long, line long, of_doc long, of_line long, word long"
     found = ordered(postings).mapInArrow(_candidates(False), kind)
-    pairs = staged(found.groupBy("doc", "line", "of_doc", "of_line").agg(F.max("more").alias("more")), "line-pairs")
+    pairs = staged(found.groupBy("doc", "line", "of_doc", "of_line").agg(F.collect_set("word").alias("lists")), "line-pairs")
     open_pairs = staged(pairs.join(equal.select("doc", "line").distinct(), ["doc", "line"], "left_anti"), "line-pairs")
     judged = staged(_verified(rows, open_pairs), "line-verdicts")
     near = judged.filter("match").groupBy("doc", "line").agg(F.min(F.struct("of_doc", "of_line")).alias("of")).select("doc", "line", "of.*")
-    unsure = judged.groupBy("doc", "line").agg(F.max("match").alias("match"), F.max("more").alias("more")).filter("more AND NOT match").select("doc", "line")
+    verdict = judged.groupBy("doc", "line").agg(F.max("match").alias("match"), F.count_if(F.size("lists") > 0).alias("cut")).filter("NOT match AND cut > 0")
+    unsure = staged(verdict.select("doc", "line"), "unsure-lines")
     result = equal.union(near)
     if not unsure.isEmpty():
-        # A candidate of a long list failed: these lines are compared with the whole list.
+        # All candidates failed, in long lists too: these lines are compared with the whole of those lists.
         only = spark.sparkContext.broadcast(_wanted_table(unsure))
-        rest = ordered(postings).mapInArrow(_candidates(True, only), kind).join(staged(unsure, "unsure-lines"), ["doc", "line"], "left_semi")
+        cut = judged.join(unsure, ["doc", "line"], "left_semi").select(F.explode("lists").alias("doc")).distinct().withColumn("line", F.lit(0).cast("long"))
+        again = _postings(rows, classes, spark.sparkContext.broadcast(_wanted_table(cut)))
+        rest = ordered(again).mapInArrow(_candidates(True, only), kind).join(unsure, ["doc", "line"], "left_semi")
         late = _verified(rows, staged(rest.select("doc", "line", "of_doc", "of_line").distinct(), "line-pairs")).filter("match")
         result = result.union(late.groupBy("doc", "line").agg(F.min(F.struct("of_doc", "of_line")).alias("of")).select("doc", "line", "of.*"))
     return staged(result, "repeated-lines")

@@ -47,6 +47,7 @@ def test_failed_first_candidates_are_followed_up(spark, similar, monkeypatch):
     # Without the bitmap bound most first candidates fail, and the rest of a list has to be searched.
     monkeypatch.setattr(line_dedup, "bits_differ", lambda bits, y, x: y * 0)
     monkeypatch.setattr(line_dedup, "SHORT", 2)
+    monkeypatch.setattr(line_dedup, "ENOUGH", 1)
     got = repeated_lines(table_of(spark, similar).repartition(4)).collect()
     assert {(r.doc, r.line) for r in got} == plain(similar)
 
