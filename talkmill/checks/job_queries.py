@@ -266,8 +266,22 @@ def _video_side(t):
 _EXPORT_SQL = """SELECT c.comment_id, c.product_query, c.video_id, v.lang AS video_title, v.source AS channel_name, v.n_chars AS view_count, v.n_chars % 10 AS video_like_count, c.like_count AS comment_like_count
   FROM {0} c LEFT JOIN documents v ON v.doc_id % 10 = 0 AND c.video_id = 'v' || (v.doc_id // 10)"""
 _EXPORT_COLUMNS = ["comment_id", "product_query", "video_id", "video_title", "channel_name", "view_count", "video_like_count", "comment_like_count"]
-register("export_master", lambda t: jobs.export_master(_video_side(t), t.comments.unionByName(t.comments), 1, 2, [F.col("comment_text")]).table.select(*_EXPORT_COLUMNS),
-         Q.with_comments(_EXPORT_SQL.format("comments")))
+
+
+def _exported(t):
+    """Two landed files whose copies differ: the second file's text sorts first, the first file's stays."""
+    def landed(copy: str, text) -> DataFrame:
+        return t.comments.withColumns({"comment_text": text, "source_file": F.lit(copy), "source_row": F.col("doc_id")})
+
+    both = landed("file1", F.concat(F.lit("z"), "comment_id")).unionByName(landed("file2", F.concat(F.lit("a"), "comment_id")))
+    return jobs.export_master(_video_side(t), both, video_files=1, stage_dir=run_dir(t.spark, "export"))
+
+
+register("export_master", lambda t: _exported(t).table.select(*_EXPORT_COLUMNS, "comment_text"),
+         Q.with_comments(_EXPORT_SQL.format("comments").replace("SELECT c.comment_id", "SELECT 'z' || c.comment_id AS comment_text, c.comment_id", 1)))
+register("export_report", lambda t: _exported(t).reports["master"], Q.with_comments(
+    """SELECT count(DISTINCT product_query) AS product_count, 1 AS video_files_found, 2 AS comment_files_found, count(*) AS total_comments,
+       (SELECT count(*) FROM documents WHERE doc_id % 10 = 0) AS total_videos, count(*) AS duplicate_comments_removed FROM comments"""))
 
 
 def _processed(t):

@@ -206,7 +206,7 @@ register("note_flags", lambda t: P.note_flags(t.annotated.select("comment_id", "
              f"CASE WHEN {_NOTE} = {lit(n)} THEN 1 ELSE 0 END AS is_{n.lower().replace(' ', '_')}" for n in X.NOTE_LABELS) + " FROM annotated"))
 register("union_all_by_name", lambda t: P.union_by_name(t.documents.select("text", "doc_id", "lang"), t.benchmark.select("item_id", "text")),
          "SELECT text, doc_id, lang, NULL AS item_id FROM documents UNION ALL SELECT text, NULL, NULL, item_id FROM benchmark")
-register("remainder_except", lambda t: t.documents.join(SA.random_sample(t.documents.select("doc_id"), "doc_id", 100), "doc_id", "left_anti").select("doc_id", "source"),
+register("remainder_except", lambda t: SA.remainder_except(t.documents, SA.random_sample(t.documents.select("doc_id"), "doc_id", 100), "doc_id").select("doc_id", "source"),
          "SELECT doc_id, source FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM documents ORDER BY md5('42:' || doc_id), doc_id LIMIT 100)")
 
 # --- joins ----------------------------------------------------------------------
@@ -484,9 +484,8 @@ register("top_liked_comments", lambda t: PR.top_by(t.comments, "like_count", "co
 register("top_channels", lambda t: PR.top_groups(t.comments, "video_id"), Q.with_comments("SELECT video_id, count(*) AS n FROM comments GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 20"))
 register("random_sample_n", lambda t: SA.random_sample(t.documents.select("doc_id", "source"), "doc_id", 300),
          "SELECT doc_id, source FROM documents ORDER BY md5('42:' || doc_id), doc_id LIMIT 300")
-register("browse_sample", lambda t: SA.random_sample(
-    C.browse(t.comments.select("comment_id", F.col("like_count").alias("comment_like_count"), raw().alias(S.CLEANED)), 25), "comment_id", 15, 3)
-    .withColumn("h", F.md5(F.concat(F.lit("3:"), "comment_id"))).orderBy("h").limit(10).select("comment_id", "comment_like_count", T.preview(F.col(S.CLEANED), 200).alias("shown")),
+register("browse_sample", lambda t: SA.browse_sample(
+    t.comments.select("comment_id", F.col("like_count").alias("comment_like_count"), raw().alias(S.CLEANED)), "comment_id", 25, seed=3).select("comment_id", "comment_like_count", "shown"),
     Q.with_comments("SELECT comment_id, like_count AS comment_like_count, left(comment_text, 200) AS shown FROM comments WHERE like_count >= 25 AND comment_text IS NOT NULL ORDER BY md5('3:' || comment_id) LIMIT 10"))
 register("shuffle", lambda t: SA.shuffle(t.documents.select("doc_id"), "doc_id"), "SELECT doc_id FROM documents")
 register("hash_rank", lambda t: SA.rank_by_hash(t.events.select("event_id", "event_type"), ["event_type"], "event_id", 42),

@@ -233,8 +233,7 @@ register(
 )
 register(
     "token_set_intersect",
-    lambda t: t.comments.select("comment_id", F.array_join(F.array_sort(F.array_intersect(
-        F.array_distinct(F.regexp_extract_all(F.lower(raw()), F.lit("[a-z]+"), 0)), F.array(*[F.lit(m) for m in X.HINGLISH_MARKERS]))), ",").alias("markers")),
+    lambda t: t.comments.select("comment_id", F.array_join(T.token_set_intersect(raw(), X.HINGLISH_MARKERS), ",").alias("markers")),
     Q.with_comments(f"""SELECT comment_id, array_to_string(list_sort(list_intersect(list_distinct(regexp_extract_all(lower(comment_text), '[a-z]+')),
         [{Q.lits(X.HINGLISH_MARKERS)}])), ',') AS markers FROM comments"""),
 )

@@ -117,6 +117,12 @@ def bigrams(c: Column) -> Column:
     )))
 
 
+def token_set_intersect(c: Column, words: list[str]) -> Column:
+    """Sorted distinct words of a list that occur in a text, ignoring case."""
+    found = F.array_distinct(F.regexp_extract_all(F.lower(c), F.lit("[a-z]+"), 0))
+    return F.array_sort(F.array_intersect(found, F.array(*[F.lit(w) for w in words])))
+
+
 def bigram_jaccard(a: Column, b: Column) -> Column:
     """Share of common character bigrams: 1 for two blanks, 0 for one blank."""
     texts = F.struct(

@@ -31,10 +31,11 @@ def rename_comment_columns(df: DataFrame) -> DataFrame:
 
 
 def prepare_videos(df: DataFrame, order: list[str] | None = None) -> DataFrame:
-    """Video side of the master join: renamed, one row per video_id, at most nine columns."""
+    """Video side of the master join: renamed, one row per video_id (the first in file order, if known), at most nine columns."""
     renamed = rename_if_free(df, {"title": "video_title", "like_count": "video_like_count"})
     if "video_id" in renamed.columns:
-        rest = order or [c for c in S.VIDEO_SIDE[1:] if c in renamed.columns]
+        known = [c for c in ("source_file", "source_row") if c in renamed.columns]
+        rest = order or known or [c for c in S.VIDEO_SIDE[1:] if c in renamed.columns]
         renamed = keep_first(renamed, "video_id", [F.col(c) for c in rest])
     return renamed.select(*[c for c in S.VIDEO_SIDE if c in renamed.columns])
 

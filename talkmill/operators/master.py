@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F, types as T
 
+from talkmill import schemas as S
 from talkmill.operators.conform import ensure_columns, prepare_videos, rename_comment_columns
 from talkmill.operators.dedup import keep_first, removed_count
 
+# File and row a record was read from, as sources.files adds them.
+PROVENANCE = ["source_file", "source_row"]
 # The video's value wins over the comment's for these columns.
 COALESCED = ["product_query", "video_title", "video_url", "published_at"]
 
@@ -41,20 +44,36 @@ def coalesce_joined(joined: DataFrame, left_columns: list[str], right_columns: l
     return joined.select(*out)
 
 
-def build_master(videos: DataFrame, comments: DataFrame, salts: int = 1, video_order: list[str] | None = None) -> DataFrame:
-    """Processed comments with video metadata in the fixed master columns."""
+def build_master(videos: DataFrame, comments: DataFrame, salts: int = 1, video_order: list[str] | None = None,
+                 keep_provenance: bool = False) -> DataFrame:
+    """Processed comments with video metadata in the fixed master columns.
+
+    ``keep_provenance`` lets the file and row of a comment through, for duplicate removal in file order.
+    """
     left = rename_comment_columns(comments)
     right = prepare_videos(videos, video_order)
-    if "video_id" not in right.columns or "video_id" not in left.columns:
-        return ensure_columns(left)
-    joined = left_join_unique(left, right, "video_id", salts)
-    return ensure_columns(coalesce_joined(joined, left.columns, right.columns, "video_id"))
+    if "video_id" in right.columns and "video_id" in left.columns:
+        joined = left_join_unique(left, right, "video_id", salts)
+        left = coalesce_joined(joined, left.columns, right.columns, "video_id")
+    extra = [f for f in left.schema if keep_provenance and f.name in PROVENANCE]
+    return ensure_columns(left, T.StructType([*S.MASTER, *extra]))
 
 
 def remove_duplicate_comments(master: DataFrame, order: list | None = None) -> DataFrame:
-    """One row per comment_id, the first in ``order``."""
-    columns = order or [F.col(c) for c in ("video_id", "comment_text", "updated_at") if c in master.columns]
-    return keep_first(master, "comment_id", columns)
+    """One row per comment_id, the first in ``order``: by default in file order, where it is known.
+
+    Without it, equal ids are told apart by their values, so the survivor is defined as well.
+    """
+    known = [c for c in PROVENANCE if c in master.columns]
+    columns = order or [F.col(c) for c in known or ("video_id", "comment_text", "updated_at") if c in master.columns]
+    return keep_first(master, "comment_id", columns).drop(*PROVENANCE)
+
+
+def count_files(df: DataFrame) -> int:
+    """Files a table was read from; 1 for a table whose rows don't say."""
+    if "source_file" not in df.columns:
+        return 1
+    return df.agg(F.count_distinct(F.nullif("source_file", F.lit("")))).first()[0]
 
 
 def products(df: DataFrame, column: str = "product_query") -> DataFrame:

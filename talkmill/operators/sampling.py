@@ -4,6 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window, functions as F
 
+from talkmill import schemas as S
+from talkmill.functions.text import preview
+from talkmill.operators.cleaning import browse
 from talkmill.operators.ranking import first_rows, hash_key, rank_by_hash
 
 _PLACE = "_place"
@@ -72,6 +75,17 @@ def accept_confident(df: DataFrame, label: str = "pseudo_aspect", confidence: st
     return df.filter(F.col(confidence) >= threshold)
 
 
+def browse_sample(df: DataFrame, key: str, likes: int, pool: int = 15, n: int = 10, seed: int = 42, text: str = S.CLEANED) -> DataFrame:
+    """A pool of well-liked comments drawn first, then the ones shown, drawn from the pool."""
+    drawn = random_sample(browse(df, likes), key, pool, seed)
+    return random_sample(drawn, key, n, seed).withColumn("shown", preview(F.col(text), 200))
+
+
+def remainder_except(df: DataFrame, chosen: DataFrame, key: str) -> DataFrame:
+    """Rows whose key was not chosen."""
+    return df.join(chosen.select(key), key, "left_anti")
+
+
 def stratified_split(df: DataFrame, label: str, key: str, test_share: float = 0.15, seed: int = 42) -> DataFrame:
     """Adds ``is_test``: ceil(share * rows) test rows, spread over labels by largest remainder."""
     sizes = df.groupBy(label).agg(F.count("*").alias("size"))
@@ -133,9 +147,15 @@ def distribution_change(before: DataFrame, after: DataFrame, label: str) -> Data
     return b.join(a, label, "full").withColumn("ratio", F.col("n_after") / F.col("n_before"))
 
 
-def class_weights(df: DataFrame, label: str) -> DataFrame:
-    """Inverse-frequency weights scaled to sum to the number of classes."""
+def class_weights(df: DataFrame, label: str, labels: list[str] | None = None) -> DataFrame:
+    """Inverse-frequency weights scaled to sum to the number of classes.
+
+    With a list of ``labels`` all of them and no others get a weight; one without rows counts as one row.
+    """
     counts = df.filter(F.col(label).isNotNull()).groupBy(label).agg(F.count("*").alias("n"))
+    if labels is not None:
+        every = df.sparkSession.createDataFrame([(x,) for x in labels], f"`{label}` string")
+        counts = every.join(counts, label, "left").select(label, F.coalesce("n", F.lit(1)).alias("n"))
     everything = Window.partitionBy()  # one row per label
     # Exact: weight = (1/n) / sum(1/n) * classes.
     ordered = Window.partitionBy().orderBy(label).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)

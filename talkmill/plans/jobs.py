@@ -81,15 +81,30 @@ def translate_and_cleanup(comments: DataFrame, translate: Callable[[DataFrame],
     })
 
 
-def export_master(videos: DataFrame, comments: DataFrame, video_files: int, comment_files: int,
+def export_master(videos: DataFrame, comments: DataFrame, video_files: int | None = None, comment_files: int | None = None,
                   order: list | None = None, stage_dir: str | None = None) -> Stage:
-    joined = staged(M.build_master(videos, comments), stage_dir, "joined")
-    unique = M.remove_duplicate_comments(joined, order)
+    """Joined, deduplicated master table; of equal ids the first in file order stays.
+
+    File counts are taken from the tables where they are not given.
+    """
+    video_files = M.count_files(videos) if video_files is None else video_files
+    comment_files = M.count_files(comments) if comment_files is None else comment_files
+    joined = staged(M.build_master(videos, comments, keep_provenance=True), stage_dir, "joined")
+    unique = staged(M.remove_duplicate_comments(joined, order), stage_dir, "unique")
     return Stage(unique, {
         "master": M.master_report(unique, videos, video_files, comment_files, joined), "products": M.products(unique),
     })
 
 
+def run_export(spark: SparkSession, video_dir: str, comment_dir: str, out: str, pattern: str = "*.parquet") -> Stage:
+    """The export as a whole: find the files, join, remove duplicates, write Parquet, CSV and reports under ``out``."""
+    videos, comments = (files.scan_parquet_glob(spark, d, pattern, provenance=True) for d in (video_dir, comment_dir))
+    done = export_master(videos, comments, stage_dir=f"{out}/steps")
+    done.write(out)
+    files.write_csv(done.table, f"{out}/csv")
+    return done
+
+
 def annotation_setup(master: DataFrame, sample_size: int = 300, seed: int = 42) -> Stage:
     template = annotation_template(sampling.balanced_sample(master, "comment_id", sample_size, seed))
     return Stage(template, {"annotation": A.annotation_report(template)})
@@ -107,7 +122,7 @@ def process_products(raw_comments: DataFrame, videos: DataFrame, translate: Call
     todo = slugged if done is None else files.skip_processed(slugged, done)
     kept = staged(cleaning.preprocess_comments(L.add_detected_language(todo)), stage_dir, "kept")
     cleaned = translate_and_cleanup(kept, translate, dictionary, stage_dir=stage_dir)
-    exported = export_master(videos, cleaned.table, 1, 1, stage_dir=stage_dir)
+    exported = export_master(videos, cleaned.table, comment_files=M.count_files(todo), stage_dir=stage_dir)
     return Stage(exported.table, {**cleaned.reports, **exported.reports})
 
 
