@@ -6,7 +6,6 @@ from pyspark.sql import DataFrame, functions as F, types as T
 
 from talkmill import schemas as S
 from talkmill.functions.labels import normalize_note, note_columns
-from talkmill.functions.lexicons import NOTE_LABELS
 from talkmill.operators.dedup import keep_first
 
 
@@ -62,9 +61,3 @@ def union_by_name(*frames: DataFrame) -> DataFrame:
     for frame in frames[1:]:
         result = result.unionByName(frame, allowMissingColumns=True)
     return result
-
-
-__all__ = [
-    "NOTE_LABELS", "annotation_template", "ensure_columns", "note_flags", "prepare_videos",
-    "rename_comment_columns", "rename_if_free", "union_by_name",
-]

@@ -9,7 +9,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F, types as T
 
 from talkmill import schemas as S
 from talkmill.functions import flags as G
@@ -19,7 +19,7 @@ from talkmill.functions.romanized import normalize_romanized
 from talkmill.functions.text import bigram_jaccard, clean_text, strip, word_count
 from talkmill.operators.language_audit import language_distribution
 
-CODE, TRANSLATION = "source_code", "translation"
+CODE, TRANSLATION, FAILED = "source_code", "translation", "translation_failed"
 SIMILAR = 0.85
 ROMANIZED = ["hinglish", "romanized_malayalam"]
 
@@ -57,26 +57,31 @@ def translate_with(df: DataFrame, translate: Callable[[list[str], str], list[str
     """Adds translations from a function (texts, code) -> texts, called per code and batch.
 
     Works on the partitions as they are, so a dominant language is spread over all tasks.
-    A failing batch keeps its original texts.
+    A failing batch keeps its original texts; ``translation_failed`` marks its rows.
     """
-    out = df.schema.simpleString()[len("struct<"):-1]
+    out = T.StructType([*df.schema, T.StructField(TRANSLATION, T.StringType()), T.StructField(FAILED, T.BooleanType())])
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             result = pd.Series([None] * len(frame), index=frame.index, dtype=object)
+            failed = pd.Series(False, index=frame.index)
             for code, part in frame[frame[CODE].notna()].groupby(CODE):
                 texts = part[text].fillna("").tolist()
                 done: list[str] = []
+                lost: list[bool] = []
                 for at in range(0, len(texts), batch_size):
                     batch = texts[at:at + batch_size]
                     try:
                         done += list(translate(batch, code))
+                        lost += [False] * len(batch)
                     except Exception:  # noqa: BLE001 - any translator error falls back to the input
                         done += batch
+                        lost += [True] * len(batch)
                 result.loc[part.index] = done
-            yield frame.assign(**{TRANSLATION: result})
+                failed.loc[part.index] = lost
+            yield frame.assign(**{TRANSLATION: result, FAILED: failed})
 
-    return df.mapInPandas(run, f"{out},{TRANSLATION}:string")
+    return df.mapInPandas(run, out)
 
 
 def gate_and_fallback(df: DataFrame, dictionary: dict[str, str], text: str = S.TEXT, language: str = S.LANGUAGE) -> DataFrame:
