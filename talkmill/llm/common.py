@@ -108,7 +108,7 @@ def combined(pieces: DataFrame, dtype, join: np.ufunc, size: int) -> np.ndarray:
     folded = pieces.select("piece", "content").mapInArrow(fold, "piece int, content binary")
     whole = np.zeros(size, dtype)
     per = PIECE // whole.itemsize
-    for r in folded.repartition("piece").mapInArrow(fold, "piece int, content binary").toLocalIterator():
+    for r in folded.repartition("piece").mapInArrow(fold, "piece int, content binary").collect():
         own = np.frombuffer(r["content"], dtype)
         whole[r["piece"] * per:r["piece"] * per + len(own)] = own
     return whole
