@@ -5,7 +5,8 @@ tokens that fell back to bytes, and the entropy of the token distribution. Texts
 (or, without a language, of one script) and of similar length agree closely in these, so the
 corpus itself gives the bands: median plus or minus several interquartile ranges, and never
 narrower than a fixed floor. What lies outside a band is rejected, besides the plain rules on
-length and repetition.
+length and repetition. No text is judged by texts of another language: the band of a length class
+leans on the band of its language, which has wide floors, the more the fewer texts it has.
 
 Bands come from histograms of all texts that pass the plain rules; texts with equal measures
 (copies) count once, so a large group of copies does not narrow a band.
@@ -36,19 +37,20 @@ SCRIPTS = [
     ("devanagari", 0x900, 0x97F), ("kana", 0x3040, 0x30FF), ("han", 0x4E00, 0x9FFF), ("hangul", 0xAC00, 0xD7A3),
 ]
 
-#: Measure -> (steps per unit in the histogram, least half width below, above; None: no bound).
+#: Measure -> (steps per unit in the histogram, least half widths (below, above) in a length class and
+#: in a whole language; None: no bound).
 #: The floor of characters per token is a share of the median, the others are absolute.
 MEASURES = {
-    "chars_per_piece": (200, 0.10, 0.15),
-    "chars_per_rank": (200, 0.10, 0.15),
-    "byte_share": (2000, None, 0.03),
-    "token_entropy": (100, 0.60, 1.0),
+    "chars_per_piece": (200, (0.10, 0.15), (0.20, 0.30)),
+    "chars_per_rank": (200, (0.10, 0.15), (0.20, 0.30)),
+    "byte_share": (2000, (None, 0.03), (None, 0.06)),
+    "token_entropy": (100, (0.60, 1.0), (1.5, 2.0)),
 }
 RELATIVE = {"chars_per_piece", "chars_per_rank"}
 #: Interquartile ranges a band reaches to either side of the median.
 REACH = 4.0
-#: Texts of a length class below which the band of the whole language, or of all texts, is used.
-LEAST_TEXTS = 100
+#: The band of the language counts as so many texts beside those of a length class.
+LEAN = 20
 
 FEATURES = (
     "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, script string, "
@@ -184,14 +186,14 @@ def base_failed() -> Column:
 def bands(measured: DataFrame) -> DataFrame:
     """(level, kind, size_class, n, and low/high of each measure) from the texts that pass the plain rules.
 
-    Level 0: language and length class, 1: language, 2: all texts. Quantiles are exact on the
-    histogram's steps; a histogram has a bounded number of steps whatever the corpus.
+    Level 0: language and length class, 1: language. Quantiles are exact on the histogram's steps;
+    a histogram has a bounded number of steps whatever the corpus.
     """
-    steps = {m: F.round(F.col(m) * per).cast("long") for m, (per, _, _) in MEASURES.items()}
+    steps = {m: F.round(F.col(m) * per).cast("long") for m, (per, *_) in MEASURES.items()}
     once = measured.filter(~base_failed()).select("kind", "size_class", "n_pieces", *[c.alias(m) for m, c in steps.items()]).distinct()
     levels = F.array(*[
         F.struct(F.lit(i).alias("level"), k.alias("kind"), s.alias("size_class"))
-        for i, (k, s) in enumerate([(F.col("kind"), F.col("size_class")), (F.col("kind"), F.lit(-1)), (F.lit(""), F.lit(-1))])
+        for i, (k, s) in enumerate([(F.col("kind"), F.col("size_class")), (F.col("kind"), F.lit(-1))])
     ])
     cells = F.array(*[F.struct(F.lit(m).alias("measure"), F.col(m).alias("step")) for m in MEASURES])
     counts = (
@@ -205,10 +207,11 @@ def bands(measured: DataFrame) -> DataFrame:
         F.max("total").alias("n"), *[F.min(F.when(F.col("below") * 4 >= F.col("total") * q, F.col("step"))).alias(f"q{q}") for q in (1, 2, 3)],
     )
     bounds = []
-    for m, (per, under, over) in MEASURES.items():
+    for m, (per, *floors) in MEASURES.items():
+        under, over = (F.when(F.col("level") == 0, F.lit(a)).otherwise(F.lit(b)) for a, b in zip(*floors))
         middle, spread = F.col("q2") / per, REACH * (F.col("q3") - F.col("q1")) / per
         unit = middle if m in RELATIVE else F.lit(1.0)
-        low = F.lit(float("-inf")) if under is None else middle - F.greatest(spread, under * unit)
+        low = F.lit(float("-inf")) if floors[0][0] is None else middle - F.greatest(spread, under * unit)
         high = middle + F.greatest(spread, over * unit)
         of = F.col("measure") == m
         bounds += [F.max(F.when(of, low)).alias(f"low_{m}"), F.max(F.when(of, high)).alias(f"high_{m}")]
@@ -220,7 +223,8 @@ def judged(
 ) -> DataFrame:
     """One row per document: counts, measures, ``base_failed``, ``kept`` and the measures out of band.
 
-    A null text has no words and fails. A null or blank language falls back to the script. Rows that
+    A null text has no words and fails. A null or blank language falls back to the script. Failing texts
+    of a language in which no text passes the plain rules have no band to be out of. Rows that
     repeat an id are judged each on its own; an empty table gives an empty result.
     """
     rows = features(docs.select(
@@ -232,17 +236,16 @@ def judged(
     )
     limits = staged(bands(measured), "fertility-bands")
 
-    def level(i: int) -> DataFrame:
-        own = limits.filter(F.col("level") == i) if i == 2 else limits.filter((F.col("level") == i) & (F.col("n") >= LEAST_TEXTS))
-        return own.select(
-            F.col("kind").alias(f"_k{i}"), F.col("size_class").alias(f"_s{i}"), F.struct(*[f"{side}_{m}" for m in MEASURES for side in ("low", "high")]).alias(f"_b{i}"),
-        )
-
+    sides = [f"{side}_{m}" for m in MEASURES for side in ("low", "high")]
+    wide = limits.filter("level = 1").select(F.col("kind").alias("_k1"), F.struct(*sides).alias("_b1"))
+    leaning = [((F.col("n") * F.col(c) + LEAN * F.col(f"_b1.{c}")) / (F.col("n") + LEAN)).alias(c) for c in sides]
+    narrow = limits.filter("level = 0").join(wide, F.col("kind") == F.col("_k1")).select(
+        F.col("kind").alias("_k0"), F.col("size_class").alias("_s0"), F.struct(*leaning).alias("_b0"),
+    )
     joined = (
-        measured.join(level(0), same([F.col("kind"), F.col("size_class")], [F.col("_k0"), F.col("_s0")]), "left")
-        .join(level(1), F.col("kind").eqNullSafe(F.col("_k1")), "left")
-        .withColumn("_all", F.substring("kind", 1, 0)).join(level(2), F.col("_all") == F.col("_k2"), "left")
-        .withColumn("_band", F.coalesce("_b0", "_b1", "_b2"))
+        measured.join(narrow, same([F.col("kind"), F.col("size_class")], [F.col("_k0"), F.col("_s0")]), "left")
+        .join(wide, F.col("kind").eqNullSafe(F.col("_k1")), "left")
+        .withColumn("_band", F.coalesce("_b0", "_b1"))
     )
     outside = F.array_compact(F.array(*[
         F.when((F.col(m) < F.col(f"_band.low_{m}")) | (F.col(m) > F.col(f"_band.high_{m}")), F.lit(m)) for m in MEASURES

@@ -39,6 +39,18 @@ def test_bands_reject_junk_and_keep_prose(spark):
     assert not any(kept[1000 + i] for i in range(6))
 
 
+def test_rare_languages_have_their_own_band(spark):
+    """Verdicts of a rare language do not depend on how many texts another language has."""
+    rng = random.Random(4)
+    rare = [(i, " ".join("".join(rng.choice("żółć gęśl ąśćń źdźb ńęłó".split()) for _ in range(rng.randint(1, 3))) for _ in range(rng.randint(80, 400))), "xx") for i in range(20)]
+    junk = [(50, " ".join("żółć" + rng.choice("#*$%&") * rng.randint(9, 99) + str(rng.random()) for _ in range(150)), "xx")]
+    common = [(1000 + i, sentence(rng, rng.randint(80, 400)), "en") for i in range(2000)]
+    alone, among = ({r.doc_id: r.kept for r in fertility.judged(table_of(spark, rows), PIECES, RANKS).collect()} for rows in (rare + junk, rare + junk + common))
+    assert all(among[i] for i in range(20)) and not among[50]
+    assert all(among[i] == kept for i, kept in alone.items())
+    assert sum(among[1000 + i] for i in range(2000)) >= 1990
+
+
 def test_repeated_words_as_defined():
     import numpy as np
 
