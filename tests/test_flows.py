@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import inspect
 import json
 import os
 import time
+from types import SimpleNamespace
 
 import pytest
 from pyspark.sql import functions as F
@@ -206,6 +208,37 @@ def test_learning_loops(spark):
     assert LE.unlabeled(df, seeds, "id").count() == 40
 
 
+def test_learning_queries_run_the_whole_job(monkeypatch):
+    """Registered with the operators' own features, iterations, folds, rounds and cap."""
+    from talkmill.checks import all_queries, job_queries
+
+    class Done(Exception):
+        pass
+
+    def bound(name):
+        own, found = inspect.signature(getattr(LE, name)), {}
+
+        def record(*args, **kwargs):
+            values = own.bind(*args, **kwargs)
+            values.apply_defaults()
+            found.update(values.arguments)
+            raise Done
+
+        monkeypatch.setattr(LE, name, record)
+        monkeypatch.setattr(job_queries, "_labelled", lambda t: None)
+        monkeypatch.setattr(job_queries, "_seeds", lambda t: None)
+        monkeypatch.setattr(LE, "unlabeled", lambda *a: None)
+        with pytest.raises(Done):
+            all_queries()[name][0](SimpleNamespace(labels=None))
+        return found
+
+    assert job_queries._CLF == LE.TextClassifier(text="text", label="lang")
+    assert (job_queries._CLF.features, job_queries._CLF.iterations) == (1 << 16, 20)
+    assert bound("cross_validate")["folds"] == 5
+    rounds = bound("self_train")
+    assert (rounds["rounds"], rounds["cap"]) == (3, 150)
+
+
 def test_hot_key_join_is_split(spark):
     """A third of the rows on one key: AQE splits that partition of the shuffle join."""
     conf = {
