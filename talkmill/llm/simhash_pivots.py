@@ -18,7 +18,7 @@ bucket it works on, 8 bytes each.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import combinations
 
 import numpy as np
@@ -197,13 +197,13 @@ def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     return rows.join(named, "fp").select("doc_id", _hex(F.col("fp")).alias("fingerprint"), "component_id")
 
 
-def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", grouped: Callable[..., DataFrame] = simhash_groups) -> DataFrame:
     """The documents whose id names their component, with all their columns.
 
     Rows with a null id stay only if their component has no other id. Of rows repeating the
     naming id all stay that are equal to it in id: ids are expected to be unique.
     """
-    groups = simhash_groups(docs, id_col, text_col)
+    groups = grouped(docs, id_col, text_col)
     name = free_name(docs.columns, "stays")
     stay = groups.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias(name)).distinct()
     return docs.join(stay, F.col(f"`{id_col}`").eqNullSafe(F.col(name)), "left_semi")
