@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from talkmill.llm import exact_dedup, fertility, length_packing, line_dedup, mixing, piece_codec, ppm, quotations, sharding, simhash_pivots, token_counts
+from talkmill.llm import exact_dedup, fertility, length_packing, line_dedup, mixing, piece_codec, ppm, quotations, sharding, simhash_pivots, token_counts, vector_codes
 from talkmill.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -62,6 +62,10 @@ def op10_quotation_threads(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quotations.linked_conversations(mails).withColumnsRenamed({"scope": "conv_id", "at": "turn"})
 
 
+def op11_gnat_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes.code_report(*vector_codes.vector_codes(table(spark, sf_dir, "embeddings")))
+
+
 def op13_piece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return piece_codec.digests(piece_codec.encoded(table(spark, sf_dir, "documents"), PIECES))
 
@@ -86,5 +90,6 @@ QUERIES: dict[str, tuple[Query, str | None]] = {
     "op8_trie_owners": (op8_trie_owners, EXACT_DEDUP_SQL),
     "op9_line_similarity_join": (op9_line_similarity_join, None),
     "op10_quotation_threads": (op10_quotation_threads, None),
+    "op11_gnat_vector_codes": (op11_gnat_vector_codes, None),
     "op13_piece_codec": (op13_piece_codec, None),
 }
