@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from talkmill.llm import exact_dedup, fertility, length_packing, line_dedup, mixing, piece_codec, ppm, quotations, sharding, simhash_pivots, token_counts, vector_codes
+from talkmill.llm import conversation_tries, exact_dedup, fertility, length_packing, line_dedup, mixing, piece_codec, ppm, quotations, sharding, simhash_pivots, token_counts, vector_codes
 from talkmill.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -66,6 +66,11 @@ def op11_gnat_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vector_codes.code_report(*vector_codes.vector_codes(table(spark, sf_dir, "embeddings")))
 
 
+def op12_conversation_tries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = conversation_tries.turn_rows(table(spark, sf_dir, "conversations"))
+    return conversation_tries.prefix_trie(conversation_tries.sharing_starts(turns)).drop("turn_id")
+
+
 def op13_piece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return piece_codec.digests(piece_codec.encoded(table(spark, sf_dir, "documents"), PIECES))
 
@@ -91,5 +96,6 @@ QUERIES: dict[str, tuple[Query, str | None]] = {
     "op9_line_similarity_join": (op9_line_similarity_join, None),
     "op10_quotation_threads": (op10_quotation_threads, None),
     "op11_gnat_vector_codes": (op11_gnat_vector_codes, None),
+    "op12_conversation_tries": (op12_conversation_tries, None),
     "op13_piece_codec": (op13_piece_codec, None),
 }
