@@ -6,15 +6,17 @@ prefix of a text has one possible last piece: of the pieces that end there (an a
 them), the one that stands the pair test with the last piece of the prefix before it. One pass
 from left to right fills the table; ids are read off backwards.
 
-Pieces carry the space mark only in front, so no piece crosses from a word to the next mark: the
-table is filled per marked word, and a word met before is looked up.
+Pieces carry the space mark only in front, so no piece crosses from a word to the next mark, nor
+does one cross a character that no longer piece has, such as a line break. The table is filled
+for each stretch between such places, and a stretch met before is looked up.
 """
 
 from __future__ import annotations
 
 import re
 import sys
-from collections.abc import Iterable, Iterator
+from array import array
+from collections.abc import Iterator
 from types import ModuleType
 
 import ahocorasick
@@ -28,9 +30,8 @@ from talkmill.llm.common import by_value
 by_value(__name__)
 
 MARK = "▁"
-_MARKED_WORD = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
 #: Words and piece pairs a Python worker remembers before it forgets all of them; longer words are not remembered.
-MEMORY_WORDS, MEMORY_PAIRS, MEMORY_LENGTH = 400_000, 1_000_000, 64
+MEMORY_WORDS, MEMORY_PAIRS, MEMORY_LENGTH = 600_000, 1_000_000, 64
 #: UTF-8 bytes of texts that leave a task as one batch.
 BATCH_BYTES = 4 << 20
 
@@ -69,25 +70,30 @@ class PieceCodec:
     """Encodes and decodes with one vocabulary; keeps words and pair tests it has met."""
 
     def __init__(self, table: PieceTable):
+        joined = {c for piece, _, _ in table.pieces if len(piece) > 1 for c in piece} - {MARK}
+        inside = "".join(re.escape(c) for c in sorted(joined))
+        self.stretches = re.compile((f"{MARK}*[{inside}]+|{MARK}+|[^{MARK}{inside}]" if joined else f"{MARK}+|[^{MARK}]"), re.DOTALL)
         order = {s: r for r, s in enumerate(sorted({s for _, s, _ in table.pieces}, reverse=True))}
         self.ranks = {piece: order[score] for piece, score, _ in table.pieces}
         self.byte_ids, self.end = table.byte_ids, table.end
         self.surface: dict[int, bytes] = {i: piece.replace(MARK, " ").encode() for piece, _, i in table.pieces}
+        self.marked = {i for piece, _, i in table.pieces if piece.startswith(MARK)}
         self.surface |= {i: bytes([b]) for b, i in enumerate(table.byte_ids)}
         # Characters that occur in pieces without being one are steps on the way, spelled in bytes at the end.
         ids = {piece: (i,) for piece, _, i in table.pieces}
         steps = {c for piece in ids for c in piece if c not in ids}
         ids |= {c: self._fallback(c) for c in steps}
-        self.strings, self.ids = [], []
+        self.strings, self.ids, self.lengths = [], [], []
         self.automaton = ahocorasick.Automaton()
         for string, own in ids.items():
             if len(string) == 1 or self._merges_to_itself(string):
                 self.automaton.add_word(string, (len(string), len(self.strings)))
                 self.strings.append(string)
                 self.ids.append(own)
+                self.lengths.append(len(string))
         self.automaton.make_automaton()
         self.pairs: dict[int, bool] = {}
-        self.words: dict[str, tuple[bytes, str]] = {}
+        self.words: dict[str, bytes] = {}
 
     def _fallback(self, char: str) -> tuple[int, ...]:
         return tuple(self.byte_ids[b] for b in char.encode("utf-8", "surrogatepass"))
@@ -116,72 +122,70 @@ class PieceCodec:
 
         Both come out of their own characters, so they do unless a pair across the border merges.
         """
-        key = left << 32 | right
-        known = self.pairs.get(key)
-        if known is None:
-            border = len(self.strings[left])
-            text = self.strings[left] + self.strings[right]
-            ends, known = list(range(1, len(text) + 1)), True
-            while (at := self._next_merge(ends, text)) >= 0:
-                if ends[at] == border:
-                    known = False
-                    break
-                del ends[at]
-            if len(self.pairs) >= MEMORY_PAIRS:
-                self.pairs.clear()
-            self.pairs[key] = known
-        return known
+        border = len(self.strings[left])
+        text = self.strings[left] + self.strings[right]
+        ends = list(range(1, len(text) + 1))
+        while (at := self._next_merge(ends, text)) >= 0:
+            if ends[at] == border:
+                return False
+            del ends[at]
+        return True
 
     def encode_word(self, word: str) -> list[int]:
-        """Ids of one marked word."""
-        size = len(word)
-        # Last piece of every prefix: its index, or -1 for a character that no piece has.
-        last, reach = [-1] * (size + 1), [1] * (size + 1)
-        unmet = [True] * (size + 1)
+        """Ids of one stretch."""
+        pairs, kinds = self.pairs, len(self.strings)
+        if len(pairs) >= MEMORY_PAIRS:
+            pairs.clear()
+        # Last piece of every prefix; -1 at the start and after a character that no piece has.
+        last = [-1] * (len(word) + 1)
         for stop, (length, piece) in self.automaton.iter(word):
             stop += 1
-            if unmet[stop]:
-                before = stop - length
-                if before == 0 or last[before] < 0 or self.stands(last[before], piece):
-                    last[stop], reach[stop], unmet[stop] = piece, length, False
-        parts, at = [], size
+            if last[stop] >= 0:
+                continue
+            before = last[stop - length]
+            if before >= 0:
+                key = before * kinds + piece
+                known = pairs.get(key)
+                if known is None:
+                    known = pairs[key] = self.stands(before, piece)
+                if not known:
+                    continue
+            last[stop] = piece
+        out, at = [], len(word)
         while at:
-            parts.append(self.ids[last[at]] if last[at] >= 0 else self._fallback(word[at - 1]))
-            at -= reach[at]
-        return [i for part in reversed(parts) for i in part]
-
-    def _looked_up(self, word: str) -> tuple[bytes, str]:
+            piece = last[at]
+            if piece >= 0:
+                out.extend(self.ids[piece][::-1])
+                at -= self.lengths[piece]
+            else:
+                out.extend(self._fallback(word[at - 1])[::-1])
+                at -= 1
+        out.reverse()
+        return out
+
+    def _looked_up(self, word: str) -> bytes:
         known = self.words.get(word)
         if known is None:
-            ids = self.encode_word(word)
-            known = np.array(ids, np.int32).tobytes(), self._surface_of(ids)
+            known = array("i", self.encode_word(word)).tobytes()
             if len(word) <= MEMORY_LENGTH:
                 if len(self.words) >= MEMORY_WORDS:
                     self.words.clear()
                 self.words[word] = known
         return known
 
-    def _surface_of(self, ids: Iterable[int]) -> str:
-        return _lenient(b"".join(self.surface.get(i, b"") for i in ids))
-
     def encode(self, text: str, end: bool = False) -> np.ndarray:
-        return self.both(text, end)[0]
+        """Ids of a text, with the end id if wanted."""
+        raw = b"".join([self._looked_up(w) for w in self.stretches.findall(MARK + text.replace(" ", MARK))]) if text else b""
+        if end:
+            raw += array("i", [self.end]).tobytes()
+        return np.frombuffer(raw, np.int32)
 
-    def decode(self, ids: Iterable[int]) -> str:
+    def decode(self, ids: list[int]) -> str:
         """Text of any ids; control ids have none, and the mark that encoding puts in front goes."""
-        whole = self._surface_of(ids)
-        return whole[1:] if whole.startswith(" ") else whole
-
-    def both(self, text: str, end: bool = False) -> tuple[np.ndarray, str]:
-        """Ids of a text and the text they decode to.
-
-        Words are decoded one by one: bytes that stand for one character never lie in two words.
-        """
-        found = [self._looked_up(w) for w in _MARKED_WORD.findall(MARK + text.replace(" ", MARK))] if text else []
-        raw = b"".join([ids for ids, _ in found])
-        if end:
-            raw += np.array([self.end], np.int32).tobytes()
-        return np.frombuffer(raw, np.int32), "".join([surface for _, surface in found])[1:]
+        surface = self.surface
+        first = next((i for i in ids if i in surface), None)
+        raw = b"".join([surface.get(i, b"") for i in ids])
+        return _lenient(raw[1:] if first in self.marked else raw)
 
 
 def _lenient(raw: bytes) -> str:
@@ -227,7 +231,8 @@ def encoded(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col:
         for batch in batches:
             ids, arrays, texts, size = [], [], [], 0
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                own, surface = codec.both(text or "", end=True)
+                own = codec.encode(text or "", end=True)
+                surface = codec.decode(own.tolist())
                 ids.append(doc_id)
                 arrays.append(own)
                 texts.append(surface)
@@ -249,7 +254,7 @@ def decoded(rows: DataFrame, model_path: str, ids_col: str = "ids", into: str =
     @F.pandas_udf("string")
     def text_of(ids):
         codec = _codec(model_path, shared)
-        return ids.map(lambda own: None if own is None else codec.decode(own))
+        return ids.map(lambda own: None if own is None else codec.decode(list(own)))
 
     return rows.withColumn(into, text_of(F.col(f"`{ids_col}`")))
 
