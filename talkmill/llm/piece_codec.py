@@ -17,6 +17,7 @@ import re
 import sys
 from array import array
 from collections.abc import Iterator
+from itertools import groupby
 from types import ModuleType
 
 import ahocorasick
@@ -183,9 +184,15 @@ class PieceCodec:
     def decode(self, ids: list[int]) -> str:
         """Text of any ids; control ids have none, and the mark that encoding puts in front goes."""
         surface = self.surface
+        shown = ids[:-1] if ids and ids[-1] == self.end else ids
+        try:
+            runs = [b"".join([surface[i] for i in shown])]
+        except KeyError:  # bytes on both sides of a control id make no character
+            runs = [b"".join([surface[i] for i in run]) for known, run in groupby(ids, surface.__contains__) if known]
         first = next((i for i in ids if i in surface), None)
-        raw = b"".join([surface.get(i, b"") for i in ids])
-        return _lenient(raw[1:] if first in self.marked else raw)
+        if first in self.marked:
+            runs[0] = runs[0][1:]
+        return "".join(map(_lenient, runs))
 
 
 def _lenient(raw: bytes) -> str:
