@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+from py4j.protocol import Py4JJavaError
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
+from talkmill.sources.mixed import cannot_merge, read_mixed
+
 BOM = "\ufeff"
 
 
@@ -29,23 +32,32 @@ def scan_parquet_glob(spark: SparkSession, directory: str, pattern: str, schema:
                       provenance: bool = False) -> DataFrame:
     """All files of a folder that match a pattern as one table, missing columns null.
 
-    A missing folder or no match gives an empty table. ``provenance`` adds the file and the
-    row position in it, which makes "first copy" well defined.
+    Files may differ in the types of their columns: these get a common type, or that of ``schema``,
+    and a value it does not hold stops the job. A missing folder or no match gives an empty table.
+    ``provenance`` adds the file and the row position in it, which makes "first copy" well defined.
     """
-    reader = spark.read.option("pathGlobFilter", pattern).option("mergeSchema", "true")
-    if schema is not None:
-        reader = reader.schema(schema)
+    matching = spark.read.option("pathGlobFilter", pattern)
+    origin = [F.col("_metadata.file_path").alias("source_file"), F.col("_metadata.row_index").alias("source_row")] if provenance else []
     try:
-        df = reader.parquet(directory)
+        df = matching.option("mergeSchema", "true").parquet(directory)
+        merges = schema is None or all(df.schema[f.name].dataType == f.dataType for f in schema.fields if f.name in df.columns)
     except AnalysisException as error:
         if not nothing_there(error):
             raise
         df = _empty(spark, schema)
         extra = {"source_file": F.lit("").cast("string"), "source_row": F.lit(0).cast("bigint")}
         return df.withColumns(extra) if provenance else df
-    if provenance:
-        df = df.select("*", F.col("_metadata.file_path").alias("source_file"), F.col("_metadata.row_index").alias("source_row"))
-    return df
+    except Py4JJavaError as error:
+        if not cannot_merge(error):
+            raise
+        merges = False
+    if merges:
+        if schema is not None:
+            df = matching.schema(schema).parquet(directory)
+        return df.select("*", *origin)
+    paths = [r["path"] for r in list_files(spark, directory, pattern).select("path").collect()]
+    base = None if any(c in directory for c in "*?[{") else directory
+    return read_mixed(spark, paths, schema, base, lambda scan: origin)
 
 
 def list_files(spark: SparkSession, directory: str, pattern: str) -> DataFrame:
