@@ -1,67 +1,28 @@
 """Dictionary-based English rendering of romanised text.
 
-The dictionary is a parameter (romanised word or phrase -> English), kept by the user as
-a table; :func:`talkmill.sources.files.load_dictionary` reads one.
+The dictionary is a parameter (romanised word or phrase -> English), kept by the user as a table:
+see :func:`talkmill.sources.files.dictionary_table` and :mod:`talkmill.operators.matching`, which
+takes tables of any size. The functions here are columns, for dictionaries the driver holds.
 """
 
 from __future__ import annotations
 
-import re
+from pyspark.sql import Column, SparkSession, functions as F
 
-from pyspark.sql import Column, functions as F
-
-from talkmill.functions import patterns as P
+from talkmill.functions.keywords import Keywords
 from talkmill.functions.text import strip, words
 
-# A dictionary travels inside the plan as literals, so its size is checked.
-MAX_ENTRIES = 5000
-
-
-def _checked(dictionary: dict[str, str]) -> dict[str, str]:
-    if len(dictionary) > MAX_ENTRIES:
-        raise ValueError(f"dictionary has {len(dictionary)} entries, more than {MAX_ENTRIES}")
-    return {key.lower(): value for key, value in dictionary.items()}
 
-
-def _literal_map(entries: dict[str, str]) -> Column:
-    pairs = [F.lit(item) for pair in entries.items() for item in pair]
-    return F.create_map(*pairs)
+def _entries(dictionary: dict[str, str]) -> Keywords:
+    return Keywords(SparkSession.active(), {key.lower(): value for key, value in dictionary.items()}, whole_words=True)
 
 
 def normalize_romanized(c: Column, dictionary: dict[str, str]) -> Column:
-    """Lower-case the text and replace whole phrases (longest first), then whole words."""
-    entries = _checked(dictionary)
-    phrases = sorted((k for k in entries if " " in k), key=len, reverse=True)
-    singles = {k: v for k, v in entries.items() if " " not in k}
-
-    result = F.lower(c)
-    for phrase in phrases:
-        bounded = rf"(?<![{P.WORD}]){re.escape(phrase)}(?![{P.WORD}])"
-        literal = re.sub(r"([\\$])", r"\\\1", entries[phrase])
-        result = F.regexp_replace(result, bounded, literal)
-    if singles:
-        runs = F.regexp_extract_all(result, F.lit(rf"{P.WORD_RUN}|[^{P.WORD}]+"), 0)
-        known = list(singles)
-        table = _literal_map(singles)
-        # The hash-set test comes first: only known words pay for the map lookup.
-        result = F.array_join(
-            F.transform(runs, lambda t: F.when(t.isin(known), table[t]).otherwise(t)), ""
-        )
-    return F.when(strip(c) == "", c).otherwise(result)
+    """Lower-case the text and replace whole words and phrases: the leftmost, of those the longest."""
+    return F.when(strip(c) == "", c).otherwise(_entries(dictionary).replaced(F.lower(c)))
 
 
 def is_dictionary_dominated(c: Column, dictionary: dict[str, str], share: float = 0.15) -> Column:
     """At least ``share`` of the whitespace tokens are dictionary entries."""
-    known = list(_checked(dictionary))
-    if not known:
-        return F.lit(False)
     tokens = words(F.lower(c))
-    hits = F.aggregate(
-        tokens,
-        F.struct(F.lit(0).alias("hit"), F.lit(0).alias("all")),
-        lambda acc, t: F.struct(
-            (acc["hit"] + t.isin(known).cast("int")).alias("hit"), (acc["all"] + 1).alias("all")
-        ),
-        lambda acc: F.when(acc["all"] == 0, F.lit(False)).otherwise(acc["hit"] / acc["all"] >= share),
-    )
-    return F.coalesce(hits, F.lit(False))
+    return F.coalesce((F.size(tokens) > 0) & (_entries(dictionary).token_hits(tokens) / F.size(tokens) >= share), F.lit(False))

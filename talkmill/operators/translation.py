@@ -15,9 +15,9 @@ from talkmill import schemas as S
 from talkmill.functions import flags as G
 from talkmill.functions.binding import with_computed
 from talkmill.functions.language import detect_script_code, language_code
-from talkmill.functions.romanized import normalize_romanized
 from talkmill.functions.text import bigram_jaccard, clean_text, strip, word_count
 from talkmill.operators.language_audit import language_distribution
+from talkmill.operators.matching import replace_phrases
 
 CODE, TRANSLATION, FAILED = "source_code", "translation", "translation_failed"
 SIMILAR = 0.85
@@ -84,11 +84,13 @@ def translate_with(df: DataFrame, translate: Callable[[list[str], str], list[str
     return df.mapInPandas(run, out)
 
 
-def gate_and_fallback(df: DataFrame, dictionary: dict[str, str], text: str = S.TEXT, language: str = S.LANGUAGE) -> DataFrame:
+def gate_and_fallback(df: DataFrame, dictionary: dict[str, str] | DataFrame, text: str = S.TEXT, language: str = S.LANGUAGE,
+                      key: str | None = None) -> DataFrame:
     """Decide per translated row: accept, render by dictionary, or mark as removed.
 
     No code or a blank result is removed; a result too similar to its input is rendered
-    by dictionary for romanised languages and removed for others.
+    by dictionary for romanised languages and removed for others. The dictionary is a dict or a
+    (source, english) table; a very large table also needs ``key``.
     """
     label = F.lower(strip(F.col(language)))
     result = strip(F.col(TRANSLATION))
@@ -97,13 +99,15 @@ def gate_and_fallback(df: DataFrame, dictionary: dict[str, str], text: str = S.T
         ~blank, bigram_jaccard(F.coalesce(F.col(text), F.lit("")), result) > SIMILAR
     )})
     same, romanized = F.col("_same"), F.coalesce(label.isin(ROMANIZED), F.lit(False))
+    # Only these texts go to the Python worker; the others are sent as null.
+    rendered = replace_phrases(gated.withColumn("_romanized", F.when(same & romanized, F.col(text))), dictionary, "_romanized", "_rendered", key)
     accepted = (
         F.when(blank, F.lit(None))
-        .when(same & romanized, normalize_romanized(F.col(text), dictionary))
+        .when(same & romanized, F.col("_rendered"))
         .when(same, F.lit(None))
         .otherwise(result)
     )
-    out = with_computed(gated, {"_accepted": accepted})
+    out = with_computed(rendered, {"_accepted": accepted}).drop("_romanized", "_rendered")
     out = with_computed(out, {S.CLEANED: clean_text(F.col("_accepted"))})
     return out.withColumns({
         S.IS_TRANSLATED: F.col("_accepted").isNotNull(),
@@ -111,7 +115,7 @@ def gate_and_fallback(df: DataFrame, dictionary: dict[str, str], text: str = S.T
     }).drop("_same", "_accepted", CODE, TRANSLATION)
 
 
-def translate_comments(df: DataFrame, translate: Callable[[DataFrame], DataFrame], dictionary: dict[str, str], key: str,
+def translate_comments(df: DataFrame, translate: Callable[[DataFrame], DataFrame], dictionary: dict[str, str] | DataFrame, key: str,
                        text: str = S.TEXT, language: str = S.LANGUAGE) -> DataFrame:
     """English rows unchanged, the others translated; ``translate`` adds ``translation``."""
     flagged = with_flags(df)
@@ -121,7 +125,7 @@ def translate_comments(df: DataFrame, translate: Callable[[DataFrame], DataFrame
         flagged = flagged.withColumn(S.CLEANED, F.lit(""))
     english = flagged.filter(F.coalesce(F.lower(F.col(language)), F.lit("")) == "english")
     routed = resolve_source_code(route_non_english(flagged, language), key, text, language)
-    done = gate_and_fallback(translate(routed), dictionary, text, language)
+    done = gate_and_fallback(translate(routed), dictionary, text, language, key)
     return english.unionByName(done.select(*flagged.columns))
 
 

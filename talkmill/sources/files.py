@@ -138,11 +138,16 @@ def skip_processed(incoming: DataFrame, processed: DataFrame, slug: str = "produ
     return incoming.join(processed.select(slug).distinct(), slug, "left_anti")
 
 
-def load_dictionary(spark: SparkSession, path: str, max_entries: int = 5000) -> dict[str, str]:
-    """Dictionary table (source, english) as a dict; its size is checked before it is collected."""
-    rows = spark.read.option("header", True).csv(path).select("source", "english").limit(max_entries + 1).collect()
+def dictionary_table(spark: SparkSession, path: str) -> DataFrame:
+    """Dictionary of any size: a CSV table (source, english) of words and phrases."""
+    return scan_csv(spark, path, T._parse_datatype_string("source string, english string"))
+
+
+def load_dictionary(spark: SparkSession, path: str, max_entries: int = 500_000) -> dict[str, str]:
+    """A dictionary table as a dict for the column functions; its size is checked before it is collected."""
+    rows = dictionary_table(spark, path).limit(max_entries + 1).collect()
     if len(rows) > max_entries:
-        raise ValueError(f"dictionary has more than {max_entries} entries")
+        raise ValueError(f"dictionary has more than {max_entries} entries: pass dictionary_table() instead")
     return {r["source"]: r["english"] for r in rows}
 
 
