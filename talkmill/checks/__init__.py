@@ -4,7 +4,7 @@ from __future__ import annotations
 
 
 def all_queries() -> dict:
-    from talkmill.checks import job_queries, table_queries, text_queries  # noqa: F401 - they register their queries
+    from talkmill.checks import job_queries, matching_queries, table_queries, text_queries  # noqa: F401 - they register their queries
     from talkmill.checks.registry import REGISTRY
 
     return dict(REGISTRY)
