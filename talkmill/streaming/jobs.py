@@ -2,14 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from talkmill import schemas as S
 from talkmill.operators.cleaning import preprocess_comments
 from talkmill.operators.dedup import keep_first
 from talkmill.operators.language_audit import add_detected_language
-from talkmill.sources.files import nothing_there
 
 
 def read_landed(spark: SparkSession, directory: str, schema: T.StructType, pattern: str = "*.parquet",
@@ -44,24 +42,37 @@ def incremental_ingest(comments: DataFrame, out: str, checkpoint: str, text: str
     run_available(detect_clean_filter(spread, text), out, checkpoint)
 
 
-def stream_dedup(stream: DataFrame, key: str, out: str, checkpoint: str, order: list[str] = ()) -> None:
+def _key_state(spark: SparkSession) -> None:
+    """Keep streaming state in RocksDB: on disk, read by key, not held in memory."""
+    if not spark.conf.get("spark.sql.streaming.stateStore.providerClass", "").endswith("RocksDBStateStoreProvider"):
+        spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+
+
+def stream_dedup(stream: DataFrame, key: str, out: str, checkpoint: str, order: list[str] = (), state_partitions: int | None = None) -> None:
     """Append the first copy of every key to a table exactly once, however late it comes.
 
-    A batch keeps its first row per key (by ``order``) and drops keys that earlier batches have
-    written; the table itself is the memory, so there is no watermark to fall behind. Every
-    batch has a folder, which a repeated batch overwrites.
+    Two steps per batch. First the batch keeps its first row per key (by ``order``) and lands it in
+    a folder of its own, which a repeated batch overwrites. Then a second query takes what has
+    landed and drops keys it has seen before: its state holds the keys alone, in RocksDB, so a
+    batch costs the same however much has been written, and there is no watermark to fall behind.
+    A batch that is run again after a failure lands rows whose keys are in the state already.
+    ``state_partitions`` is fixed by the first run of a checkpoint; a null key is a key.
     """
+    spark, schema = stream.sparkSession, stream.schema
+    _key_state(spark)
+    landed = f"{checkpoint}/firsts"
+
     def write(batch: DataFrame, number: int) -> None:
-        fresh = keep_first(batch, key, [F.col(c) for c in order or [c for c in batch.columns if c != key]])
-        try:
-            written = batch.sparkSession.read.parquet(out).filter(F.col("batch") < number).select(key)
-            fresh = fresh.join(written, fresh[key].eqNullSafe(written[key]), "left_anti")
-        except AnalysisException as error:
-            if not nothing_there(error):
-                raise
-        fresh.write.mode("overwrite").parquet(f"{out}/batch={number}")
-
-    (
-        stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True)
-        .start().awaitTermination()
-    )
+        session = batch.sparkSession
+        keep_first(batch, key, [F.col(c) for c in order or [c for c in batch.columns if c != key]]).write.mode("overwrite").parquet(f"{landed}/{number:012d}")
+        fresh = session.readStream.schema(schema).option("recursiveFileLookup", "true").option("cleanSource", "delete").parquet(landed).dropDuplicates([key])
+        fresh.writeStream.format("parquet").outputMode("append").option("checkpointLocation", f"{checkpoint}/keys").option("path", out).trigger(
+            availableNow=True).start().awaitTermination()
+
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        if state_partitions is not None:
+            spark.conf.set("spark.sql.shuffle.partitions", str(state_partitions))
+        stream.writeStream.foreachBatch(write).option("checkpointLocation", f"{checkpoint}/batches").trigger(availableNow=True).start().awaitTermination()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
