@@ -27,7 +27,7 @@ from talkmill.llm.common import by_value, free_name, same, staged
 by_value(__name__)
 
 #: Split points of a node; a node with so many points or fewer has no children.
-DEGREE = 12
+DEGREE = 24
 #: Roots are compared with this relative allowance; their rounding errors are near 2^-53.
 SLACK = 2.0 ** -40
 
@@ -35,12 +35,19 @@ SUMS = "part int, entry int, n long, sums array<long>"
 CODES = "vec_id long, label {label}, code string, error long"
 
 
+def _bound(queries: np.ndarray, points: np.ndarray) -> int:
+    """No squared distance, nor a term of one, is larger."""
+    if not queries.size or not points.size:
+        return 0
+    widest = 2 * max(int(queries.max()), -int(queries.min()), int(points.max()), -int(points.min()))
+    return queries.shape[1] * widest * widest
+
+
 def squares(queries: np.ndarray, points: np.ndarray) -> np.ndarray:
     """Exact squared distances of all queries to a few points, as integers."""
     if not queries.size or not points.size:
         return np.zeros((len(queries), len(points)), np.int64)
-    widest = 2 * max(int(queries.max()), -int(queries.min()), int(points.max()), -int(points.min()))
-    bound = queries.shape[1] * widest * widest
+    bound = _bound(queries, points)
     if bound < 1 << 53:  # every term and sum is a whole number that doubles hold exactly
         q, p = queries.astype(np.float64), points.astype(np.float64)
         return ((q * q).sum(1)[:, None] - 2 * (q @ p.T) + (p * p).sum(1)).astype(np.int64)
@@ -83,33 +90,52 @@ class Gnat:
 
     def nearest(self, queries: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Per query the index of the nearest point, lowest on ties, and its squared distance."""
-        best = np.full(len(queries), np.iinfo(np.int64).max)
         where = np.zeros(len(queries), np.int64)
-        if len(queries):
-            self._search(self.root, queries, np.arange(len(queries)), best, where)
-        return where, best
-
-    def _search(self, node: tuple, queries: np.ndarray, rows: np.ndarray, best: np.ndarray, where: np.ndarray) -> None:
+        if not len(queries):
+            return where, where
+        points = self.points
+        if _bound(queries, points) < 1 << 53:
+            # Whole numbers in doubles: products are fast, sums and comparisons stay exact.
+            q, p = queries.astype(np.float64), points.astype(np.float64)
+            q_norm, p_norm, best = (q * q).sum(1), (p * p).sum(1), np.full(len(queries), np.inf)
+
+            def away(rows: np.ndarray, chosen: np.ndarray) -> np.ndarray:
+                out = q[rows] @ p[chosen].T
+                out *= -2
+                out += q_norm[rows, None]
+                out += p_norm[chosen]
+                return out
+        else:
+            best = np.full(len(queries), np.iinfo(np.int64).max)
+
+            def away(rows: np.ndarray, chosen: np.ndarray) -> np.ndarray:
+                return squares(queries[rows], points[chosen])
+
+        self._search(self.root, away, np.arange(len(queries)), best, where)
+        return where, best.astype(np.int64)
+
+    def _search(self, node: tuple, distances, rows: np.ndarray, best: np.ndarray, where: np.ndarray) -> None:
         chosen, children, low, high = node
-        away = squares(queries[rows], self.points[chosen])
+        away = distances(rows, chosen)
         first = away.argmin(1)  # members ascend, so this is the lowest index among equals
         found, index = away[np.arange(len(rows)), first], chosen[first]
         better = (found < best[rows]) | ((found == best[rows]) & (index < where[rows]))
         best[rows[better]], where[rows[better]] = found[better], index[better]
         if children is None:
             return
-        away = np.sqrt(away)
+        away, radius = np.sqrt(away), np.sqrt(found)
         for nearest_first in (True, False):
             for j, child in enumerate(children):
                 if child is None:
                     continue
                 asked = np.flatnonzero((first == j) == nearest_first)
-                d, r = away[asked], np.sqrt(best[rows[asked]])[:, None]
-                allowance = (d + r + high[j]) * SLACK
-                out = ((d - r > high[j] + allowance) | (d + r < low[j] - allowance)).any(1)
+                # The child's own split point and the one nearest to the query decide; testing the others costs more than it saves.
+                own, near, r, by = away[asked, j], radius[asked], np.sqrt(best[rows[asked]]), first[asked]
+                allowance = (own + near + r + high[j].max()) * SLACK
+                out = (own - r > high[j, j] + allowance) | (near + r < low[j, by] - allowance) | (near - r > high[j, by] + allowance)
                 asked = asked[~out]
                 if len(asked):
-                    self._search(child, queries, rows[asked], best, where)
+                    self._search(child, distances, rows[asked], best, where)
 
 
 def _matrix(column: pa.Array, parts: int, width: int) -> np.ndarray:

@@ -88,7 +88,7 @@ def test_large_components_are_exact_or_refused(spark):
 
 
 @settings(max_examples=80, deadline=None)
-@given(st.integers(0, 10**6), st.integers(1, 256), st.integers(1, 6), st.sampled_from([1, 3, 40, 5000]))
+@given(st.integers(0, 10**6), st.integers(1, 256), st.integers(1, 6), st.sampled_from([1, 3, 40, 5000, 10**8]))
 def test_tree_finds_what_a_full_search_finds(seed, n, width, spread):
     rng = np.random.default_rng(seed)
     points, queries = rng.integers(-spread, spread + 1, (n, width)), rng.integers(-spread, spread + 1, (200, width))
@@ -104,10 +104,10 @@ def test_subtrees_are_left_out():
     tree, asked = Gnat(points), 0
     plain = tree._search
 
-    def counted(node, queries, rows, best, where):
+    def counted(node, distances, rows, best, where):
         nonlocal asked
         asked += len(rows) * len(node[0])
-        plain(node, queries, rows, best, where)
+        plain(node, distances, rows, best, where)
 
     tree._search = counted
     tree.nearest(points + 1)
