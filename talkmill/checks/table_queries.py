@@ -47,6 +47,7 @@ register("latest_dataset", _latest, "SELECT r_regionkey, r_name FROM region")
 
 
 def _csv_round_trip(t):
+    """All texts, with their line breaks and quotes, through files that many tasks cut and read."""
     out = run_dir(t.spark, "csv")
     files.write_csv(t.comments.select("comment_id", "comment_text", "like_count"), out)
     return files.scan_csv(t.spark, out).select("comment_id", raw().alias("comment_text"), F.col("like_count").cast("bigint").alias("like_count"))
@@ -57,23 +58,28 @@ register("scan_csv", _csv_round_trip, Q.with_comments(
     "SELECT comment_id, nullif(comment_text, '') AS comment_text, like_count FROM comments"))
 
 
-def _csv_bytes(t):
+def _csv_files(t):
+    """Everything written, read back by the plain reader of whole files, and the first bytes of every file."""
     out = run_dir(t.spark, "bom")
-    files.write_csv(t.comments.select("comment_id", "comment_text"), out)
+    written = t.comments.select("comment_id", "comment_text", "product_query")
+    files.write_csv(written, out)
+    plain = t.spark.read.option("header", True).option("multiLine", True).option("escape", '"').option("enforceSchema", True)
+    back = plain.schema(written.schema).csv(out).select("comment_id", F.md5(F.coalesce("comment_text", F.lit(""))).alias("text"), "product_query")
     parts = t.spark.read.format("binaryFile").option("pathGlobFilter", "*.csv").load(out)
-    return parts.select(F.hex(F.substring("content", 1, 3)).alias("mark")).distinct()
+    marks = parts.select(F.lit("file").alias("comment_id"), F.hex(F.substring("content", 1, 3)).alias("text"), F.lit(None).cast("string").alias("product_query")).distinct()
+    return back.union(marks)
 
 
-register("write_csv", _csv_bytes, "SELECT 'EFBBBF' AS mark FROM documents GROUP BY 1")
+register("write_csv", _csv_files, Q.with_comments("SELECT comment_id, md5(coalesce(comment_text, '')) AS text, product_query FROM comments UNION ALL SELECT 'file', 'EFBBBF', NULL"))
 
 
 def _partitioned(t):
     out = run_dir(t.spark, "parquet")
     files.write_parquet(t.comments.withColumn("product_slug", T.product_slug(F.col("product_query"))), out, ["product_slug"])
-    return t.spark.read.parquet(out).filter(F.col("product_slug") == "steam_deck").select("comment_id", "product_query")
+    return t.spark.read.parquet(out).select("comment_id", "product_query", F.col("product_slug").cast("string").alias("product_slug"), F.md5("comment_text").alias("text"), "like_count")
 
 
-register("write_parquet", _partitioned, Q.with_comments("SELECT comment_id, product_query FROM comments WHERE product_query = 'Steam Deck'"))
+register("write_parquet", _partitioned, Q.with_comments(f"SELECT comment_id, product_query, {Q.slug('product_query')} AS product_slug, md5(comment_text) AS text, like_count FROM comments"))
 
 
 def _report(t):

@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from py4j.protocol import Py4JJavaError
 from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, functions as F, types as T
 
+from talkmill.session import run_dir
+from talkmill.sources import split_csv
 from talkmill.sources.mixed import cannot_merge, read_mixed
 
 BOM = "\ufeff"
@@ -95,13 +97,20 @@ def latest_dataset(spark: SparkSession, directory: str, pattern: str) -> DataFra
 
 
 def scan_csv(spark: SparkSession, path: str, schema: T.StructType | None = None) -> DataFrame:
-    """CSV with header; quoted fields may span lines and contain quotes."""
-    reader = spark.read.option("header", True).option("multiLine", True).option("escape", '"')
+    """CSV with header; quoted fields may span lines and contain quotes.
+
+    Large files are read by many tasks: see :mod:`talkmill.sources.split_csv`. Without a schema the
+    types are found while the parsed text is written to the shared folder once; what follows
+    reads that table.
+    """
+    records, names = split_csv.csv_records(spark, path), split_csv.header(spark, path)
     if schema is not None:
-        return reader.schema(schema).option("enforceSchema", True).csv(path)
-    df = reader.option("inferSchema", True).csv(path)
-    first = df.columns[0]
-    return df.withColumnRenamed(first, first.lstrip(BOM)) if first.startswith(BOM) else df
+        return split_csv.parsed(records, schema)
+    plain = split_csv.parsed(records, T.StructType([T.StructField(n, T.StringType()) for n in names]))
+    seen, at = Observation("csv types"), run_dir(spark, "csv")
+    plain.observe(seen, *split_csv.type_tests(names)).write.parquet(at)
+    kinds = split_csv.found_types(names, seen.get)
+    return spark.read.schema(plain.schema).parquet(at).select(*[F.col(f"`{n}`").cast(k).alias(n) for n, k in zip(names, kinds)])
 
 
 def write_parquet(df: DataFrame, path: str, partition_by: list[str] = (), mode: str = "overwrite") -> None:
