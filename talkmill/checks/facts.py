@@ -39,3 +39,14 @@ def sql_facts(report: str, source: str, key: str, columns: dict[str, str], float
         return f"CAST(CAST(round(CAST({expression} AS DOUBLE), 6) + 0.0 AS DECIMAL(28,6)) AS VARCHAR)" if name in floating else f"CAST({expression} AS VARCHAR)"
 
     return " UNION ALL ".join(f"SELECT {lit(report)} AS report, {key} AS key, {lit(n)} AS name, {value(n, e)} AS value FROM {source}" for n, e in columns.items())
+
+
+def row_facts(df: DataFrame, report: str, columns: list[str]) -> DataFrame:
+    """Tables without a key: one row per row, its values joined by bars."""
+    value = F.concat_ws("|", *[F.coalesce(_text(F.col(f"`{c}`"), df.schema[c].dataType), F.lit("-")) for c in columns])
+    return df.select(F.lit(report).alias("report"), F.lit("").alias("key"), F.lit("row").alias("name"), value.alias("value"))
+
+
+def sql_row_facts(report: str, source: str, expressions: list[str]) -> str:
+    value = "concat_ws('|', " + ", ".join(f"coalesce(CAST({e} AS VARCHAR), '-')" for e in expressions) + ")"
+    return f"SELECT {lit(report)} AS report, '' AS key, 'row' AS name, {value} AS value FROM {source}"

@@ -35,10 +35,10 @@ _STOP = ["the", "of", "and", "is", "to", "in", "le", "la", "de", "der", "die", "
 def _valence(t):
     """A valence table from the corpus itself: terms weighted by how their rows are labelled."""
     words = TE.term_counts(t.documents, "text", 1, _STOP)
-    return words.filter("n >= 50").select(F.col("term").alias("token"), (F.col("n") % 7 - 3).alias("valence"))
+    return words.select(F.col("term").alias("token"), (F.col("n") % 7 - 3).alias("valence"))
 
 
-_VALENCE_SQL = f"""valence AS (SELECT term AS token, n % 7 - 3 AS v FROM (SELECT term, count(*) AS n FROM (SELECT unnest({Q.terms('text', _STOP)}) AS term FROM documents) GROUP BY 1) WHERE n >= 50),
+_VALENCE_SQL = f"""valence AS (SELECT term AS token, n % 7 - 3 AS v FROM (SELECT term, count(*) AS n FROM (SELECT unnest({Q.terms('text', _STOP)}) AS term FROM documents) GROUP BY 1)),
   hit AS (SELECT comment_id, sum(v)::DOUBLE AS s FROM (SELECT comment_id, unnest({Q.terms('comment_text')}) AS token FROM comments) JOIN valence USING (token) GROUP BY 1),
   comp AS (SELECT comment_id, coalesce(s, 0::DOUBLE) AS valence_sum, coalesce(s, 0::DOUBLE) / sqrt(coalesce(s, 0::DOUBLE) * coalesce(s, 0::DOUBLE) + 15.0::DOUBLE) AS compound FROM comments LEFT JOIN hit USING (comment_id))"""
 register("lexicon_compound", lambda t: I.lexicon_compound(t.comments, _valence(t), "comment_id", "comment_text"), Q.with_comments(
@@ -73,20 +73,6 @@ register("sample_comments_two_pass", lambda t: I.sample_comments(
        FROM scored WHERE comment_text IS NOT NULL) WHERE r <= 5"""))
 
 
-def _insights(t):
-    done = I.product_insights(t.comments, text="comment_text")
-    sentiments = F.array_join(F.transform(F.map_entries("sentiment_distribution"), lambda e: F.concat_ws(":", e["key"], e["value"]["count"])), ",")
-    rivals = F.array_join(F.transform("competitor_mentions", lambda r: F.concat_ws(":", r["competitor"], r["mentions"])), ",")
-    shown = F.aggregate(F.map_values("sample_comments"), F.lit(0), lambda n, texts: n + F.size(texts))
-    return done.select("product", "total_comments", sentiments.alias("sentiments"), rivals.alias("rivals"), shown.alias("examples"))
-
-
-register("product_insights", _insights, Q.with_scored(
-    """SELECT product_query AS product, (SELECT count(*) FROM comments c WHERE c.product_query = p.product_query) AS total_comments,
-       (SELECT string_agg(s || ':' || n, ',' ORDER BY s) FROM (SELECT lower(predicted_sentiment) AS s, count(*) AS n FROM scored q WHERE q.product_query = p.product_query GROUP BY 1)) AS sentiments,
-       (SELECT string_agg(competitor || ':' || mentions, ',' ORDER BY r) FROM mentioned m WHERE m.product_query = p.product_query AND r <= 10) AS rivals,
-       (SELECT CAST(sum(least(n, 5)) AS BIGINT) FROM (SELECT predicted_sentiment, count(comment_text) AS n FROM scored q WHERE q.product_query = p.product_query GROUP BY 1)) AS examples
-       FROM (SELECT DISTINCT product_query FROM comments) p""", _COMPETITORS, _MENTIONS))
 register("insight_summary", lambda t: I.insight_summary(t.comments, text="comment_text").select("product_query", "total_comments", "positive", "negative", "competitor", "mentions"), Q.with_scored(
     """SELECT product_query, count(*) AS total_comments, count(*) FILTER (predicted_sentiment = 'Positive') AS positive, count(*) FILTER (predicted_sentiment = 'Negative') AS negative,
        max(m.competitor) AS competitor, max(m.mentions) AS mentions FROM scored LEFT JOIN (SELECT product_query, competitor, mentions FROM mentioned WHERE r = 1) m USING (product_query) GROUP BY 1""", _COMPETITORS, _MENTIONS))
@@ -237,26 +223,6 @@ register("language_after_cleanup", lambda t: TR.language_after_cleanup(_translat
 # --- composite jobs ----------------------------------------------------------------
 register("preprocess_comments", lambda t: jobs.preprocess(t.comments).table.select("comment_id", S.CLEANED, "product_query"),
          Q.with_flagged("SELECT comment_id, cleaned_comment_text, product_query FROM flagged WHERE NOT is_removed_by_cleaning"))
-register("language_audit", lambda t: jobs.language_audit(t.comments).table.select("comment_id", "detected_language"),
-         Q.with_comments("SELECT comment_id, detected_language FROM det", _DETECTED))
-register("translate_and_cleanup", lambda t: TR.final_cleanup(_translated(t)).select("comment_id", S.CLEANED), Q.with_comments(
-    "SELECT comment_id, cleaned_comment_text FROM tidy WHERE NOT is_removed_in_final_cleanup", *_GATED))
-
-
-def _validation_job(t):
-    videos = t.pages.select((F.col("page_id") % 200).cast("string").alias("video_id"), F.col("url").alias("video_url"))
-    reports = jobs.validate(videos, t.comments)
-    return reports["video_validation"].withColumn("report", F.lit("video")).unionByName(
-        reports["comment_validation"].withColumn("report", F.lit("comment"))).filter("metric IN ('total_rows', 'duplicate_rows', 'empty_comments', 'invalid_urls')")
-
-
-register("validation_job", _validation_job, Q.with_comments(
-    """SELECT 'video' AS report, 'total_rows' AS metric, '' AS key, count(*)::DOUBLE AS value FROM pages UNION ALL SELECT 'video', 'invalid_urls', '', count(*) FILTER (NOT regexp_matches(url, '(?i)^https?://'))::DOUBLE FROM pages
-       UNION ALL SELECT 'video', 'duplicate_rows', 'video_id', coalesce(sum(n) FILTER (n > 1), 0)::DOUBLE FROM (SELECT page_id % 200, count(*) AS n FROM pages GROUP BY 1)
-       UNION ALL SELECT 'comment', 'total_rows', '', count(*)::DOUBLE FROM comments UNION ALL SELECT 'comment', 'empty_comments', '', count(*) FILTER (coalesce(comment_text, '') = '')::DOUBLE FROM comments
-       UNION ALL SELECT 'comment', 'duplicate_rows', 'comment_id', 0::DOUBLE FROM documents GROUP BY 1"""))
-
-
 def _video_side(t):
     return t.documents.filter(F.col("doc_id") % PER_VIDEO == 0).select(
         F.concat(F.lit("v"), F.expr(f"cast(doc_id div {PER_VIDEO} as string)")).alias("video_id"), F.col("lang").alias("title"), F.col("source").alias("channel_name"),
@@ -284,26 +250,6 @@ register("export_report", lambda t: _exported(t).reports["master"], Q.with_comme
        (SELECT count(*) FROM documents WHERE doc_id % 10 = 0) AS total_videos, count(*) AS duplicate_comments_removed FROM comments"""))
 
 
-def _processed(t):
-    landed = t.comments.select("comment_id", _landed().alias("translation"))
-    stage = jobs.process_products(t.comments.drop("text"), _video_side(t), lambda d: TR.apply_translations(d, landed, ["comment_id"]), DICTIONARY,
-                                  stage_dir=run_dir(t.spark, "process"))
-    return stage.table.select("comment_id", "product_query", S.CLEANED, "detected_language", "is_translated", "video_title")
-
-
-register("process_product", _processed, Q.with_comments(
-    f"""SELECT f.comment_id, f.product_query, coalesce(x.cleaned_comment_text, f.cleaned_comment_text) AS cleaned_comment_text, x.detected_language, x.is_translated, v.lang AS video_title
-        FROM flagged f JOIN (SELECT comment_id, detected_language, CASE WHEN detected_language <> 'english' THEN cleaned_comment_text END AS cleaned_comment_text, is_translated, is_removed_in_final_cleanup FROM tidy) x USING (comment_id)
-        LEFT JOIN documents v ON v.doc_id % 10 = 0 AND f.video_id = 'v' || (v.doc_id // 10) WHERE NOT f.is_removed_by_cleaning AND NOT (x.detected_language <> 'english' AND x.is_removed_in_final_cleanup)""",
-    Q.FLAGGED, *[part.replace("FROM det WHERE coalesce(comment_text", "FROM det SEMI JOIN (SELECT comment_id FROM flagged WHERE NOT is_removed_by_cleaning) USING (comment_id) WHERE coalesce(comment_text") for part in _GATED]))
-register("annotation_setup", lambda t: jobs.annotation_setup(t.comments, 40, 11).table.groupBy("product_query").agg(F.count("*").alias("n"), F.count_if(F.col("sentiment_label") == "").alias("blank")),
-         Q.with_comments("SELECT product_query, 2 AS n, 2 AS blank FROM comments GROUP BY 1"))
-register("annotation_analysis", lambda t: jobs.annotation_analysis(t.flagged_annotations.withColumn(S.CLEANED, raw()))["sentiment_by_aspect"], Q.with_annotated(
-    "SELECT aspect_label, " + ", ".join(f"count(*) FILTER (sentiment_label = {lit(s)}) AS {s.lower()}" for s in X.SENTIMENT_LABELS) + " FROM annotated WHERE aspect_label IS NOT NULL AND sentiment_label IS NOT NULL GROUP BY 1"))
-register("aspect_audit", lambda t: jobs.aspect_audit(t.annotated)["buckets"].select("aspect_label", "n", "bucket"), Q.with_annotated(
-    "SELECT aspect_label, count(*) AS n, CASE WHEN count(*) <= 10 THEN 'rare' WHEN count(*) <= 20 THEN 'low' ELSE 'adequate' END AS bucket FROM annotated WHERE aspect_label IS NOT NULL GROUP BY 1"))
-
-
 # --- streaming ----------------------------------------------------------------------
 def _ingest(t):
     out = run_dir(t.spark, "ingest")

@@ -464,7 +464,7 @@ register("cv_summary",
 
 # --- windows, top-k, samples --------------------------------------------------------
 register("keep_first_dedup", lambda t: dedup.keep_first(
-    t.documents.select("doc_id", F.when(F.col("doc_id") % 50 != 7, F.xxhash64("text").cast("string")).alias("k"), "text"), "k", [F.col("doc_id")]).select("doc_id", "text"),
+    t.documents.select("doc_id", F.when(F.col("doc_id") % 50 != 7, F.sha2("text", 256)).alias("k"), "text"), "k", [F.col("doc_id")]).select("doc_id", "text"),
     """SELECT doc_id, text FROM (SELECT *, row_number() OVER (PARTITION BY CASE WHEN doc_id % 50 <> 7 THEN text END ORDER BY doc_id) AS r FROM documents) WHERE r = 1""")
 register("dedup_removed", lambda t: dedup.removed_count(t.documents, "text"), "SELECT count(*) - count(DISTINCT text) AS removed FROM documents")
 register("top_examples_per_language", lambda t: L.top_examples(L.add_detected_language(t.comments), "comment_id"), Q.with_comments(
@@ -479,8 +479,6 @@ register("balanced_quota_sample", lambda t: SA.quota_choice(t.comments.withColum
            f"sizes AS (SELECT p, count(*) AS size, least({_SIZE}, sum(count(*)) OVER ()) AS target, count(p) OVER () AS products, row_number() OVER (ORDER BY p NULLS LAST) AS place FROM c GROUP BY p)",
            "quotas AS (SELECT p, target, CASE WHEN p IS NULL THEN 0 ELSE least(target // products + CASE WHEN place <= target % products THEN 1 ELSE 0 END, size) END AS quota FROM sizes)",
            "ranked AS (SELECT c.*, quota, row_number() OVER (PARTITION BY c.p ORDER BY h, comment_id) AS r FROM c JOIN quotas q ON c.p IS NOT DISTINCT FROM q.p)"))
-register("balanced_sample", lambda t: SA.balanced_sample(t.comments, "comment_id", 60).groupBy("product_query").agg(F.count("*").alias("n")),
-         Q.with_comments("SELECT product_query, 3 AS n FROM comments GROUP BY 1"))
 register("per_class_cap", lambda t: SA.per_class_cap(pseudo(t), "pseudo_aspect", "event_id", 150),
          f"WITH {PSEUDO_SQL} SELECT * EXCLUDE (r) FROM (SELECT *, row_number() OVER (PARTITION BY pseudo_aspect ORDER BY event_id) AS r FROM pseudo) WHERE r <= 150")
 register("top_longest_comments", lambda t: PR.top_longest(t.comments), Q.with_comments(
