@@ -11,7 +11,7 @@ from talkmill.checks.registry import register
 from talkmill.checks.text_queries import DICTIONARY, _normalized_sql
 from talkmill.functions import lexicons as X, sentiment as SE
 from talkmill.functions.competitors import extract_competitors
-from talkmill.operators import cleaning as C, insights as I, language_audit as L, learning as LE, metrics
+from talkmill.operators import cleaning as C, insights as I, language_audit as L
 from talkmill.operators import terms as TE, translation as TR
 from talkmill.plans import jobs
 from talkmill.session import run_dir
@@ -276,26 +276,3 @@ def _stream_dedup(t):
 
 
 register("stream_dedup", _stream_dedup, "SELECT DISTINCT event_id, event_type, user_id FROM events")
-
-# --- learning (no SQL: iterative) ------------------------------------------------------
-_CLF = LE.TextClassifier(text="text", label="lang")
-_LANGS = ["de", "en", "es", "fr"]
-
-
-def _labelled(t):
-    return t.documents.select("doc_id", "text", "lang", (F.col("n_chars") % 50).alias("comment_like_count"))
-
-
-def _seeds(t):
-    return _labelled(t).join(t.labels.select("doc_id"), "doc_id", "left_semi")
-
-
-register("train_text_classifier", lambda t: _CLF.predict(_CLF.train(_seeds(t)), _labelled(t)).groupBy("lang", "predicted").agg(F.count("*").alias("n")))
-register("predict_with_scores", lambda t: _CLF.predict_with_scores(_CLF.train(_seeds(t)), _labelled(t)).select(
-    "doc_id", "predicted", F.round("confidence", 3).alias("confidence"), F.size("scores").alias("classes")))
-register("cross_validate", lambda t: LE.cross_validation_summary(LE.cross_validate(_CLF, _seeds(t), "doc_id"), "lang"))
-register("evaluate_holdout", lambda t: LE.evaluate_holdout(_CLF, _labelled(t), "doc_id", _LANGS))
-register("like_weighted_training", lambda t: metrics.overall_metrics(
-    _CLF.predict(_CLF.train(LE.like_weighted(_seeds(t)), "sample", "sample_weight"), _labelled(t)), "lang", "predicted", _LANGS))
-register("pseudo_label", lambda t: LE.pseudo_label_and_retrain(_CLF, _seeds(t), _labelled(t), "doc_id")[1].groupBy("source", "lang").agg(F.count("*").alias("n")))
-register("self_train", lambda t: LE.self_train(_CLF, _seeds(t), LE.unlabeled(_labelled(t), t.labels, "doc_id"), "doc_id")[1].groupBy("lang").agg(F.count("*").alias("n")))
