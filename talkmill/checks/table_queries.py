@@ -362,6 +362,10 @@ _DESCRIBE = """SELECT CAST(n AS BIGINT) AS count, s / n AS mean, sqrt((q - s * s
   SELECT count(v)::DOUBLE AS n, sum(v)::DOUBLE AS s, sum(v * v)::DOUBLE AS q, min(v) AS lo, max(v) AS hi, quantile_cont(v, 0.25) AS q25, quantile_cont(v, 0.5) AS q50, quantile_cont(v, 0.75) AS q75 FROM ({0}))"""
 register("describe_numeric", lambda t: PR.describe(t.documents, F.length("text")), _DESCRIBE.format("SELECT length(text)::BIGINT AS v FROM documents"))
 register("describe_likes", lambda t: PR.describe(t.comments, F.col("like_count")), Q.with_comments(_DESCRIBE.format("SELECT like_count AS v FROM comments")))
+# No two values are equal: nothing is gained by counting them.
+register("describe_distinct", lambda t: PR.describe(t.lineitem, F.col("l_orderkey") * 10 + F.col("l_linenumber")), _DESCRIBE.format("SELECT l_orderkey::BIGINT * 10 + l_linenumber AS v FROM lineitem"))
+register("weight_stats_distinct", lambda t: SA.weight_stats(t.lineitem.select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).cast("double").alias("w")), "w"),
+         "SELECT min(w) AS min_weight, max(w) AS max_weight, list(w ORDER BY w)[count(*) // 2 + 1] AS upper_median FROM (SELECT (l_orderkey::BIGINT * 10 + l_linenumber)::DOUBLE AS w FROM lineitem)")
 register("histogram", lambda t: PR.histogram(t.documents, F.length("text")),
          """SELECT CAST(CASE WHEN hi = lo THEN 0 ELSE least(floor((v - lo) * 50 / (hi - lo)), 49) END AS INT) AS bin, count(*) AS n
             FROM (SELECT length(text)::DOUBLE AS v, min(length(text)) OVER ()::DOUBLE AS lo, max(length(text)) OVER ()::DOUBLE AS hi FROM documents) GROUP BY 1""")

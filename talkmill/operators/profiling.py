@@ -1,15 +1,16 @@
 """Profiles and exploratory summaries.
 
-Exact quantiles run over a value histogram: rows are first counted per distinct integer
-value, so the final step sees one row per distinct length or like count, not per comment.
+Exact quantiles run over a value histogram: rows are first counted per distinct value; running
+totals over ranges of values (:mod:`talkmill.operators.ranks`) find the values at their places.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from talkmill import schemas as S
 from talkmill.functions.labels import coerce_numeric
+from talkmill.operators.ranks import quantiles, value_counts_of
 
 
 def value_histogram(df: DataFrame, value: Column, by: list[str] = ()) -> DataFrame:
@@ -29,28 +30,36 @@ def _mean(value: Column) -> Column:
 
 
 def describe(df: DataFrame, value: Column) -> DataFrame:
-    """count, mean, sample standard deviation, min, quartiles and max of an integer column."""
+    """count, mean, sample standard deviation, min, quartiles and max of a numeric column.
+
+    Whole numbers are summed exactly. No task holds the column, also where all values differ.
+    """
+    hist = value_counts_of(df, value)
     v, n = F.col("value"), F.sum("n").cast("double")
-    total, squares = _weighted_sum(v.cast("decimal(20,0)")), F.sum(
-        (v.cast("decimal(19,0)") * v.cast("decimal(19,0)") * F.col("n").cast("decimal(19,0)")).cast("decimal(38,0)")
-    ).cast("double")
-    hist = value_histogram(df, value)
-    q = F.percentile("value", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)), F.col("n"))
-    return hist.agg(
+    if isinstance(hist.schema["value"].dataType, (T.FloatType, T.DoubleType, T.DecimalType)):
+        each = v.cast("double")
+        total, squares = F.sum(each * F.col("n")), F.sum(each * each * F.col("n"))
+    else:
+        total, squares = _weighted_sum(v.cast("decimal(20,0)")), F.sum(
+            (v.cast("decimal(19,0)") * v.cast("decimal(19,0)") * F.col("n").cast("decimal(19,0)")).cast("decimal(38,0)")
+        ).cast("double")
+    moments = hist.agg(
         F.coalesce(F.sum("n"), F.lit(0)).alias("count"), (total / n).alias("mean"),
         F.when(n > 1, F.sqrt((squares - total * total / n) / (n - 1))).alias("std"),
-        F.min("value").alias("min"), q.alias("q"), F.max("value").alias("max"),
-    ).select("count", "mean", "std", "min", F.col("q")[0].alias("q25"), F.col("q")[1].alias("q50"),
-             F.col("q")[2].alias("q75"), "max")
+        F.min("value").alias("min"), F.max("value").alias("max"),
+    )
+    q = quantiles(hist, [0.25, 0.5, 0.75]).scalar()
+    return moments.withColumn("q", q).select("count", "mean", "std", "min", F.col("q")[0].alias("q25"), F.col("q")[1].alias("q50"), F.col("q")[2].alias("q75"), "max")
+
+
+def _median(hist: DataFrame) -> Column:
+    return quantiles(hist, [0.5]).scalar()[0]
 
 
 def text_length_summary(df: DataFrame, column: str) -> DataFrame:
     """count, mean and median length of a text column."""
-    v = F.col("value")
-    return value_histogram(df, F.length(column)).agg(
-        F.coalesce(F.sum("n"), F.lit(0)).alias("count"), _mean(v).alias("mean_length"),
-        F.percentile("value", F.lit(0.5), F.col("n")).alias("median_length"),
-    )
+    hist = value_counts_of(df, F.length(column))
+    return hist.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("count"), _mean(F.col("value")).alias("mean_length")).withColumn("median_length", _median(hist))
 
 
 def raw_vs_clean_length(df: DataFrame, raw: str = S.TEXT, cleaned: str = S.CLEANED) -> DataFrame:
@@ -102,13 +111,13 @@ def profile_comments(df: DataFrame, text: str = S.TEXT, digits: int | None = 2)
         df.select("video_id").dropna().distinct().agg(F.count("*")).scalar()
         if "video_id" in df.columns else F.lit(0)
     )
-    mean, median = _mean(F.col("value")), F.percentile("value", F.lit(0.5), F.col("n"))
+    hist = value_counts_of(df, length)
+    mean, median = _mean(F.col("value")), _median(hist)
     if digits is not None:
         mean, median = F.round(mean, digits), F.round(median, digits)
-    return value_histogram(df, length).agg(
-        F.coalesce(F.sum("n"), F.lit(0)).alias("total_comments"),
-        mean.alias("average_comment_length"), median.alias("median_comment_length"),
-    ).withColumn("unique_videos_represented", videos)
+    return hist.agg(
+        F.coalesce(F.sum("n"), F.lit(0)).alias("total_comments"), mean.alias("average_comment_length"),
+    ).withColumn("median_comment_length", median).withColumn("unique_videos_represented", videos)
 
 
 def comments_per_video(df: DataFrame, video: str = "video_id") -> DataFrame:
@@ -118,16 +127,16 @@ def comments_per_video(df: DataFrame, video: str = "video_id") -> DataFrame:
 
 def comments_per_video_summary(df: DataFrame, video: str = "video_id", digits: int | None = 2) -> DataFrame:
     """Videos with comments and min, max, mean and median of their counts."""
-    sizes = value_histogram(comments_per_video(df, video), F.col("n"))
-    mean, median = _mean(F.col("value")), F.percentile("value", F.lit(0.5), F.col("n"))
+    sizes = value_counts_of(comments_per_video(df, video), F.col("n"))
+    mean, median = _mean(F.col("value")), _median(sizes)
     if digits is not None:
         mean, median = F.round(mean, digits), F.round(median, digits)
     return sizes.agg(
         F.coalesce(F.sum("n"), F.lit(0)).alias("videos_with_comments"),
         F.coalesce(F.min("value"), F.lit(0)).alias("min_comments_per_video"),
         F.coalesce(F.max("value"), F.lit(0)).alias("max_comments_per_video"),
-        mean.alias("average_comments_per_video"), median.alias("median_comments_per_video"),
-    )
+        mean.alias("average_comments_per_video"),
+    ).withColumn("median_comments_per_video", median)
 
 
 def top_longest(df: DataFrame, key: str = "comment_id", text: str = S.TEXT, n: int = 20) -> DataFrame:

@@ -8,6 +8,7 @@ from talkmill import schemas as S
 from talkmill.functions.text import preview
 from talkmill.operators.cleaning import browse
 from talkmill.operators.ranking import first_rows, hash_key, rank_by_hash
+from talkmill.operators.ranks import value_at, value_counts_of, with_running_totals
 
 _PLACE = "_place"
 
@@ -166,14 +167,6 @@ def class_weights(df: DataFrame, label: str, labels: list[str] | None = None) ->
 
 
 def weight_stats(df: DataFrame, weight: str) -> DataFrame:
-    """Minimum, maximum and upper median (element n // 2 of the sorted weights).
-
-    Capped like weights have few distinct values, so rows are counted per value first.
-    """
-    hist = df.filter(F.col(weight).isNotNull()).groupBy(F.col(weight).alias("w")).agg(F.count("*").alias("n"))
-    upto = F.sum("n").over(Window.partitionBy().orderBy("w"))
-    middle = F.floor(F.sum("n").over(Window.partitionBy()) / 2)
-    return hist.withColumns({"upto": upto, "middle": middle}).agg(
-        F.min("w").alias("min_weight"), F.max("w").alias("max_weight"),
-        F.min(F.when(F.col("upto") > F.col("middle"), F.col("w"))).alias("upper_median"),
-    )
+    """Minimum, maximum and upper median (element n // 2 of the sorted weights), whatever their number."""
+    totals = with_running_totals(value_counts_of(df, F.col(weight)))
+    return totals.agg(F.min("value").alias("min_weight"), F.max("value").alias("max_weight"), value_at(F.floor(F.col("total") / 2)).alias("upper_median"))
