@@ -58,13 +58,18 @@ def _flag_counts(df: DataFrame) -> list:
     ]
 
 
-def preprocessing_report(flagged: DataFrame, by: str | None = None) -> DataFrame:
-    """Row and flag counts before the filter; with ``by``, per value plus a null-keyed total."""
+def report_columns(flagged: DataFrame) -> list:
+    """Row and flag counts before the filter, as aggregates."""
     kept = F.count_if(~F.col(S.IS_REMOVED)) if S.IS_REMOVED in flagged.columns else F.count("*")
-    counts = [
+    return [
         F.count("*").alias("original_rows"), kept.alias("processed_rows"), *_flag_counts(flagged),
         (F.count("*") - kept).alias("rows_removed_by_cleaning"),
     ]
+
+
+def preprocessing_report(flagged: DataFrame, by: str | None = None) -> DataFrame:
+    """Row and flag counts before the filter; with ``by``, per value plus a null-keyed total."""
+    counts = report_columns(flagged)
     if by is None:
         return flagged.agg(*counts)
     # Aggregate once per value, then total the few result rows.

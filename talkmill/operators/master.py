@@ -83,21 +83,27 @@ def products(df: DataFrame, column: str = "product_query") -> DataFrame:
 
 def master_report(
     master: DataFrame, videos: DataFrame, video_files: int, comment_files: int, source: DataFrame | None = None,
+    counted: tuple[DataFrame, DataFrame] | None = None,
 ) -> DataFrame:
     """One row of export counts; ``source`` is the table before duplicate removal.
 
-    The product names themselves are a table of their own: :func:`products`.
+    ``counted`` gives rows (n) before and after it where they are known already. The product names
+    themselves are a table of their own: :func:`products`.
     """
     total_videos = (
         videos.agg(F.count_distinct("video_id")) if "video_id" in videos.columns
         else videos.limit(1).agg(F.lit(0).cast("bigint"))
     )
-    removed = removed_count(master if source is None else source, "comment_id")
+    if counted is None:
+        removed, total = removed_count(master if source is None else source, "comment_id"), master.agg(F.count("*").alias("total_comments"))
+    else:
+        before, after = counted
+        removed, total = before.select(F.col("n") - after.select("n").scalar()), after.select(F.col("n").alias("total_comments"))
     product_count = (
         master.select("product_query").dropna().distinct().agg(F.count("*"))
         if "product_query" in master.columns else master.limit(1).agg(F.lit(0).cast("bigint"))
     )
-    return master.agg(F.count("*").alias("total_comments")).select(
+    return total.select(
         product_count.scalar().alias("product_count"),
         F.lit(video_files).alias("video_files_found"),
         F.lit(comment_files).alias("comment_files_found"),

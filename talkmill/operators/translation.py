@@ -9,7 +9,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, functions as F, types as T
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from talkmill import schemas as S
 from talkmill.functions import flags as G
@@ -139,27 +139,31 @@ def final_cleanup(df: DataFrame, cleaned: str = S.CLEANED) -> DataFrame:
     return flag_final_cleanup(df, cleaned).filter(~F.col(S.REMOVED_IN_CLEANUP))
 
 
-def translation_report(df: DataFrame) -> DataFrame:
-    """Total, translated and removed rows (one row)."""
-    def count(c: str):
+def translation_columns(df: DataFrame) -> list[Column]:
+    """Total, translated and removed rows, as aggregates."""
+    def count(c: str) -> Column:
         return F.count_if(F.col(c)) if c in df.columns else F.lit(0).cast("bigint")
 
-    return df.agg(
+    return [
         F.count("*").alias("total_comments"), count(S.IS_TRANSLATED).alias("translated_comments"),
         count(S.REMOVED_BY_TRANSLATION).alias("removed_by_translation_failure"),
-    )
+    ]
+
+
+def translation_report(df: DataFrame) -> DataFrame:
+    """Total, translated and removed rows (one row)."""
+    return df.agg(*translation_columns(df))
 
 
 def translated_by_language(df: DataFrame, language: str = S.LANGUAGE) -> DataFrame:
     return df.filter(F.col(S.IS_TRANSLATED) & F.col(language).isNotNull()).groupBy(language).agg(F.count("*").alias("n"))
 
 
-def readiness_report(df: DataFrame, cleaned: str = S.CLEANED, language: str = S.LANGUAGE) -> DataFrame:
-    """Counts before and after final cleanup, from the translated table in one pass."""
-    flagged = flag_final_cleanup(df, cleaned)
+def readiness_columns(flagged: DataFrame, cleaned: str = S.CLEANED, language: str = S.LANGUAGE) -> list[Column]:
+    """Counts before and after final cleanup, as aggregates over a table with its flag."""
     kept = ~F.col(S.REMOVED_IN_CLEANUP)
     removed = F.col(S.REMOVED_BY_TRANSLATION)
-    return flagged.agg(
+    return [
         F.count("*").alias("rows_before_cleanup"), F.count_if(kept).alias("rows_after_cleanup"),
         F.count_if(~kept).alias("rows_removed"),
         F.count_if(removed).alias("removed_by_translation_failure"),
@@ -167,7 +171,17 @@ def readiness_report(df: DataFrame, cleaned: str = S.CLEANED, language: str = S.
         F.bool_and(F.when(kept, F.coalesce(F.lower(F.col(language)) == "english", F.lit(False)))).alias("all_comments_english"),
         F.min(F.when(kept, F.length(cleaned))).alias("minimum_cleaned_length_chars"),
         F.min(F.when(kept, word_count(F.col(cleaned)))).alias("minimum_cleaned_word_count"),
-    ).withColumn("annotation_readiness", F.when(F.col("rows_after_cleanup") > 0, "READY").otherwise("EMPTY_DATASET"))
+    ]
+
+
+def judged_readiness(counts: DataFrame) -> DataFrame:
+    return counts.withColumn("annotation_readiness", F.when(F.col("rows_after_cleanup") > 0, "READY").otherwise("EMPTY_DATASET"))
+
+
+def readiness_report(df: DataFrame, cleaned: str = S.CLEANED, language: str = S.LANGUAGE) -> DataFrame:
+    """Counts before and after final cleanup, from the translated table in one pass."""
+    flagged = flag_final_cleanup(df, cleaned)
+    return judged_readiness(flagged.agg(*readiness_columns(flagged, cleaned, language)))
 
 
 def language_after_cleanup(df: DataFrame) -> DataFrame:

@@ -8,10 +8,11 @@ the lineage, so a lost executor does not replay earlier steps.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, functions as F
 
 from talkmill import schemas as S
 from talkmill.functions.lexicons import ASPECT_LABELS, NOTE_LABELS, SENTIMENT_LABELS
@@ -19,7 +20,7 @@ from talkmill.functions.text import product_slug
 from talkmill.operators import annotation as A, cleaning, insights, language_audit as L, master as M
 from talkmill.operators import profiling as P, quality as Q, sampling, translation as TR
 from talkmill.operators.conform import annotation_template, note_flags
-from talkmill.sources import files
+from talkmill.sources import commits, files
 
 
 @dataclass
@@ -36,11 +37,31 @@ class Stage:
 
 
 def staged(df: DataFrame, stage_dir: str | None, name: str) -> DataFrame:
-    """The table after a round trip through ``stage_dir``; unchanged without one."""
+    """The table after a round trip through ``stage_dir``; unchanged without one.
+
+    Every call writes a folder of its own, so two runs with one ``stage_dir`` do not meet.
+    """
     if stage_dir is None:
         return df
-    files.write_parquet(df, f"{stage_dir}/{name}")
-    return df.sparkSession.read.schema(df.schema).parquet(f"{stage_dir}/{name}")
+    at = f"{stage_dir}/{name}-{uuid.uuid4().hex}"
+    files.write_parquet(df, at)
+    return df.sparkSession.read.schema(df.schema).parquet(at)
+
+
+def staged_with(df: DataFrame, stage_dir: str | None, name: str, reports: dict[str, list[Column]]) -> tuple[DataFrame, dict[str, DataFrame]]:
+    """A staged table and one-row reports about it, filled while it is written: no second scan.
+
+    Without a ``stage_dir`` the reports are aggregates over the table.
+    """
+    empty = {r: df.agg(*columns) for r, columns in reports.items()}
+    if stage_dir is None:
+        return df, empty
+    seen = Observation(name)
+    metrics = [c.alias(f"{r} {field}") for r, columns in reports.items() for c, field in zip(columns, empty[r].columns)]
+    table = staged(df.observe(seen, *metrics), stage_dir, name)
+    got = seen.get
+    rows = {r: [tuple(got[f"{r} {field}"] for field in plan.columns)] for r, plan in empty.items()}
+    return table, {r: df.sparkSession.createDataFrame(rows[r], plan.schema) for r, plan in empty.items()}
 
 
 def language_audit(comments: DataFrame, key: str = "comment_id", stage_dir: str | None = None) -> Stage:
@@ -51,9 +72,13 @@ def language_audit(comments: DataFrame, key: str = "comment_id", stage_dir: str
 
 
 def preprocess(comments: DataFrame, by: str | None = None, stage_dir: str | None = None) -> Stage:
-    """Kept comments; the report counts flags before the filter, from the same stored table."""
-    flagged = staged(cleaning.flag_comments(comments), stage_dir, "flagged")
-    return Stage(cleaning.keep_useful(flagged), {"preprocessing": cleaning.preprocessing_report(flagged, by)})
+    """Kept comments; the report counts flags before the filter, while the flagged table is stored."""
+    flagged = cleaning.flag_comments(comments)
+    if by is not None:
+        stored = staged(flagged, stage_dir, "flagged")
+        return Stage(cleaning.keep_useful(stored), {"preprocessing": cleaning.preprocessing_report(stored, by)})
+    stored, reports = staged_with(flagged, stage_dir, "flagged", {"preprocessing": cleaning.report_columns(flagged)})
+    return Stage(cleaning.keep_useful(stored), reports)
 
 
 def validate(videos: DataFrame, comments: DataFrame) -> dict[str, DataFrame]:
@@ -72,12 +97,12 @@ def validate_latest(spark: SparkSession, video_dir: str, comment_dir: str) -> di
     )
 
 
-def translate_and_cleanup(comments: DataFrame, translate: Callable[[DataFrame], DataFrame], dictionary: dict[str, str],
+def translate_and_cleanup(comments: DataFrame, translate: Callable[[DataFrame], DataFrame], dictionary: dict[str, str] | DataFrame,
                           key: str = "comment_id", stage_dir: str | None = None) -> Stage:
-    translated = staged(TR.translate_comments(comments, translate, dictionary, key), stage_dir, "translated")
-    return Stage(TR.final_cleanup(translated), {
-        "translation": TR.translation_report(translated), "translated_by_language": TR.translated_by_language(translated),
-        "readiness": TR.readiness_report(translated),
+    flagged = TR.flag_final_cleanup(TR.translate_comments(comments, translate, dictionary, key))
+    table, reports = staged_with(flagged, stage_dir, "translated", {"translation": TR.translation_columns(flagged), "readiness": TR.readiness_columns(flagged)})
+    return Stage(table.filter(~F.col(S.REMOVED_IN_CLEANUP)), {
+        "translation": reports["translation"], "translated_by_language": TR.translated_by_language(table), "readiness": TR.judged_readiness(reports["readiness"]),
     })
 
 
@@ -85,14 +110,16 @@ def export_master(videos: DataFrame, comments: DataFrame, video_files: int | Non
                   order: list | None = None, stage_dir: str | None = None) -> Stage:
     """Joined, deduplicated master table; of equal ids the first in file order stays.
 
-    File counts are taken from the tables where they are not given.
+    File counts are taken from the tables where they are not given. Row counts come from the
+    writes of the two steps, where there is a ``stage_dir``.
     """
     video_files = M.count_files(videos) if video_files is None else video_files
     comment_files = M.count_files(comments) if comment_files is None else comment_files
-    joined = staged(M.build_master(videos, comments, keep_provenance=True), stage_dir, "joined")
-    unique = staged(M.remove_duplicate_comments(joined, order), stage_dir, "unique")
+    n = {"rows": [F.count("*").alias("n")]}
+    joined, before = staged_with(M.build_master(videos, comments, keep_provenance=True), stage_dir, "joined", n)
+    unique, after = staged_with(M.remove_duplicate_comments(joined, order), stage_dir, "unique", n)
     return Stage(unique, {
-        "master": M.master_report(unique, videos, video_files, comment_files, joined), "products": M.products(unique),
+        "master": M.master_report(unique, videos, video_files, comment_files, joined, None if stage_dir is None else (before["rows"], after["rows"])), "products": M.products(unique),
     })
 
 
@@ -116,13 +143,22 @@ def product_insights(master: DataFrame, stage_dir: str | None = None) -> Stage:
 
 
 def process_products(raw_comments: DataFrame, videos: DataFrame, translate: Callable[[DataFrame], DataFrame],
-                     dictionary: dict[str, str], done: DataFrame | None = None, stage_dir: str | None = None) -> Stage:
-    """Audit, clean, translate and join all products that are not processed yet, together."""
+                     dictionary: dict[str, str] | DataFrame, done: DataFrame | None = None, stage_dir: str | None = None, out: str | None = None) -> Stage:
+    """Audit, clean, translate and join all products that are not processed yet, together.
+
+    With ``out`` the products are written there and committed one by one in a manifest, which is
+    then what "processed" means: a run that died half-way is done again.
+    """
     slugged = raw_comments.withColumn("product_slug", product_slug(F.col(S.PRODUCT)))
-    todo = slugged if done is None else files.skip_processed(slugged, done)
+    if out is not None:
+        todo = commits.still_to_do(slugged, out)
+    else:
+        todo = slugged if done is None else files.skip_processed(slugged, done)
     kept = staged(cleaning.preprocess_comments(L.add_detected_language(todo)), stage_dir, "kept")
     cleaned = translate_and_cleanup(kept, translate, dictionary, stage_dir=stage_dir)
     exported = export_master(videos, cleaned.table, comment_files=M.count_files(todo), stage_dir=stage_dir)
+    if out is not None:
+        commits.write_products(exported.table.withColumn("product_slug", product_slug(F.col(S.PRODUCT))), out)
     return Stage(exported.table, {**cleaned.reports, **exported.reports})
 
 
