@@ -138,7 +138,11 @@ def repeated_words(ids: np.ndarray) -> int:
     """Words inside 3-word windows found twice or more, the first ones included."""
     if len(ids) < 4:
         return 0
-    windows = (ids[:-2] << 42) | (ids[1:-1] << 21) | ids[2:]
+    if int(ids.max()) < 1 << 21:
+        windows = (ids[:-2] << 42) | (ids[1:-1] << 21) | ids[2:]
+    else:  # three numbers do not fit: the first two are numbered as a pair
+        _, pairs = np.unique((ids[:-2] << 32) | ids[1:-1], return_inverse=True)
+        windows = (pairs << 32) | ids[2:]
     _, which, counts = np.unique(windows, return_inverse=True, return_counts=True)
     again = counts[which] > 1
     covered = np.zeros(len(ids), bool)

@@ -69,8 +69,11 @@ def word_hashes(letters: np.ndarray, lengths: np.ndarray) -> np.ndarray:
 def packed_order(line: np.ndarray, next_: np.ndarray, bits: int, *keys: np.ndarray) -> np.ndarray:
     """Order by line, then by keys; ``next_`` holds the leading ``bits`` of the keys.
 
-    One sort of packed numbers; where two of them are equal but the keys differ, sorted by all keys.
+    One sort of packed numbers; where two of them are equal but the keys differ, or line numbers do
+    not fit above the bits, sorted by all keys.
     """
+    if len(line) and int(line.max()) >> (64 - bits):
+        return np.lexsort((*reversed(keys), line))
     packed = (line.astype(np.uint64) << np.uint64(bits)) | next_.astype(np.uint64)
     order = np.argsort(packed)
     tie = np.flatnonzero(np.diff(packed[order]) == 0)

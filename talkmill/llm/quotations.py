@@ -13,7 +13,7 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from talkmill.llm.common import by_value, numbered, same, staged
 
@@ -153,19 +153,26 @@ def quoting_messages(conversations: DataFrame) -> DataFrame:
     """Mail-like messages derived from plain conversations: turns that quote what they answer.
 
     Every third turn answers the turn before the last, the others the last one; the answered turn
-    is quoted at level 1 and what it answered at level 2, as mail programs do.
+    is quoted at level 1 and what it answered at level 2, as mail programs do. One message per
+    row: where turns repeat, the one whose text sorts first is quoted; rows without a turn quote
+    nothing and are not quoted. A null conv_id is a conversation, a null text is empty.
     """
-    target = F.when(F.col("turn") % 3 == 2, F.col("turn") - 2).otherwise(F.col("turn") - 1)
-    turns = conversations.select("conv_id", "turn", "text", target.alias("answers"))
-    near = turns.select(F.col("conv_id").alias("_c1"), F.col("turn").alias("_t1"), F.col("text").alias("_x1"), F.col("answers").alias("_a1"))
-    far = turns.select(F.col("conv_id").alias("_c2"), F.col("turn").alias("_t2"), F.col("text").alias("_x2"))
+    def answered(turn: Column) -> Column:
+        return F.when(turn % 3 == 2, turn - 2).otherwise(turn - 1)
+
+    turns = conversations.select("conv_id", "turn", "text")
+    written = turns.where("turn IS NOT NULL").groupBy("conv_id", "turn").agg(F.min("text").alias("text"))
+
+    def quoted(name: str) -> DataFrame:
+        return written.select(F.col("conv_id").alias(f"_c{name}"), F.col("turn").alias(f"_t{name}"), F.coalesce("text", F.lit("")).alias(f"_x{name}"))
 
     def quote(text: str, mark: str):
         return F.concat(F.lit(mark), F.regexp_replace(F.col(text), "\n", f"\n{mark}"), F.lit("\n"))
 
-    joined = turns.join(near, same([F.col("conv_id"), F.col("answers")], [F.col("_c1"), F.col("_t1")]), "left").join(
-        far, same([F.col("conv_id"), F.col("_a1")], [F.col("_c2"), F.col("_t2")]), "left",
-    )
+    near = answered(F.col("turn"))
+    joined = turns.withColumns({"_near": near, "_far": answered(near)}).join(
+        quoted("1"), F.col("conv_id").eqNullSafe(F.col("_c1")) & (F.col("_near") == F.col("_t1")), "left",
+    ).join(quoted("2"), F.col("conv_id").eqNullSafe(F.col("_c2")) & (F.col("_far") == F.col("_t2")) & F.col("_t1").isNotNull(), "left")
     return joined.select("conv_id", "turn", F.concat(
         F.when(F.col("_x1").isNotNull(), F.lit("On some day someone wrote:\n")).otherwise(""), F.coalesce(quote("_x2", "> > "), F.lit("")),
         F.coalesce(quote("_x1", "> "), F.lit("")), F.coalesce("text", F.lit("")),

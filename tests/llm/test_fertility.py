@@ -61,3 +61,15 @@ def test_repeated_words_as_defined():
 
 def test_script():
     assert [fertility.script_of(t) for t in ("abc", "привет", "日本語", "123", "")] == ["latin", "cyrillic", "han", "other", "other"]
+
+
+def test_repeated_words_of_texts_with_very_many_words():
+    import numpy as np
+
+    from talkmill.llm.fertility import repeated_words
+
+    n = (1 << 21) + 10
+    ids = np.arange(2 * n, dtype=np.int64)
+    assert repeated_words(ids) == 0
+    assert repeated_words(np.concatenate([ids, ids[n:n + 4]])) == 8
+    assert repeated_words(np.concatenate([ids, [5, 6], [5]])) == 0

@@ -70,3 +70,13 @@ def test_texts_without_repeats(spark):
     assert {r.doc_id: r.text for r in out.collect()} == {1: rows[0][1], 2: "zeta eta theta", 4: None, 5: " \n ", 6: "eta zeta\ntheta"}
     assert out.columns == df.columns
     assert {r.doc_id for r in without_repeats(df, drop_emptied=False).collect()} == {1, 2, 3, 4, 5, 6}
+
+
+def test_texts_with_more_lines_than_packed_numbers_hold():
+    from talkmill.llm.line_dedup import Lines
+
+    n = (1 << 21) + 5
+    lines = Lines([7], ["\n".join(f"w{i} x" for i in range(n))])
+    alone = Lines([7], [f"w{n - 1} x\nw0 x\nw4 x"]).digests()
+    digests = lines.digests()
+    assert (digests[[n - 1, 0, 4]] == alone).all() and len(lines.n) == n and (lines.n == 2).all()

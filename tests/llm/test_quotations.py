@@ -49,3 +49,30 @@ def test_long_chain_and_derived_quotes(spark):
     for t in range(1, 40):
         depth[t] = depth[got[t].parent] + 1
     assert {t: r.depth for t, r in got.items()} == depth
+
+
+def by_hand(rows):
+    """Messages of plain rows, one for one."""
+    first = {}
+    for c, t, x in rows:
+        if t is not None and ((c, t) not in first or (x is not None and (first[c, t] is None or x < first[c, t]))):
+            first[c, t] = x
+    before = lambda t: t - 2 if t % 3 == 2 else t - 1
+    out = []
+    for c, t, x in rows:
+        own = x or ""
+        if t is not None and (c, before(t)) in first:
+            near, far = before(t), before(before(t))
+            quote = lambda text, mark: mark + (text or "").replace("\n", f"\n{mark}") + "\n"
+            own = "On some day someone wrote:\n" + (quote(first[c, far], "> > ") if (c, far) in first else "") + quote(first[c, near], "> ") + own
+        out.append((c, t, own))
+    return sorted(out, key=str)
+
+
+def test_messages_of_repeated_and_null_turns(spark):
+    rows = [(1, t % 5, f"turn {t % 5} copy {t}\nsecond line") for t in range(50)] + [(2, None, f"null {i}") for i in range(30)]
+    rows += [(None, t, f"no conversation {t}") for t in range(4)] + [(3, 0, None), (3, 1, "answers nothing written"), (3, 1, "answers nothing written")]
+    got = q.quoting_messages(table_of(spark, rows)).collect()
+    assert sorted(((r.conv_id, r.turn, r.text) for r in got), key=str) == by_hand(rows)
+    assert len(q.linked_conversations(q.quoting_messages(table_of(spark, rows))).collect()) == len(rows)
+    assert q.quoting_messages(table_of(spark, [])).collect() == []
