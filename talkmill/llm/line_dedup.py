@@ -19,7 +19,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from talkmill.llm.common import by_value, combined, free_name, pieces_of, staged
 
@@ -396,12 +396,38 @@ def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     return staged(result, "repeated-lines")
 
 
+def _told_apart(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, str]:
+    """The documents and the column that names them: the id, or, where ids come with different texts, a number.
+
+    The numbers keep the order of the ids; texts of one id are ordered by hash. Rows equal in id and
+    text stay one document, rows without an id are told apart by their texts already.
+    """
+    id_, text = F.col(f"`{id_col}`").cast("long"), F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))
+    different = docs.select(id_.alias("_of"), F.xxhash64(text).alias("_text")).where("_of IS NOT NULL").distinct()
+    most, widest = different.groupBy("_of").agg(F.count("*").alias("n")).agg(F.max("n"), F.max(F.abs("_of"))).first()
+    if (most or 1) == 1:
+        return docs, id_col
+    bits = (most - 1).bit_length()
+    if widest >> (61 - bits):
+        raise ValueError("ids are too large to number the texts that share one")
+    number = F.row_number().over(Window.partitionBy("_of").orderBy("_text")) - 1
+    key, hash_, of, own = (free_name(docs.columns, c) for c in ("number", "hash", "of", "own"))
+    numbers = different.select(F.col("_of").alias(of), F.col("_text").alias(own), (F.shiftleft(F.col("_of"), bits) + number).alias(key))
+    named = docs.withColumn(hash_, F.xxhash64(text)).join(numbers, (id_ == F.col(of)) & (F.col(hash_) == F.col(own)), "left")
+    return named.select(*[F.col(f"`{c}`") for c in docs.columns], key), key
+
+
 def line_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per document: (doc_id, n_lines, n_removed, removed): which lines go, by number."""
-    gone = _by_document(repeated_lines(docs, id_col, text_col))
+    """One row per document: (doc_id, n_lines, n_removed, removed): which lines go, by number.
+
+    Null and blank texts have no lines; rows equal in id and text get the same answer, rows that
+    share an id but not the text are documents of their own; an empty table gives no rows.
+    """
+    docs, name = _told_apart(docs, id_col, text_col)
+    gone = _by_document(repeated_lines(docs, name, text_col))
     text = F.col(f"`{text_col}`").cast("string")
     n_lines = F.size(F.filter(F.split(F.coalesce(text, F.lit("")), "\n"), lambda x: F.regexp_like(x, F.lit(r"[^\x20\x09-\x0D]"))))
-    rows = docs.select(F.col(f"`{id_col}`").alias("doc_id"), key_of(F.col(f"`{id_col}`"), text).alias("_key"), n_lines.alias("n_lines"))
+    rows = docs.select(F.col(f"`{id_col}`").alias("doc_id"), key_of(F.col(f"`{name}`"), text).alias("_key"), n_lines.alias("n_lines"))
     return rows.join(gone, F.col("_key") == F.col("_doc"), "left").select(
         "doc_id", "n_lines", F.coalesce(F.size("removed"), F.lit(0)).alias("n_removed"), F.coalesce("removed", F.array().cast("array<bigint>")).alias("removed"),
     )
@@ -415,13 +441,15 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """Documents, all columns, without lines that an earlier line matches.
 
     A document that loses all its words goes too, unless ``drop_emptied`` is off; documents without
-    words and null texts are left as they are. Repeated ids count as one document: a line number
-    that goes in one of them goes in all.
+    words and null texts are left as they are. Rows that share an id but not the text are documents
+    of their own; rows equal in both lose the same lines. An empty table stays empty.
     """
+    columns, schema = docs.columns, docs.withColumn(text_col, F.col(f"`{text_col}`").cast("string")).schema
+    docs, name = _told_apart(docs, id_col, text_col)
     key, doc, lost = (free_name(docs.columns, c) for c in ("key", "doc", "removed"))
-    gone = _by_document(repeated_lines(docs, id_col, text_col), doc, lost)
+    gone = _by_document(repeated_lines(docs, name, text_col), doc, lost)
     text = F.col(f"`{text_col}`").cast("string")
-    joined = docs.withColumn(key, key_of(F.col(f"`{id_col}`"), text)).join(gone, F.col(key) == F.col(doc), "left")
+    joined = docs.withColumn(key, key_of(F.col(f"`{name}`"), text)).join(gone, F.col(key) == F.col(doc), "left")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -435,4 +463,4 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             out = pa.RecordBatch.from_arrays(columns, names=batch.schema.names[:-1])
             yield out.filter(pa.array([not (drop_emptied and r and not t.strip(" \t\n\x0b\x0c\r")) for r, t in zip(removed, texts)], pa.bool_()))
 
-    return joined.select(*[F.col(f"`{c}`") for c in docs.columns], lost).mapInArrow(cut, docs.withColumn(text_col, text).schema)
+    return joined.select(*[F.col(f"`{c}`") for c in columns], lost).mapInArrow(cut, schema)

@@ -80,3 +80,13 @@ def test_texts_with_more_lines_than_packed_numbers_hold():
     alone = Lines([7], [f"w{n - 1} x\nw0 x\nw4 x"]).digests()
     digests = lines.digests()
     assert (digests[[n - 1, 0, 4]] == alone).all() and len(lines.n) == n and (lines.n == 2).all()
+
+
+def test_texts_that_share_an_id(spark):
+    """No line goes without a match, and each text loses its own lines."""
+    rows = [(1, "first words of all\nshared line number one here"), (2, "zzz yyy xxx www\nshared line number one here"), (2, "some other text entirely good\nkeep this second line of another text"),
+            (2, "zzz yyy xxx www\nshared line number one here"), (3, "keep this second line of another text\nown line of three"), (-4, "own line of three"), (None, "qqq ppp ooo"), (None, "nothing like it")]
+    out = sorted(((r.doc_id, r.text) for r in without_repeats(table_of(spark, rows)).collect()), key=str)
+    assert out == sorted([(1, rows[0][1]), (2, "zzz yyy xxx www"), (2, rows[2][1]), (2, "zzz yyy xxx www"), (-4, "own line of three"), (None, "qqq ppp ooo"), (None, "nothing like it")], key=str)
+    removed = {(r.doc_id, r.n_lines, tuple(r.removed)) for r in line_report(table_of(spark, rows)).collect()}
+    assert (2, 2, (1,)) in removed and (2, 2, ()) in removed and (3, 2, (0, 1)) in removed and (1, 2, ()) in removed
