@@ -33,7 +33,15 @@ register("scan_parquet_glob", lambda t: files.scan_parquet_glob(t.spark, t.dir,
     """SELECT count(*) AS rows, count(doc_id) AS documents, count(item_id) AS items, count(conv_id) AS turns, CAST(sum(length(text)) AS BIGINT) AS chars FROM
        (SELECT doc_id, NULL AS item_id, NULL AS conv_id, text FROM documents UNION ALL SELECT NULL, item_id, NULL, text FROM benchmark
         UNION ALL SELECT NULL, NULL, conv_id, text FROM conversations)""")
-register("list_files", lambda t: files.list_files(t.spark, t.dir, "*.parquet").agg(F.count("*").alias("files")))
+def _listed(t):
+    """The listing against the scan: every file that rows come from is listed with its size."""
+    at = f"{t.dir}/documents.parquet"
+    listed = files.list_files(t.spark, at, "*.parquet").select(F.element_at(F.split("path", "/"), -1).alias("name"), "bytes")
+    scanned = t.spark.read.parquet(at).groupBy(F.col("_metadata.file_name").alias("name"), F.col("_metadata.file_size").alias("bytes")).agg(F.count("*").alias("rows"))
+    return scanned.join(listed.withColumn("listed", F.lit(True)), ["name", "bytes"], "left").agg(F.sum("rows").alias("rows"), F.bool_and(F.coalesce("listed", F.lit(False))).alias("all_listed"))
+
+
+register("list_files", _listed, "SELECT count(*) AS rows, true AS all_listed FROM documents")
 
 
 def _latest(t):

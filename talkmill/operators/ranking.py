@@ -9,7 +9,6 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 # Up to this n Spark limits groups before the shuffle by itself.
 GROUP_LIMIT = 1000
-SLICES = 64
 
 
 def hash_key(key: Column, seed: int | str) -> Column:
@@ -21,12 +20,12 @@ def first_rows(df: DataFrame, group: list[str], order: list[Column], n: int, ran
     """First ``n`` rows of every group in the given order.
 
     Spark limits each group to ``n`` rows before the shuffle (WindowGroupLimit) as long as n is at
-    most GROUP_LIMIT. Beyond, each group is first ranked in slices of the input, so its rows are
-    spread over tasks, and only the first ``n`` of every slice meet.
+    most GROUP_LIMIT. Beyond, each group is first ranked in the partitions of the input, so its rows
+    are spread over as many tasks, and only the first ``n`` of every partition meet.
     """
     name = rank or "_rank"
     if n > GROUP_LIMIT:
-        sliced = df.withColumn("_slice", F.pmod(F.spark_partition_id(), F.lit(SLICES)))
+        sliced = df.withColumn("_slice", F.spark_partition_id())
         first = F.row_number().over(Window.partitionBy(*group, "_slice").orderBy(*order))
         df = sliced.withColumn("_first", first).filter(F.col("_first") <= n).drop("_slice", "_first")
     ranked = df.withColumn(name, F.row_number().over(Window.partitionBy(*group).orderBy(*order)))
