@@ -67,13 +67,12 @@ def talk(rng, convs, depth=7, kinds=3):
     return [(c, t, rng.choice(["user", "bot", None]), rng.choice(["hello there", "a b c", "", None, "yes\tno "][:kinds + 1])) for c in range(convs) for t in range(rng.randint(1, depth))]
 
 
-@pytest.mark.parametrize("container", [1, 3, 40, 4096])
-@pytest.mark.parametrize("rebuild", [True, False])
+@pytest.mark.parametrize(("rebuild", "container"), [(True, 1), (False, 5), (True, 40), (False, 4096)])
 def test_against_all_prefixes(spark, rebuild, container):
     rng = random.Random(container)
     rows = talk(rng, 130)
     rows += [(c, t, "user", f"same long talk {t}") for c in range(200, 260) for t in range(9)]  # a large group of copies
-    rows += [(c, t, "user", f"comb {t}") for c in range(300, 315) for t in range(c - 299)]  # each a start of the next
+    rows += [(c, t, "user", f"comb {t}") for c in range(300, 309) for t in range(c - 299)]  # each a start of the next
     rows += [(400, t, "bot", f"turn {t} of a very long one") for t in range(900)]
     rows += [(500, None, "user", "no turn"), (500, 0, None, None), (501, 3, "x", "y"), (501, 3, "x", "y"), (None, 0, "user", "no conversation"), (-7, 0, "u", "negative"), (-7, 1, "u", "b"), (-20, 0, "u", "base")]
     assert made(spark, rows, rebuild, container) == by_hand(sequences(rows, rebuild))
