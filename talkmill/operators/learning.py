@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+from pyspark import SparkContext
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import HashingTF, IDF, RegexTokenizer, StringIndexer
@@ -20,6 +21,16 @@ from talkmill.session import checkpointing
 _WEIGHT = "_weight"
 
 
+def _without_summary(model: PipelineModel) -> PipelineModel:
+    """The model without its training summary, which holds the session.
+
+    A model travels to the executors as it is, and a session that has observed metrics can't.
+    """
+    java = model.stages[-1]._java_obj
+    java.setSummary(SparkContext._active_spark_context._jvm.scala.Option.empty())
+    return model
+
+
 @dataclass
 class TextClassifier:
     """Hashed TF-IDF and multinomial logistic regression."""
@@ -54,7 +65,7 @@ class TextClassifier:
             weight = F.col("_s") * F.col("_c")
         else:
             weight = F.col("_s")
-        return self.stages().fit(rows.select(self.text, self.label, weight.alias(_WEIGHT)))
+        return _without_summary(self.stages().fit(rows.select(self.text, self.label, weight.alias(_WEIGHT))))
 
     def best_of(self, train: DataFrame, validation: DataFrame, candidates: list[float], **kwargs) -> PipelineModel:
         """The model with the best validation accuracy over regularisation strengths."""

@@ -194,7 +194,9 @@ def test_stream_equals_batch_and_runs_once(spark, tmp_path):
     assert got == want and spark.read.parquet(out).count() == 2
 
 
-def test_learning_loops(spark):
+def test_learning_loops(spark, tmp_path):
+    # A session that has observed metrics can still send models to the executors.
+    jobs.staged_with(spark.range(3), str(tmp_path), "t", {"r": [F.count("*").alias("n")]})
     rows = [(i, "battery lasts long power" if i % 2 else "camera photo lens zoom", "Battery" if i % 2 else "Camera") for i in range(60)]
     df = spark.createDataFrame(rows, "id int, cleaned_comment_text string, aspect_label string")
     clf = LE.TextClassifier(features=256, iterations=5)
@@ -210,7 +212,7 @@ def test_learning_loops(spark):
 
 def test_learning_queries_run_the_whole_job(monkeypatch):
     """Registered with the operators' own features, iterations, folds, rounds and cap."""
-    from talkmill.checks import all_queries, job_queries
+    from talkmill.checks import all_queries, learning_queries
 
     class Done(Exception):
         pass
@@ -225,15 +227,15 @@ def test_learning_queries_run_the_whole_job(monkeypatch):
             raise Done
 
         monkeypatch.setattr(LE, name, record)
-        monkeypatch.setattr(job_queries, "_labelled", lambda t: None)
-        monkeypatch.setattr(job_queries, "_seeds", lambda t: None)
+        monkeypatch.setattr(learning_queries, "_labelled", lambda t: None)
+        monkeypatch.setattr(learning_queries, "_seeds", lambda t: None)
         monkeypatch.setattr(LE, "unlabeled", lambda *a: None)
         with pytest.raises(Done):
             all_queries()[name][0](SimpleNamespace(labels=None))
         return found
 
-    assert job_queries._CLF == LE.TextClassifier(text="text", label="lang")
-    assert (job_queries._CLF.features, job_queries._CLF.iterations) == (1 << 16, 20)
+    assert learning_queries._CLF == LE.TextClassifier(text="text", label="lang")
+    assert (learning_queries._CLF.features, learning_queries._CLF.iterations) == (1 << 16, 20)
     assert bound("cross_validate")["folds"] == 5
     rounds = bound("self_train")
     assert (rounds["rounds"], rounds["cap"]) == (3, 150)
