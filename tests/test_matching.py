@@ -9,6 +9,8 @@ import time
 import pytest
 from pyspark.sql import functions as F
 
+from talkmill.checks import all_queries, matching_queries  # noqa: F401
+from talkmill.checks.bindings import Tables
 from talkmill.functions import romanized as R
 from talkmill.functions.keywords import leftmost_longest
 from talkmill.operators import matching as M
@@ -133,3 +135,43 @@ def test_several_sets_need_a_key(spark):
         M.mark_keywords(df, words, "hit", "t", set_bytes=40)
     assert M.find_keywords(df, table(spark, []), ["id"], "t").collect() == []
     assert [r.hit for r in M.mark_keywords(df, table(spark, []), "hit", "t").collect()] == [False]
+
+
+def test_larger_tables_are_made_once_and_blocks_are_met_alone(spark, monkeypatch):
+    monkeypatch.setattr(M, "BLOCK_BYTES", 200)
+    made_rows = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for rows in batches:
+            made_rows.add(len(rows))
+            yield rows
+
+    words = spark.range(400).select(F.concat(F.lit("k"), F.col("id")).alias("keyword")).mapInPandas(counted, "keyword string")
+    values = [f"k{i} xk{i + 1}" for i in range(300)] + [None, "", "same k7"] + ["same k7"] * 20
+    got = M.find_keywords(texts(spark, values), words, ["id"], "t", whole_words=True, set_bytes=60).collect()
+    assert sorted(map(tuple, got)) == sorted([(i, f"k{i}") for i in range(300)] + [(i, "k7") for i in range(302, 323)])
+    assert made_rows.value == 400
+
+
+def test_rows_that_share_a_key_are_judged_by_their_own_text(spark):
+    df = spark.createDataFrame([(1, "a k5 b"), (1, "none"), (None, "k6"), (None, None)], "id long, t string")
+    words = spark.range(50).select(F.concat(F.lit("k"), F.col("id")).alias("keyword"))
+    got = M.mark_keywords(df, words, "hit", "t", "id", set_bytes=60).collect()
+    assert sorted((r.t or "", r.hit) for r in got) == [("", False), ("a k5 b", True), ("k6", True), ("none", False)]
+
+
+def test_keywords_of_blanks_signs_and_parts_of_words(spark):
+    values = ["a  b", "xfoo bary", "foo bar", "\U0001f525\U0001f525!", "a-\U0001f525", "日本語テキスト", " ", "a" * 70 + "b"]
+    keywords = ["  ", " ", "foo bar", "\U0001f525", "本語", "-", "a" * 30 + "b", "!", "a-"]
+    df, words = texts(spark, values), table(spark, keywords)
+    for whole in (False, True):
+        small, large = ({tuple(r) for r in M.find_keywords(df, words, ["id"], "t", whole_words=whole, set_bytes=n).collect()} for n in (M.SET_BYTES, 10))
+        assert small == large and len(small) > 5
+
+
+def test_query_whose_table_is_larger_than_a_set(spark, monkeypatch):
+    query, _ = all_queries()["keyword_table_filter"]
+    t = Tables(spark, "/root/testdata/sf0.001")
+    one_set = sorted(map(tuple, query(t).collect()))
+    monkeypatch.setattr(M.mark_keywords, "__defaults__", (*M.mark_keywords.__defaults__[:-1], 1000))
+    assert sorted(map(tuple, query(t).collect())) == one_set
