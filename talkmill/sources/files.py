@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Observation, SparkSession, functions
 
 from talkmill.session import run_dir
 from talkmill.sources import split_csv
-from talkmill.sources.mixed import cannot_merge, read_mixed
+from talkmill.sources.mixed import cannot_merge, escaped, read_mixed
 
 BOM = "\ufeff"
 
@@ -34,14 +34,21 @@ def scan_parquet_glob(spark: SparkSession, directory: str, pattern: str, schema:
                       provenance: bool = False) -> DataFrame:
     """All files of a folder that match a pattern as one table, missing columns null.
 
+    A folder in it whose name matches is a table written in parts: its files belong to it.
     Files may differ in the types of their columns: these get a common type, or that of ``schema``,
     and a value it does not hold stops the job. A missing folder or no match gives an empty table.
     ``provenance`` adds the file and the row position in it, which makes "first copy" well defined.
     """
     matching = spark.read.option("pathGlobFilter", pattern)
     origin = [F.col("_metadata.file_path").alias("source_file"), F.col("_metadata.row_index").alias("source_row")] if provenance else []
+    own, tables = list_files(spark, directory, pattern), list_files(spark, f"{directory}/{pattern}", "*").select("path")
+    where = [directory]
+    if not tables.join(own, "path", "left_anti").isEmpty():
+        # What lies in partition folders matches file by file only.
+        where = [f"{directory}/{pattern}", *sorted(escaped(r["path"]) for r in own.join(tables, "path", "left_anti").collect())]
+        matching = spark.read
     try:
-        df = matching.option("mergeSchema", "true").parquet(directory)
+        df = matching.option("mergeSchema", "true").parquet(*where)
         merges = schema is None or all(df.schema[f.name].dataType == f.dataType for f in schema.fields if f.name in df.columns)
     except AnalysisException as error:
         if not nothing_there(error):
@@ -55,9 +62,9 @@ def scan_parquet_glob(spark: SparkSession, directory: str, pattern: str, schema:
         merges = False
     if merges:
         if schema is not None:
-            df = matching.schema(schema).parquet(directory)
+            df = matching.schema(schema).parquet(*where)
         return df.select("*", *origin)
-    paths = [r["path"] for r in list_files(spark, directory, pattern).select("path").collect()]
+    paths = [r["path"] for r in own.select("path").union(tables).distinct().collect()]
     base = None if any(c in directory for c in "*?[{") else directory
     return read_mixed(spark, paths, schema, base, lambda scan: origin)
 

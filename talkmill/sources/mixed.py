@@ -128,7 +128,7 @@ class FileClass:
         return T.StructType([T.StructField(f.name, T.NullType() if f.name in self.empty else f.dataType) for f in self.schema.fields])
 
 
-def _escaped(path: str) -> str:
+def escaped(path: str) -> str:
     return re.sub(r"([\[\]{}*?\\])", r"\\\1", path)
 
 
@@ -146,7 +146,7 @@ def cannot_merge(error: Exception) -> bool:
 def merged_schema(spark: SparkSession, paths: list[str], base: str | None = None) -> T.StructType | None:
     """Schema of all files together, from their footers, which Spark reads in parallel; None where types clash."""
     try:
-        return _reader(spark, base).option("mergeSchema", "true").parquet(*map(_escaped, paths)).schema
+        return _reader(spark, base).option("mergeSchema", "true").parquet(*map(escaped, paths)).schema
     except (Py4JJavaError, PySparkException) as error:
         if cannot_merge(error):
             return None
@@ -190,7 +190,7 @@ def file_classes(spark: SparkSession, paths: list[str], base: str | None = None,
 
 
 def read_class(spark: SparkSession, own: FileClass, base: str | None = None) -> DataFrame:
-    return _reader(spark, base).schema(own.schema).parquet(*map(_escaped, own.paths))
+    return _reader(spark, base).schema(own.schema).parquet(*map(escaped, own.paths))
 
 
 def find_empty_columns(spark: SparkSession, classes: list[FileClass], base: str | None = None) -> None:

@@ -125,3 +125,16 @@ def test_few_footer_jobs_for_many_files(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(mixed, "merged_schema", lambda *a: asked.append(1) or plain(*a))
     classes = file_classes(spark, [str(p) for p in tmp_path.iterdir()])
     assert sorted(len(c.paths) for c in classes) == [32, 32] and len(asked) == 3
+
+
+def test_matching_folder_is_a_table(spark, tmp_path):
+    put(tmp_path, "a.parquet", id=[1, 2], title=["x", "y"])
+    for folder in ("b.parquet", "c.csv", "k=1"):
+        (tmp_path / folder).mkdir()
+    put(tmp_path / "b.parquet", "part-0.parquet", id=[3], extra=[0.5])
+    put(tmp_path / "b.parquet", "part-1", id=[4], extra=[1.5])
+    put(tmp_path / "c.csv", "part-0", id=[5])
+    got = files.scan_parquet_glob(spark, str(tmp_path), "{a,b,missing}.parquet", provenance=True)
+    assert [(r["id"], r["title"], r["extra"]) for r in rows(got)] == [(1, "x", None), (2, "y", None), (3, None, 0.5), (4, None, 1.5)]
+    put(tmp_path / "b.parquet", "part-2", id=[6], title=[7])  # types that do not merge
+    assert [(r["id"], r["title"]) for r in rows(files.scan_parquet_glob(spark, str(tmp_path), "?.parquet"))] == [(1, "x"), (2, "y"), (3, None), (4, None), (6, "7")]
