@@ -5,6 +5,7 @@ import random
 import corpus_pipeline as cp
 from llm_tables import sentence, table_of
 from talkmill.llm import near_copies
+from talkmill.llm.simhash_pivots import fingerprint
 
 
 def plain_shingles(text):
@@ -45,3 +46,16 @@ def test_odd_rows(odd, odd_rows, none_at_all):
     least = {r: min((i for i, q in zip(ids, root) if q == r and i is not None), default=None) for r in root}
     assert got == sorted(((i, least[r]) for i, r in zip(ids, root)), key=str)
     assert near_copies.near_copy_groups(none_at_all).collect() == []
+
+
+def test_candidates_come_from_the_pivot_tables(spark, monkeypatch):
+    rng = random.Random(12)
+    base = [sentence(rng, 400) for _ in range(6)]
+    texts = [*base, *(b.rsplit(" ", 1)[0] + " changed" for b in base), *(b + " !" for b in base)]
+    monkeypatch.setattr(near_copies, "bands_of", lambda found: [])
+    prints = [int.from_bytes(fingerprint(t)) for t in texts]
+    want = [min(j for j in range(18) if i % 6 == j % 6 and (prints[i] ^ prints[j]).bit_count() <= 3) for i in range(18)]
+    assert sum(w != i for i, w in enumerate(want)) >= 6
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    got = {r.doc_id: r.component_id for r in near_copies.near_copy_groups(df).collect()}
+    assert all(got[i] == got[w] for i, w in enumerate(want))
