@@ -16,7 +16,7 @@ from talkmill.functions.labels import like_weight
 from talkmill.operators.conform import union_by_name
 from talkmill.operators.metrics import cv_summary, fold_accuracy, overall_metrics
 from talkmill.operators.sampling import accept_confident, class_weights, per_class_cap, stratified_kfold, stratified_split
-from talkmill.session import checkpointing
+from talkmill.session import checkpointing, written
 
 _WEIGHT = "_weight"
 
@@ -61,11 +61,20 @@ class TextClassifier:
         rows = df.select(text, F.col(self.label), sample.cast("double").alias("_s"))
         if weighting in ("class", "both"):
             per_class = class_weights(rows, self.label).select(self.label, F.col("weight").alias("_c"))
-            rows = rows.join(per_class, self.label)
+            # As many rows as the model has classes: without the hint all texts of a class are shuffled to one task.
+            rows = rows.join(F.broadcast(per_class), self.label)
             weight = F.col("_s") * F.col("_c")
         else:
             weight = F.col("_s")
-        return _without_summary(self.stages().fit(rows.select(self.text, self.label, weight.alias(_WEIGHT))))
+        return self._fitted(rows.select(self.text, self.label, weight.alias(_WEIGHT)))
+
+    def _fitted(self, rows: DataFrame) -> PipelineModel:
+        """The stages fitted; texts are cut and counted once, both fits that follow read the counts."""
+        index, *count, idf, regression = self.stages().getStages()
+        plain = PipelineModel([index.fit(rows), *count])
+        counts = written(plain.transform(rows).select("_y", "_tf", _WEIGHT), "term-counts")
+        weigh = idf.fit(counts)
+        return _without_summary(PipelineModel([*plain.stages, weigh, regression.fit(weigh.transform(counts))]))
 
     def best_of(self, train: DataFrame, validation: DataFrame, candidates: list[float], **kwargs) -> PipelineModel:
         """The model with the best validation accuracy over regularisation strengths."""
