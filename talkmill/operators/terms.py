@@ -31,8 +31,11 @@ def ngrams(c: Column, size: int, stop_words: list[str] = ()) -> Column:
     none = F.array().cast("array<string>")
 
     def windows(t: Column) -> Column:
-        starts = F.sequence(F.lit(1), F.size(t) - (size - 1))
-        return F.when(F.size(t) >= size, F.transform(starts, lambda i: F.array_join(F.slice(t, i, size), " "))).otherwise(none)
+        # Neighbours are put together pairwise: cutting out every window of its own costs several times as much.
+        n = F.size(t) - (size - 1)
+        rest = [F.slice(t, i + 1, n) for i in range(size)]
+        joined = reduce(lambda a, b: F.zip_with(a, b, lambda x, y: F.concat(x, F.lit(" "), y)), rest)
+        return F.when(n > 0, joined).otherwise(none)
 
     return let(toks, windows)
 
@@ -115,18 +118,16 @@ def topic_phrases(df: DataFrame, by: str, key: str, n: int = 10, text: str = S.C
                   examples: int = 3) -> DataFrame:
     """Top unigrams and bigrams per group by tf * ln(rows / df), with example comments.
 
-    One explode yields both the occurrences and, per comment, one mark for each distinct
-    phrase. Examples are found by key; texts are fetched last, for the few chosen comments.
+    One explode yields a row per occurrence, the first of each phrase in a comment marked.
+    Examples are found by key; texts are fetched last, for the few chosen comments.
     """
     both = F.concat(ngrams(F.col(text), 1, stop_words), ngrams(F.col(text), 2, stop_words))
 
     def marks(t: Column) -> Column:
-        seen = F.transform(t, lambda x: F.struct(x.alias("phrase"), F.lit(1).alias("tf"), F.lit(0).alias("df")))
-        once = F.transform(F.array_distinct(t), lambda x: F.struct(x.alias("phrase"), F.lit(0).alias("tf"), F.lit(1).alias("df")))
-        return F.concat(seen, once)
+        return F.transform(t, lambda x, i: F.struct(x.alias("phrase"), ((i == 0) | (x != F.get(t, i - 1))).cast("int").alias("df")))
 
-    counts = df.select(by, F.explode(let(both, marks)).alias("m")).select(by, "m.*").groupBy(by, "phrase").agg(
-        F.sum("tf").alias("tf"), F.sum("df").alias("df")
+    counts = df.select(by, F.explode(let(F.array_sort(both), marks)).alias("m")).select(by, "m.*").groupBy(by, "phrase").agg(
+        F.count("*").alias("tf"), F.sum("df").alias("df")
     )
     rows = df.groupBy(by).agg(F.count("*").alias("rows"))
     scored = counts.join(rows, by).withColumn(
