@@ -11,8 +11,10 @@ from talkmill.functions.lexicons import SENTIMENT_LABELS
 from talkmill.functions.labels import percent
 from talkmill.functions.sentiment import compound_label, rule_sentiment
 from talkmill.functions.text import preview
+from talkmill.operators.matching import SET_BYTES
 from talkmill.operators.ranking import first_rows, first_texts
 from talkmill.operators.terms import tokens
+from talkmill.session import written
 
 PREDICTED = "predicted_sentiment"
 
@@ -21,16 +23,20 @@ def add_rule_sentiment(df: DataFrame, text: str = S.CLEANED, out: str = PREDICTE
     return with_computed(df, {out: rule_sentiment(F.col(text))})
 
 
-def lexicon_compound(df: DataFrame, valence: DataFrame, key: str, text: str = S.CLEANED) -> DataFrame:
+def lexicon_compound(df: DataFrame, valence: DataFrame, key: str, text: str = S.CLEANED, set_bytes: int = SET_BYTES) -> DataFrame:
     """(key, valence_sum, compound, label) from a user-supplied (token, valence) table.
 
     The compound is s / sqrt(s * s + 15); rows without a hit are Neutral. Tokens of the lexicon are
-    expected to be unique. One scan: a text without tokens keeps one row.
+    expected to be unique; of repeated ones the valences add up. The tokens of the texts are never sorted:
+    a small lexicon is sent to them whole, of a larger one each task holds its part of the lexicon only.
     """
-    weights = valence.select(F.col("token").alias("t"), F.col("valence").cast("double").alias("v"))
-    found = df.select(key, F.explode_outer(tokens(F.col(text))).alias("t")).join(weights, "t", "left")
-    summed = found.groupBy(key).agg(F.sum("v").alias("s"))
-    total = F.coalesce(F.col("s"), F.lit(0.0))
+    weights = valence.where("token IS NOT NULL AND valence IS NOT NULL").groupBy(F.col("token").alias("_t")).agg(F.sum(F.col("valence").cast("double")).alias("_v"))
+    weights = written(weights, "lexicon")
+    size = weights.agg(F.sum(F.octet_length("_t") + 24)).first()[0] or 0
+    found = df.select(key, F.explode_outer(tokens(F.col(text))).alias("_token"))
+    hits = found.join(weights.hint("broadcast" if size <= set_bytes else "shuffle_hash"), F.col("_token") == F.col("_t"), "left")
+    summed = hits.groupBy(key).agg(F.sum("_v").alias("_s"))
+    total = F.coalesce(F.col("_s"), F.lit(0.0))
     compound = total / F.sqrt(total * total + F.lit(15.0))
     return summed.select(key, total.alias("valence_sum"), compound.alias("compound"), compound_label(compound).alias("label"))
 
