@@ -8,6 +8,7 @@ from operator import or_
 from pyspark.sql import Column, functions as F
 
 from talkmill.functions import patterns as P
+from talkmill.functions.bigrams import shared_bigrams
 from talkmill.functions.binding import let
 from talkmill.functions.lexicons import WATCH_URL
 from talkmill.functions.unicode_repair import repair_and_normalize
@@ -107,16 +108,6 @@ def watch_url(video_id: Column) -> Column:
     return F.concat(F.lit(WATCH_URL), video_id)
 
 
-def bigrams(c: Column) -> Column:
-    """Distinct character bigrams of the lower-cased, whitespace-collapsed text."""
-    # Pairs from even and from odd positions together are all bigrams; each is one plain
-    # pass over the text, where substring() per position would be quadratic.
-    pair = F.lit("(?s)..")
-    return let(c, lambda v: F.array_distinct(F.concat(
-        F.regexp_extract_all(v, pair, 0), F.regexp_extract_all(F.substring(v, 2, 2**31 - 1), pair, 0)
-    )))
-
-
 def token_set_intersect(c: Column, words: list[str]) -> Column:
     """Sorted distinct words of a list that occur in a text, ignoring case."""
     found = F.array_distinct(F.regexp_extract_all(F.lower(c), F.lit("[a-z]+"), 0))
@@ -128,17 +119,6 @@ def bigram_jaccard(a: Column, b: Column) -> Column:
     texts = F.struct(
         normalize_whitespace(F.lower(a)).alias("a"), normalize_whitespace(F.lower(b)).alias("b")
     )
-
-    def ratio(g: Column) -> Column:
-        common = F.size(F.array_intersect(g.x, g.y))
-        total = F.size(g.x) + F.size(g.y) - common
-        return F.when(total == 0, F.lit(1.0)).otherwise(common / total)
-
-    def score(t: Column) -> Column:
-        grams = F.struct(bigrams(t.a).alias("x"), bigrams(t.b).alias("y"))
-        return (
-            F.when((t.a == "") & (t.b == ""), F.lit(1.0)).when((t.a == "") | (t.b == ""), F.lit(0.0))
-            .when(t.a == t.b, F.lit(1.0)).otherwise(let(grams, ratio))
-        )
-
-    return F.when(a.isNotNull() & b.isNotNull(), let(texts, score))
+    # Equal texts and nulls need no comparison and are sent as null.
+    differing = let(texts, lambda t: F.when(t.a != t.b, t))
+    return F.coalesce(shared_bigrams(differing), F.when(a.isNotNull() & b.isNotNull(), F.lit(1.0)))

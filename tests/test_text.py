@@ -122,3 +122,30 @@ def test_numbers_and_timestamps_in_common_formats(one):
     bad = ["someday", "", "2024-13-45", "20241345", "1/45/2024", "Foo 5, 2024"]
     assert one(good, G.is_invalid_timestamp) == [False] * len(good)
     assert one([*bad, None], G.is_invalid_timestamp) == [True] * len(bad) + [False]
+
+
+def test_bigrams_are_compared_without_strings_of_their_own(spark, monkeypatch):
+    import random
+
+    from talkmill.functions import bigrams as B
+
+    rng = random.Random(3)
+    texts = ["".join(rng.choices(rng.choice(["ab ", "abcdefgh", "aäß🙂", "語字文𐍈x"]), k=rng.choice([0, 1, 2, 3, 40, 300]))) for _ in range(400)]
+    pairs = [*zip(texts[::2], texts[1::2]), ("", "x"), ("x", "y"), ("", ""), (None, "x"), ("x", None), ("A  B", " a b ")]
+
+    def plain(a, b):
+        if a is None or b is None:
+            return None
+        a, b = " ".join(a.lower().split()), " ".join(b.lower().split())
+        x, y = ({t[i:i + 2] for i in range(len(t) - 1)} for t in (a, b))
+        return 1.0 if a == b else 0.0 if not a or not b else len(x & y) / len(x | y) if x | y else 1.0
+
+    df = spark.createDataFrame([(i, *p) for i, p in enumerate(pairs)], "i int, a string, b string")
+    scored = df.select("i", T.bigram_jaccard(F.col("a"), F.col("b")).alias("s"))
+    assert "regexp_extract_all" not in scored._jdf.queryExecution().optimizedPlan().toString()
+    assert [r.s for r in scored.orderBy("i").collect()] == [plain(*p) for p in pairs]
+    long = [(a, b) for a, b in pairs if a and b]
+    encoded = [[t.encode() for t in side] for side in zip(*long)]
+    monkeypatch.setattr(B, "CHUNK", 50)
+    assert [x for part in B._compared(*encoded) for x in part] == B.shares(*encoded).tolist()
+    assert B.shares([b"a\xffb", b"ab"], [b"a\xffc", b"ab\xff"]).tolist() == [1 / 3, 1 / 2]
