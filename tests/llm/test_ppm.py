@@ -88,3 +88,19 @@ def test_predictions_sum_to_one():
 def test_nothing_to_learn_from(spark):
     only_held = [(i, "some words here") for i in range(400) if crc32(str(i).encode()) % 10 == 0][:3]
     compare(only_held, ppm.ppm_scores(spark.createDataFrame(only_held, "doc_id long, text string")).collect())
+
+
+def test_grams_of_a_block_are_found_by_one_sort(monkeypatch):
+    rng = np.random.default_rng(5)
+    few = rng.integers(0, 1 << 48, 400)
+    for codes in (rng.choice(few, 3000), few[:1], np.repeat(few[:2], 5), rng.integers(0, 1 << 48, 1 << 18)):
+        train = rng.random(len(codes)) < 0.7
+        unique, which, counts = np.unique(codes, return_inverse=True, return_counts=True)
+        got, n = ppm.counted(codes, train)
+        assert got.tolist() == unique.tolist() and n.tolist() == np.bincount(which, train, len(unique)).tolist()
+        assert (ppm.placed(codes, unique) == which).all()
+    # The hash table of numpy.unique and a binary search per gram took most of a block's time.
+    monkeypatch.setattr(ppm.np, "searchsorted", None)
+    monkeypatch.setattr(ppm.np, "unique", None)
+    codes = rng.choice(few, 3000)
+    assert (ppm.different(codes)[ppm.placed(codes, ppm.different(codes))] == codes).all()
