@@ -34,8 +34,8 @@ SMALLEST = 4
 #: Posting lists up to this length give all candidates; in longer ones a line that has so many convincing
 #: candidates gets no more. Convincing: random sets would hardly stay below so many differing bits.
 SHORT, ENOUGH, CONVINCING = 16, 3, 32
-#: Postings of a slot, about, and of a batch of packets at most.
-SLOT, PACKED = 250_000, 1 << 20
+#: Postings of a slot, about; slots of a task, about; postings that are packed together.
+SLOT, SLOTS, PACKED = 64_000, 4, 1 << 18
 #: Characters handled in one go; a longer text is handled alone.
 CHUNK = 1_500_000
 MASK = (1 << 63) - 1
@@ -200,7 +200,13 @@ def _postings(docs: DataFrame, rarity, slots: int, only=None) -> DataFrame:
     are one row. Of equal lines of one task the earliest is posted. ``only`` is a table of wanted words.
     """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rank, known = rarity.value, {}
+        rank, known, held = rarity.value, {}, []
+
+        def packed() -> Iterator[pa.RecordBatch]:
+            rows = np.concatenate(held) if held else np.zeros((0, 7), np.int64)
+            held.clear()
+            for start in range(0, len(rows), PACKED):
+                yield _packets(rows[start:start + PACKED], slots)
 
         def work(lines: Lines) -> Iterator[pa.RecordBatch]:
             d = lines.digests()
@@ -226,11 +232,11 @@ def _postings(docs: DataFrame, rarity, slots: int, only=None) -> DataFrame:
                 line, at, word = line[hit], at[hit], word[hit]
             if len(line):
                 bits = lines.bitmaps()
-                rows = np.stack([word, lines.doc[line], lines.number[line], (lines.n[line] << 24) | at, bits[line, 0], bits[line, 1], d[line, 0]], axis=1)
-                for start in range(0, len(rows), PACKED):
-                    yield _packets(rows[start:start + PACKED], slots)
+                held.append(np.stack([word, lines.doc[line], lines.number[line], (lines.n[line] << 24) | at, bits[line, 0], bits[line, 1], d[line, 0]], axis=1))
+                if sum(map(len, held)) >= PACKED:
+                    yield from packed()
 
-        yield from _over_lines(work)(batches)
+        yield from _over_lines(work, packed)(batches)
 
     return docs.mapInArrow(run, "slot long, content binary")
 
@@ -404,7 +410,7 @@ def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     )
     # A fifth of the words of a line is posted, and one more; slots grow in number, not in size.
     slots = max(32, int(rarity.sum()) // (SLOT * OF // (OF - UP)) + 1)
-    ordered = lambda p: p.repartition(slots, "slot").sortWithinPartitions("slot")
+    ordered = lambda p: p.repartition(slots // SLOTS, "slot").sortWithinPartitions("slot")
     # Classes of frequency, an eighth of a power of two wide.
     classes = spark.sparkContext.broadcast(np.minimum(8 * np.log2(rarity + 1), 255).astype(np.uint8))
     postings = _postings(rows, classes, slots)
