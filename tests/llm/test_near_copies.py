@@ -2,6 +2,8 @@ from __future__ import annotations
 
 import random
 
+import pytest
+
 import corpus_pipeline as cp
 from llm_tables import sentence, table_of
 from talkmill.llm import near_copies
@@ -59,3 +61,62 @@ def test_candidates_come_from_the_pivot_tables(spark, monkeypatch):
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
     got = {r.doc_id: r.component_id for r in near_copies.near_copy_groups(df).collect()}
     assert all(got[i] == got[w] for i, w in enumerate(want))
+
+
+def grouped(spark, texts):
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    return [r.component_id for r in sorted(near_copies.near_copy_groups(df).collect())]
+
+
+def brute_groups(texts, candidate=lambda i, j: True):
+    sets, root = [plain_shingles(t) for t in texts], list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            if candidate(i, j) and jaccard(sets[i], sets[j]) >= 0.8 and root[i] != root[j]:
+                a, b = sorted((root[i], root[j]))
+                root = [a if r == b else r for r in root]
+    return root
+
+
+def families(rng, n):
+    """Families of five: each text is near the one before, not always near the first; families in mixed order."""
+    texts = []
+    for _ in range(n):
+        words = sentence(rng, 80).split()
+        for _ in range(5):
+            words = [*words[:-3], *sentence(rng, 3).split()] if rng.random() < 0.7 else [sentence(rng, 1), *words[:-1]]
+            texts.append(" ".join(words))
+            words = [*words[3:], *sentence(rng, 3).split()]
+    rng.shuffle(texts)
+    return texts
+
+
+@pytest.mark.parametrize("block_bytes", [near_copies.BLOCK_BYTES, 4000])
+def test_all_texts_of_a_fingerprint_are_compared(spark, monkeypatch, block_bytes):
+    texts = families(random.Random(21), 8)
+    monkeypatch.setattr(near_copies, "bands_of", lambda found: [])
+    monkeypatch.setattr(near_copies, "fingerprint", lambda text: bytes(8))
+    monkeypatch.setattr(near_copies, "BLOCK_BYTES", block_bytes)
+    want = brute_groups(texts)
+    assert len(set(want)) in range(8, 30)
+    assert grouped(spark, texts) == want
+
+
+def test_all_pairs_within_the_radius_are_compared(spark, monkeypatch):
+    rng = random.Random(22)
+    texts = families(rng, 8)
+    prints = {t: sum(1 << b for b in rng.sample(range(12), rng.randint(0, 5))) for t in texts}
+    monkeypatch.setattr(near_copies, "bands_of", lambda found: [])
+    monkeypatch.setattr(near_copies, "fingerprint", lambda text: prints[text].to_bytes(8))
+    want = brute_groups(texts, lambda i, j: (prints[texts[i]] ^ prints[texts[j]]).bit_count() <= 3)
+    assert want != brute_groups(texts)
+    assert grouped(spark, texts) == want
+
+
+def test_all_texts_of_a_band_are_compared(spark, monkeypatch):
+    rng = random.Random(23)
+    texts = families(rng, 8)
+    prints = {t: rng.getrandbits(64).to_bytes(8) for t in texts}
+    monkeypatch.setattr(near_copies, "bands_of", lambda found: [int(found[0] % 2), 7, *range(2, near_copies.BANDS)])
+    monkeypatch.setattr(near_copies, "fingerprint", lambda text: prints[text])
+    assert grouped(spark, texts) == brute_groups(texts)
