@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from talkmill.checks import all_queries, matching_queries  # noqa: F401
 from talkmill.checks.bindings import Tables
-from talkmill.functions import romanized as R
+from talkmill.functions import keywords as K, romanized as R
 from talkmill.functions.keywords import leftmost_longest
 from talkmill.operators import matching as M
 
@@ -175,3 +175,18 @@ def test_query_whose_table_is_larger_than_a_set(spark, monkeypatch):
     one_set = sorted(map(tuple, query(t).collect()))
     monkeypatch.setattr(M.mark_keywords, "__defaults__", (*M.mark_keywords.__defaults__[:-1], 1000))
     assert sorted(map(tuple, query(t).collect())) == one_set
+
+
+def test_whole_words_and_phrases_are_looked_up_by_runs():
+    assert K.Finder({"ab": "1", "ab c": "2", "é_1 - ж": "3", "x y z": "4"}, True).automaton is None
+    assert len(K.Finder({"ab": "1", "a b c d": "2", "c++": "3"}, True).automaton) == 2
+    assert len(K.Finder({"ab": "1"}, False).automaton) == 1
+    rng, letters = random.Random(9), "aé_1 -!ж  "
+    for _ in range(400):
+        entries = {k.strip(): f"<{i}>" for i in range(rng.randint(0, 20)) if (k := "".join(rng.choices(letters, k=rng.randint(1, 9)))).strip()}
+        text = "".join(rng.choices(letters, k=rng.randint(0, 40)))
+        want = {(m.start(), m.start() + len(k), v) for k, v in entries.items() for m in re.finditer(rf"(?<!{WORD})(?={re.escape(k)}(?!{WORD}))", text)}
+        finder = K.Finder(entries, True)
+        assert sorted(finder.spans(text)) == sorted(want)
+        assert K.values_found(text, finder) == sorted({v for *_, v in want}) and K.any_found(text, finder) == bool(want)
+        assert K.all_replaced(text, finder) == (replaced(text, entries) if text.strip() else text)
