@@ -190,3 +190,9 @@ def test_whole_words_and_phrases_are_looked_up_by_runs():
         assert sorted(finder.spans(text)) == sorted(want)
         assert K.values_found(text, finder) == sorted({v for *_, v in want}) and K.any_found(text, finder) == bool(want)
         assert K.all_replaced(text, finder) == (replaced(text, entries) if text.strip() else text)
+
+
+def test_found_keywords_come_back_without_their_texts(spark):
+    found = M.find_keywords(texts(spark, ["a k5 b", "k6", None]), table(spark, [f"k{i}" for i in range(50)]), ["id"], "t", whole_words=True, set_bytes=60)
+    assert sorted(map(tuple, found.collect())) == [(0, "k5"), (1, "k6")]
+    assert "_text" not in found._jdf.queryExecution().analyzed().toString()
